@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import licenses, lines, urls
+from footfall.llm import curriculum, fertility, licenses, lines, packing, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,9 @@ def _on(operator, table: str):
 
 def queries() -> dict:
     return {
+        "op1_lexical_packing": _on(packing.op1_lexical_packing, "documents"),
+        "op2_tokenizer_fertility": _on(fertility.op2_tokenizer_fertility, "documents"),
+        "op3_curriculum_mix": _on(curriculum.op3_curriculum_mix, "documents"),
         "op4_license_scan": _on(licenses.op4_license_scan, "documents"),
         "op5_url_filter": _on(urls.op5_url_filter, "pages"),
         "op10_line_dedup": _on(lines.op10_line_dedup, "documents"),
@@ -25,6 +28,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_curriculum_mix": curriculum.OP3_SQL,
         "op5_url_filter": urls.OP5_SQL,
         "op10_line_dedup": lines.OP10_SQL,
     }
