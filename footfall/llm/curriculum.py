@@ -230,7 +230,9 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     ends = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     cut = F.array_join(F.slice(ends, F.lit(1), F.col("_pass.n").cast("int")), "")
     text = F.when(F.col("_pass.n") < F.col("_size"), cut).otherwise(F.col("text"))
-    out = rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.col("_pass.at").alias("_at"))
+    rows = rows.withColumn("text", text)
+    own = {"n_chars": F.char_length("text").cast("long")}
+    out = rows.select(*[own.get(c, F.col(c)).alias(c) for c in docs.columns], F.col("_pass.at").alias("_at"))
     return out.repartitionByRange("_at", "doc_id").sortWithinPartitions("_at", "doc_id").drop("_at")
 
 

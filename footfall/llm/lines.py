@@ -128,6 +128,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     )
 
 
+def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with its own columns, boilerplate lines gone and n_chars counted anew.
+
+    A document that loses all its lines is left with empty text.
+    """
+    out = dedup_lines(docs, **options)
+    chars = F.char_length("text").cast("long")
+    return out.select(*[chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
 def op10_line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 for every row of ``docs``."""
     out = dedup_lines(docs.select("doc_id", "text"))

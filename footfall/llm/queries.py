@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import curriculum, fertility, licenses, lines, packing, urls
+from footfall.llm import curriculum, fertility, licenses, lines, ngram_join, packing, pivots, roles, severity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,12 @@ def queries() -> dict:
         "op3_curriculum_mix": _on(curriculum.op3_curriculum_mix, "documents"),
         "op4_license_scan": _on(licenses.op4_license_scan, "documents"),
         "op5_url_filter": _on(urls.op5_url_filter, "pages"),
+        "op6_ordinal_toxicity": lambda spark, sf_dir: severity.op6_ordinal_toxicity(
+            _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+        ),
+        "op7_ngram_jaccard_join": _on(ngram_join.op7_ngram_jaccard_join, "documents"),
+        "op8_pivot_near_dedup": _on(pivots.op8_pivot_near_dedup, "embeddings"),
+        "op9_role_repair": _on(roles.op9_role_repair, "conversations"),
         "op10_line_dedup": _on(lines.op10_line_dedup, "documents"),
     }
 
@@ -30,5 +36,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_curriculum_mix": curriculum.OP3_SQL,
         "op5_url_filter": urls.OP5_SQL,
+        "op7_ngram_jaccard_join": ngram_join.OP7_SQL,
+        "op8_pivot_near_dedup": pivots.OP8_SQL,
         "op10_line_dedup": lines.OP10_SQL,
     }
