@@ -3,26 +3,27 @@
 A cumulative-link (proportional odds) model: P(grade <= k) is the logistic of
 threshold_k - w.x, with one weight vector for all thresholds, which stay in
 order. It is fitted on a bounded sample of labelled documents and applied to
-every document in its tasks; the model is an array of fixed size.
+every document in its tasks; the model has at most the words of that sample.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from footfall.llm.ngram_join import shingle_set
 from footfall.ship import ship
 
-FEATURE_BITS = 18
-FEATURES = 1 << FEATURE_BITS
 #: Most labelled documents the model is fitted on.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 8000
+#: Odd factors of the minhashes that tell near copies in the sample.
+SKETCH = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 #: Grades of toxic documents by how many distinct marker words they hold.
 GRADE_STEPS = (2, 4)
 
@@ -39,12 +40,13 @@ def words(text: str | None) -> set[bytes]:
 
 
 def feature(word: bytes) -> int:
-    return zlib.crc32(word) & (FEATURES - 1)
+    """A 63-bit hash of a word."""
+    return xxhash.xxh64_intdigest(word) >> 1
 
 
 @dataclass
 class OrdinalModel:
-    weights: np.ndarray  # of every hashed word
+    weights: dict[int, float]  # by feature; as many as the sample bears out
     thresholds: np.ndarray  # ascending, one fewer than there are grades
 
     def score(self, x: float) -> tuple[float, int, float]:
@@ -55,24 +57,26 @@ class OrdinalModel:
 
 
 def marker_features(docs: list[np.ndarray], toxic: np.ndarray, least: int = 5, chi2: float = 15.0):
-    """Features tied to the labels, and among them those of toxic documents."""
+    """Features tied to the labels beyond chance, and among them those of toxic documents."""
+    names, at = np.unique(np.concatenate(docs), return_inverse=True)
+    is_toxic = np.repeat(toxic, [len(d) for d in docs])
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    a = np.bincount(np.concatenate([d for d, t in zip(docs, toxic) if t] or [np.zeros(0, int)]), minlength=FEATURES)
-    b = np.bincount(np.concatenate([d for d, t in zip(docs, toxic) if not t] or [np.zeros(0, int)]), minlength=FEATURES)
+    a = np.bincount(at[is_toxic], minlength=len(names))
+    b = np.bincount(at[~is_toxic], minlength=len(names))
     seen = a + b
     expected = seen * n1 / (n1 + n0)
     spread = np.maximum(1e-9, expected * n0 / (n1 + n0))
     chosen = (seen >= least) & ((a - expected) ** 2 / spread >= chi2)
     log_odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
-    return chosen, chosen & (log_odds >= 2.5)
+    return names[chosen], names[chosen & (log_odds >= 2.5)]
 
 
-def fit(docs: list[np.ndarray], grades: np.ndarray, chosen: np.ndarray, l2: float = 0.01, steps: int = 400) -> OrdinalModel:
+def fit(docs: list[np.ndarray], grades: np.ndarray, chosen: np.ndarray, l2: float = 0.3, steps: int = 400) -> OrdinalModel:
     """Maximum likelihood with a ridge penalty, by Adam over the whole sample."""
     top = max(1, int(grades.max(initial=1)))
-    own = [d[chosen[d]] for d in docs]
+    own = [d[np.isin(d, chosen)] for d in docs]
     row = np.repeat(np.arange(len(own)), [len(o) for o in own])
-    col = np.concatenate(own) if own else np.zeros(0, int)
+    col = np.concatenate(own) if own else np.zeros(0, np.int64)
     used, col = np.unique(col, return_inverse=True)
     # the first threshold and the logarithms of the gaps keep thresholds in order
     params = np.concatenate([np.zeros(len(used)), [1.0], np.zeros(top - 1)])
@@ -95,18 +99,27 @@ def fit(docs: list[np.ndarray], grades: np.ndarray, chosen: np.ndarray, l2: floa
         grad = np.concatenate([g_w, tails[:1], tails[1:] * gaps])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params = params - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    weights = np.zeros(FEATURES)
-    weights[used] = params[:k]
-    return OrdinalModel(weights, params[k] + np.r_[0.0, np.cumsum(np.exp(params[k + 1 :]))])
+    return OrdinalModel(dict(zip(used.tolist(), params[:k].tolist())), params[k] + np.r_[0.0, np.cumsum(np.exp(params[k + 1 :]))])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> pd.DataFrame:
-    """Up to ``sample_rows`` labelled documents as distinct features, by hash of doc_id."""
+    """Up to ``sample_rows`` labelled documents as distinct features, by hash of doc_id.
 
-    @F.pandas_udf("array<int>")
+    Of near copies among them (an equal minhash of their 5-word shingles) one stays.
+    """
+
+    @F.pandas_udf("array<long>")
     def features(texts: pd.Series) -> pd.Series:
         return pd.Series([sorted({feature(w) for w in words(t)}) for t in texts], dtype=object)
 
+    @F.pandas_udf("array<long>")
+    def sketch(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            s = shingle_set(t)
+            out.append([int((s * odd).min() >> np.uint64(1)) for odd in SKETCH] if len(s) else [])
+        return pd.Series(out, dtype=object)
+
     graded = F.col("grade").cast("int") if "grade" in labels.columns else F.lit(None).cast("int")
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     chosen = (
@@ -117,8 +130,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> pd.
         .select("doc_id", F.col("l.toxic").alias("toxic"), F.col("l.grade").alias("grade"))
     )
     # at most sample_rows short rows, so the broadcast is bounded
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return rows.select("toxic", "grade", features("text").alias("f"), "doc_id").orderBy("doc_id").limit(2 * sample_rows).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
+        "doc_id", "toxic", "grade", features("text").alias("f"), sketch("text").alias("sketch")
+    )
+    sample = rows.orderBy("doc_id", "sketch").limit(sample_rows).toPandas()
+    # near copies would make their chance words look like marks of their label
+    seen: set = set()
+    own = []
+    for row in sample["sketch"]:
+        marks = set(enumerate(row))
+        own.append(seen.isdisjoint(marks))
+        seen |= marks
+    return sample[own]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:
@@ -134,9 +157,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     own = [np.asarray(f, np.int64) for f in sample["f"]]
     toxic = sample["toxic"].to_numpy(float) > 0
     if not toxic.any():
-        return OrdinalModel(np.zeros(FEATURES), np.array([5.0]))
+        return OrdinalModel({}, np.array([5.0]))
     chosen, markers = marker_features(own, toxic)
-    by_words = np.array([1 + np.searchsorted(GRADE_STEPS, markers[f].sum(), "right") for f in own])
+    by_words = np.array([1 + np.searchsorted(GRADE_STEPS, np.isin(f, markers).sum(), "right") for f in own])
     given = pd.to_numeric(sample["grade"]).to_numpy(float)
     grades = np.where(toxic, np.where(np.isnan(given), by_words, np.nan_to_num(given)), 0).astype(int)
     return fit(own, grades, chosen)
@@ -160,7 +183,7 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
                     known.clear()
                 own = words(text)
                 for w in [w for w in own if w not in known]:
-                    known[w] = float(model.weights[feature(w)])
+                    known[w] = model.weights.get(feature(w), 0.0)
                 x = sum(sorted(filter(None, map(known.__getitem__, own))))
                 expected, grade, p = model.score(x)
                 out.append((expected, grade, p, p >= 0.5))
