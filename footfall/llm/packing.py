@@ -63,10 +63,13 @@ def term_document_counts(tokens: DataFrame) -> np.ndarray:
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(TERMS, np.int64)
+        total, place = np.zeros(TERMS, np.int64), np.zeros(TERMS, np.int64)
         for batch in batches:
             for raw in batch["ids"]:
-                total[np.unique(term_ids(np.frombuffer(raw, np.uint16)))] += 1
+                terms = term_ids(np.frombuffer(raw, np.uint16))
+                at = np.arange(len(terms))
+                place[terms] = at  # of a repeated term one place is left
+                total[terms[place[terms] == at]] += 1
         parts = [total[k : k + SLICE] for k in range(0, TERMS, SLICE)]
         yield pd.DataFrame({"slice": range(len(parts)), "counts": [p.tobytes() for p in parts]})
 
@@ -120,9 +123,12 @@ class ShardIndex:
         self.first = np.searchsorted(owner, np.arange(self.n + 1))
         order = np.argsort(terms, kind="stable")
         self.posting_doc, self.posting_weight = owner[order], weight[order]
-        sorted_terms = terms[order]
-        self.left = np.searchsorted(sorted_terms, terms, "left")
-        self.right = np.searchsorted(sorted_terms, terms, "right")
+        ranked = terms[order]
+        first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, np.int64)
+        sizes = np.diff(np.r_[first, len(ranked)])
+        self.left, self.right = np.empty(len(terms), np.int64), np.empty(len(terms), np.int64)
+        self.left[order] = np.repeat(first, sizes)
+        self.right[order] = np.repeat(first + sizes, sizes)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a query term with ``seed``, best first."""
