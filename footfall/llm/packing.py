@@ -28,6 +28,8 @@ TERMS = 1 << TERM_BITS
 SLICE = 1 << 12
 K1, B = 1.2, 0.75
 QUERY_TERMS = 24
+#: Terms in more than this share of all documents tell nothing and aren't indexed.
+STOP_SHARE = 0.1
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -110,11 +112,13 @@ class ShardIndex:
 
     def __init__(self, docs: list[np.ndarray], counts: np.ndarray, n_docs: int, mean_length: float):
         self.n = len(docs)
-        keys = [term_ids(d) | (k << TERM_BITS) for k, d in enumerate(docs)]
+        telling = (counts > 1) & (counts <= max(8, STOP_SHARE * n_docs))
+        keys = []
+        for k, d in enumerate(docs):
+            t = term_ids(d)
+            keys.append(t[telling[t]] | (k << TERM_BITS))
         keys, tf = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
-        terms = keys & (TERMS - 1)
-        useful = counts[terms] > 1
-        terms, tf, owner = terms[useful], tf[useful], keys[useful] >> TERM_BITS
+        terms, owner = keys & (TERMS - 1), keys >> TERM_BITS
         df = counts[terms]
         idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
         lengths = np.array([len(d) for d in docs])
