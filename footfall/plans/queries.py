@@ -439,8 +439,8 @@ def walk_pairs_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT c_custkey, CASE WHEN (c_custkey % 100) BETWEEN 11 AND 13 THEN c_custkey || 'th' WHEN c_custkey % 10 = 1 THEN c_custkey || 'st'
   WHEN c_custkey % 10 = 2 THEN c_custkey || 'nd' WHEN c_custkey % 10 = 3 THEN c_custkey || 'rd' ELSE c_custkey || 'th' END AS nth,
-  CASE WHEN c_custkey % 1000 = 0 THEN 0 WHEN (c_custkey % 1000) / 10.0 < 1 THEN 1 WHEN (c_custkey % 1000) / 10.0 > 99 THEN 99
-  ELSE floor((c_custkey % 1000) / 10.0 + 0.5) END::BIGINT AS share,
+  CASE WHEN c_custkey % 1000 + 0.25 < 10 THEN 1 WHEN c_custkey % 1000 + 0.25 > 990 THEN 99
+  ELSE (c_custkey % 1000 + 5) // 10 END::BIGINT AS share,
   lpad(substr(c_custkey::VARCHAR, 1, 5), 5, '0') AS zip FROM customer"""
 )
 def formatted_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -448,7 +448,7 @@ def formatted_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(
         "c_custkey",
         X.ordinal(F.col("c_custkey")).alias("nth"),
-        X.share_percent(F.col("c_custkey") % 1000, F.lit(1000)).alias("share"),
+        X.share_percent(F.col("c_custkey") % 1000 + F.lit(0.25), F.lit(1000)).alias("share"),
         X.zip5(F.col("c_custkey")).alias("zip"),
     )
 
