@@ -200,3 +200,35 @@ def op4_license_scan(docs: DataFrame) -> DataFrame:
         .otherwise(F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)))
         .alias("score"),
     )
+
+
+def op4_sql(threshold: float = 0.9, block_words: int = 64) -> str:
+    """DuckDB SQL for :func:`op4_license_scan`: every block against every template."""
+
+    def quoted(words: Sequence[str]) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+    phrases = ", ".join(f"({quoted(p.split())}, '{label}')" for p, label in BASE_PHRASES)
+    _, prepared = ordered_templates(TEMPLATES, {}, threshold)
+    templates = ", ".join(f"('{label}', {quoted(toks)}, {need})" for label, toks, need in prepared)
+    word, half = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", block_words // 2
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{word}') AS ws FROM d),
+phrases(words, label) AS (VALUES {phrases}),
+templates(label, words, need) AS (VALUES {templates}),
+base AS (SELECT r, i, label FROM (SELECT r, ws, unnest(range(0, len(ws))) AS i FROM w) x, phrases
+         WHERE ws[i + 1] = words[1] AND ws[i + 1 : i + len(words)] = words),
+b AS (SELECT r, count(*) AS n, min(i) AS f, max(i) AS l, list(DISTINCT label) AS labs FROM base GROUP BY r),
+lines AS (SELECT r, regexp_extract_all(line, '{word}') AS lw FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM w)),
+blocks AS (SELECT r, unnest(CASE WHEN len(lw) <= {block_words} THEN [lw] ELSE
+             list_transform(range(0, len(lw) - {half}, {half}), lambda i: lw[i + 1 : i + {block_words}]) END) AS blk FROM lines),
+m AS (SELECT r, label, need, len(list_intersect(list_distinct(blk), words)) AS k, len(words) AS size FROM blocks, templates),
+g AS (SELECT r, list(DISTINCT label) AS labs, max(k::DOUBLE / size) AS best FROM m WHERE k >= need GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f AS first_word, l AS last_word,
+  coalesce(array_to_string(list_sort(b.labs), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labs, []), coalesce(g.labs, [])))), ','), '') AS labels,
+  (CASE WHEN n > 0 THEN 1.0 ELSE coalesce(best, 0.0) END)::DOUBLE AS score
+FROM w LEFT JOIN b USING (r) LEFT JOIN g USING (r)
+"""

@@ -35,6 +35,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_curriculum_mix": curriculum.OP3_SQL,
+        "op4_license_scan": licenses.op4_sql(),
         "op5_url_filter": urls.OP5_SQL,
         "op7_ngram_jaccard_join": ngram_join.OP7_SQL,
         "op8_pivot_near_dedup": pivots.OP8_SQL,
