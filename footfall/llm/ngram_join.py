@@ -8,7 +8,8 @@
    ones come before them in rare-first order. If those fill its prefix it links
    with nothing. The others are written with their prefix.
 3. Sets that follow each other under a prefix shingle, by size, are compared
-   first: a linear number of pairs, which joins large groups of near copies.
+   first: two pairs a set at most, which join large groups of near copies.
+   Sets outside a shingle's largest component then try its most typical member.
    After that only pairs across the components found are left to compare, under
    every prefix shingle they share; pairs inside a component can't change it.
 4. Length, positional and suffix filters prune pairs before sets are fetched;
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.llm.components import components
@@ -33,6 +34,8 @@ WORDS = 5
 BUCKET_SHINGLES = 1 << 20
 FLUSH_SHINGLES = 1 << 20
 SIGNATURE = 128
+#: Rounds that join sets to typical members of large groups.
+STAR_ROUNDS = 3
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -117,9 +120,9 @@ def set_id(shingles: np.ndarray) -> int:
     """A 63-bit name of a set; equal sets have equal names. 0 is the empty set's."""
     if not len(shingles):
         return 0
-    total = np.add.reduce(shingles)
-    folded = np.bitwise_xor.reduce(_mix(shingles + _K))
-    name = _mix(np.array([total * _MIX2 + folded + np.uint64(len(shingles))], np.uint64))[0]
+    total = np.add.reduce(shingles, keepdims=True)
+    folded = np.bitwise_xor.reduce(_mix(shingles + _K), keepdims=True)
+    name = _mix(total * _MIX2 + folded + np.uint64(len(shingles)))[0]
     return int(name >> np.uint64(1)) or 1
 
 
@@ -293,7 +296,7 @@ def shared_shingles(docs: DataFrame, total: int, percent: int, words: int = WORD
 
 
 def prefix_entries(sets: DataFrame) -> DataFrame:
-    """h, set_id, n and pos (place in rare-first order) of every prefix shingle."""
+    """h, set_id, n, unshared and pos (place in rare-first order) of every prefix shingle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -305,11 +308,14 @@ def prefix_entries(sets: DataFrame) -> DataFrame:
                     "h": np.concatenate(parts) if parts else np.zeros(0, np.int64),
                     "set_id": np.repeat(batch["set_id"].to_numpy(), sizes),
                     "n": np.repeat(batch["n"].to_numpy(), sizes),
+                    "unshared": np.repeat(batch["unshared"].to_numpy(), sizes),
                     "pos": np.repeat(batch["unshared"].to_numpy(), sizes) + inner,
                 }
             )
 
-    return sets.select("set_id", "n", "unshared", "prefix").mapInPandas(run, "h long, set_id long, n long, pos long")
+    return sets.select("set_id", "n", "unshared", "prefix").mapInPandas(
+        run, "h long, set_id long, n long, unshared long, pos long"
+    )
 
 
 def may_link(n, n2, pos, pos2, percent: int):
@@ -319,8 +325,14 @@ def may_link(n, n2, pos, pos2, percent: int):
     return (least * 100 >= most * percent) & (room * (100 + percent) >= (n + n2) * percent)
 
 
-def neighbour_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs that follow each other under a shingle in order of size."""
+def neighbour_pairs(entries: DataFrame, percent: int, most: int = 2) -> DataFrame:
+    """Pairs that follow each other under a shingle in order of size.
+
+    Of its predecessors under all of its prefix shingles a set keeps the
+    ``most`` that come up most often, so there are as many pairs as sets,
+    however large a group is. What that leaves out is left to
+    :func:`cross_pairs`, which is complete.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
@@ -335,38 +347,80 @@ def neighbour_pairs(entries: DataFrame, percent: int) -> DataFrame:
             ok = (
                 (h[1:] == h[:-1])
                 & (s[1:] != s[:-1])
-                & (np.minimum(n[:-1], n[1:]) * 100 >= np.maximum(n[:-1], n[1:]) * percent)
+                & (n[:-1] * 100 >= n[1:] * percent)
                 & (room * (100 + percent) >= (n[:-1] + n[1:]) * percent)
             )
-            a, b = np.minimum(s[:-1], s[1:])[ok], np.maximum(s[:-1], s[1:])[ok]
-            yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+            pairs = pd.DataFrame({"x": s[:-1][ok], "y": s[1:][ok]})
+            yield pairs.groupby(["x", "y"], sort=False).size().rename("times").reset_index()
 
     keys = ("h", "n", "set_id")
-    return entries.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long").distinct()
+    met = entries.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInPandas(run, "x long, y long, times long")
+    return most_met(met, most)
 
 
-def cross_pairs(entries: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a prefix shingle.
+def most_met(met: DataFrame, most: int) -> DataFrame:
+    """Of (x, y, times), the ``most`` x of every y that come up most often, as pairs (a, b)."""
+    often = Window.partitionBy("y").orderBy(F.desc("times"), "x")
+    best = met.groupBy("x", "y").agg(F.sum("times").alias("times")).withColumn("place", F.row_number().over(often))
+    return best.where(F.col("place") <= most).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    Under a shingle, the component with most sets is the hub. Every pair of two
-    components has a member outside the hub, so only those are held against
-    all others: a large group of near copies, joined before, costs its size.
-    """
-    own = entries.join(groups.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn(
-        "component", F.coalesce("component", "set_id")
-    )
+
+def with_components(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """``entries`` with the component of their set, its own name where it has no link."""
+    named = groups.select(F.col("node").alias("set_id"), "component")
+    return entries.join(named, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+
+
+def hubs_of(own: DataFrame) -> DataFrame:
+    """h and hub, the component with most sets, of shingles that several components share."""
     sizes = own.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k"))
-    hubs = (
+    return (
         sizes.groupBy("h")
         .agg(F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"))
         .where("kinds > 1")
         .select("h", F.col("top.component").alias("hub"))
     )
+
+
+def star_pairs(own: DataFrame, percent: int, most: int = 3) -> DataFrame:
+    """Pairs of a set and the hub's most typical members under its shingles.
+
+    Copies of one text differ from it by shingles of their own, so the member
+    with fewest unshared shingles is nearest to all others: a group whose
+    members are too far from each other, though near to their origin, is
+    joined by it.
+    """
+    hubs = hubs_of(own)
     mixed = own.join(hubs, "h")
+    typical = (
+        mixed.where("component = hub")
+        .groupBy("h")
+        .agg(F.min(F.struct("unshared", "set_id", "n", "pos")).alias("t"))
+        .select("h", F.col("t.set_id").alias("x"), F.col("t.n").alias("nx"), F.col("t.pos").alias("px"))
+    )
+    met = (
+        mixed.where("component <> hub")
+        .join(typical, "h")
+        .where(may_link(F.col("n"), F.col("nx"), F.col("pos"), F.col("px"), percent))
+        .groupBy("x", F.col("set_id").alias("y"))
+        .agg(F.count(F.lit(1)).alias("times"))
+    )
+    return most_met(met, most)
+
+
+def cross_pairs(entries: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a prefix shingle.
+
+    Under a shingle, the component with most sets is the hub. Every pair of two
+    components has a member outside the hub, so only those are held against
+    all others: a large group of near copies, joined before, costs its size.
+    """
+    own = with_components(entries, groups)
+    mixed = own.join(hubs_of(own), "h")
     outer = mixed.where("component <> hub").select(
         "h", F.col("set_id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("pos").alias("px")
     )
-    met = outer.join(mixed, "h").where(
+    met = outer.join(mixed.drop("unshared"), "h").where(
         (F.col("cx") != F.col("component"))
         & ((F.col("component") == F.col("hub")) | (F.col("x") < F.col("set_id")))
         & may_link(F.col("nx"), F.col("n"), F.col("px"), F.col("pos"), percent)
@@ -422,13 +476,23 @@ def near_documents(docs: DataFrame, percent: int = 75, words: int = WORDS) -> Da
     total = own.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     sets = scratch.keep(shared_shingles(docs, total, percent, words), "sets")
     entries = scratch.keep(prefix_entries(sets), "entries")
-    first = scratch.keep(neighbour_pairs(entries, percent), "neighbours")
-    links = scratch.keep(verify(first, sets, percent), "links")
-    groups = scratch.keep(components(links, scratch, "first"), "groups")
-    second = cross_pairs(entries, groups, percent).join(first, ["a", "b"], "left_anti")
-    more = scratch.keep(verify(scratch.keep(second, "crossing"), sets, percent), "more")
-    groups = scratch.keep(components(links.union(more), scratch, "all"), "components")
-    for name in ("sets", "entries", "neighbours", "links", "groups", "crossing", "more"):
+    tried = scratch.keep(neighbour_pairs(entries, percent), "pairs-0")
+    links = scratch.keep(verify(tried, sets, percent), "links-0")
+    groups = scratch.keep(components(links, scratch, "first"), "groups-0")
+    for k in range(1, STAR_ROUNDS + 1):
+        stars = star_pairs(with_components(entries, groups), percent).join(tried, ["a", "b"], "left_anti")
+        stars = scratch.keep(stars, f"pairs-{k}")
+        found = scratch.keep(verify(stars, sets, percent), f"links-{k}")
+        tried = tried.union(stars)
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        groups = scratch.keep(components(links, scratch, f"star-{k}"), f"groups-{k}")
+    rest = scratch.keep(cross_pairs(entries, groups, percent).join(tried, ["a", "b"], "left_anti"), "crossing")
+    more = scratch.keep(verify(rest, sets, percent), "more")
+    if not more.isEmpty():
+        groups = scratch.keep(components(links.union(more), scratch, "all"), "components")
+    for name in ("sets", "entries", "crossing", "more"):
         scratch.drop(name)
     filled = own.where("n_shingles > 0").join(
         groups.select(F.col("node").alias("set_id"), "component"), "set_id", "left"
@@ -442,10 +506,14 @@ def near_documents(docs: DataFrame, percent: int = 75, words: int = WORDS) -> Da
 def keep_one(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame:
     """``docs`` without the documents that another of their group stands for.
 
-    The smallest doc_id of a group stays, once; rows without shingles stay.
+    The smallest doc_id of a group stays, and so do rows without shingles. Of
+    rows with one doc_id and text, one stays.
     """
-    kept = near_documents(docs, percent, words).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    near = near_documents(docs, percent, words).where("kept")
+    kept = near.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
+    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"])).select(*docs.columns, "_rows")
+    repeated = joined.where("_rows > 1").dropDuplicates(["doc_id", "text"])
+    return joined.where("_rows = 1").union(repeated).select(*docs.columns)
 
 
 def op7_ngram_jaccard_join(docs: DataFrame) -> DataFrame:
