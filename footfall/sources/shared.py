@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; a local folder only where it is unset."""
-    if spark.sparkContext.getCheckpointDir():
-        return
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a local folder only where it is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as read from a table written in the shared folder.
+
+    A written table cuts the plan too: in loops, the constraints that a
+    checkpointed plan carries along grow with every round.
+    """
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
