@@ -34,6 +34,8 @@ WORDS = 5
 BUCKET_SHINGLES = 1 << 20
 FLUSH_SHINGLES = 1 << 20
 SIGNATURE = 128
+#: Up to so many pairs, only the sets that they name are shuffled to verify them.
+BROADCAST_PAIRS = 200_000
 #: Rounds that join sets to typical members of large groups.
 STAR_ROUNDS = 3
 
@@ -429,7 +431,7 @@ def cross_pairs(entries: DataFrame, groups: DataFrame, percent: int) -> DataFram
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: suffix filter on signatures, then whole sets."""
+    """The pairs (a, b) of a written table that link: suffix filter on signatures, then whole sets."""
 
     @F.pandas_udf("boolean")
     def suffixes_allow(sa: pd.Series, sb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
@@ -450,6 +452,9 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out[i] = common >= least_overlap(n, m, percent)
         return pd.Series(out)
 
+    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b"))
+    if pairs.count() <= BROADCAST_PAIRS:  # a counted bound; spares the shuffle of all sets
+        sets = sets.join(F.broadcast(ids), "set_id", "left_semi")
     small = sets.select("set_id", "n", "signature")
     near = pairs.join(small.toDF("a", "na", "sa"), "a").join(small.toDF("b", "nb", "sb"), "b")
     near = near.where(suffixes_allow("sa", "sb", "na", "nb")).select("a", "b", "na", "nb")
