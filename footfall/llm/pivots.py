@@ -35,10 +35,12 @@ def choose_pivots(points: DataFrame, n_points: int) -> np.ndarray:
     rows = (
         points.select("v", F.xxhash64(F.lit(17), "v").alias("k")).orderBy("k").limit(wanted).select("v").collect()
     )
+    if not rows:
+        return np.zeros((0, 1))
     widths = [len(r["v"]) for r in rows]
-    width = max(set(widths), key=widths.count) if widths else 0
+    width = max(set(widths), key=widths.count)
     chosen = np.array([r["v"] for r in rows if len(r["v"]) == width]).reshape(-1, width)
-    return chosen / np.linalg.norm(chosen, axis=1, keepdims=True) if len(chosen) else chosen
+    return chosen / np.linalg.norm(chosen, axis=1, keepdims=True)
 
 
 def with_keys(points: DataFrame, pivots: np.ndarray, nearest: int, shared: int) -> DataFrame:

@@ -141,7 +141,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> pd.
         marks = set(enumerate(row))
         own.append(seen.isdisjoint(marks))
         seen |= marks
-    return sample[own]
+    return sample[np.array(own, bool)]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:
