@@ -1,9 +1,12 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
-Pivots are reference vectors taken from the data. A vector is described by its
-nearest pivots; vectors that share enough of them are candidates, found through
-inverted lists whose keys are the sets of pivots to be shared, and then verified
-by cosine. Exact copies are one vector with a multiplicity throughout.
+Pivots are well-separated reference vectors taken from the data, so that a
+crowded region has one or few of them. A vector lives in the cell of its nearest
+pivot, and all pairs of a cell are compared in blocks; their links are counted
+and joined there, not listed. Vectors of different cells that share enough of
+their nearest pivots are candidates, found through inverted lists whose keys are
+the sets of pivots to be shared, and then verified by cosine. Exact copies are
+one vector with a multiplicity throughout.
 """
 
 from __future__ import annotations
@@ -23,62 +26,154 @@ from footfall.ship import ship
 NEAREST = 8
 SHARED = 3
 MIN_PIVOTS, MAX_PIVOTS = 64, 8192
+#: Candidates for a pivot, and the cosine to the pivots chosen at which choosing ends.
+SAMPLE, SEPARATION = 4, 0.8
+#: Vectors of a cell that are compared at once, and rows of their product.
+BLOCK, STRIP = 2048, 512
+#: Vectors of a cell in one entry of an inverted list, about.
+CHUNK = 1024
 
 
 def choose_pivots(points: DataFrame, n_points: int) -> np.ndarray:
-    """Reference vectors: of the distinct vectors, those with the least digests.
+    """Reference vectors: of a sample by digest, always the one farthest from those chosen.
 
     Their number follows the square root of the number of vectors and ends at
-    MAX_PIVOTS, so what is collected and sent out is bounded.
+    MAX_PIVOTS, so what is collected and sent out is bounded. Choosing ends
+    earlier where every vector of the sample is close to a pivot.
     """
     wanted = int(min(MAX_PIVOTS, max(MIN_PIVOTS, 2 * np.sqrt(n_points))))
     rows = (
-        points.select("v", F.xxhash64(F.lit(17), "v").alias("k")).orderBy("k").limit(wanted).select("v").collect()
+        points.select("v", F.xxhash64(F.lit(17), "v").alias("k"))
+        .orderBy("k")
+        .limit(SAMPLE * wanted)
+        .select("v")
+        .collect()
     )
     if not rows:
         return np.zeros((0, 1))
     widths = [len(r["v"]) for r in rows]
     width = max(set(widths), key=widths.count)
-    chosen = np.array([r["v"] for r in rows if len(r["v"]) == width]).reshape(-1, width)
-    return chosen / np.linalg.norm(chosen, axis=1, keepdims=True)
+    sample = np.array([r["v"] for r in rows if len(r["v"]) == width]).reshape(-1, width)
+    sample = unit(sample)
+    chosen, closest = [0], sample @ sample[0]
+    while len(chosen) < wanted:
+        k = int(closest.argmin())
+        if closest[k] >= SEPARATION:
+            break
+        chosen.append(k)
+        closest = np.maximum(closest, sample @ sample[k])
+    return sample[chosen]
 
 
-def with_keys(points: DataFrame, pivots: np.ndarray, nearest: int, shared: int) -> DataFrame:
-    """point, label hash and one ``key`` for every set of ``shared`` of its ``nearest`` pivots.
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; the largest component first, so that no square overflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    Vectors of another length than the pivots have no such description; their
-    key is their length alone.
+
+def with_homes(points: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
+    """point, label hash, ``home`` (nearest pivot) and ``near`` (its ``nearest`` pivots in order).
+
+    Vectors of another length than the pivots are described by their length
+    alone: all of one length have one home, and nothing is near.
     """
     nearest = min(nearest, len(pivots))
-    shared = min(shared, nearest)
-    picks = np.array(list(combinations(range(nearest), shared)), np.int64).reshape(-1, max(1, shared))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            points_, labels, keys = [], [], []
-            fits = np.array([len(v) == pivots.shape[1] for v in batch["v"]], bool)
+            home = -np.array([len(v) for v in batch["v"]], np.int64) - 1
+            fits = home == -pivots.shape[1] - 1
+            near = [np.zeros(0, np.int32)] * len(batch)
             if fits.any():
-                x = np.array(batch["v"][fits].tolist(), float)
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                near = np.argpartition(-(x @ pivots.T), nearest - 1, axis=1)[:, :nearest]
-                near.sort(axis=1)
-                mixed = np.zeros((len(x), len(picks)), np.int64)
-                for c in range(picks.shape[1]):
-                    mixed = mixed * (len(pivots) + 1) + near[:, picks[:, c]] + 1
-                points_.append(np.repeat(batch["point"][fits].to_numpy(), len(picks)))
-                labels.append(np.repeat(batch["label"][fits].to_numpy(), len(picks)))
-                keys.append(mixed.ravel())
-            if (~fits).any():
-                points_.append(batch["point"][~fits].to_numpy())
-                labels.append(batch["label"][~fits].to_numpy())
-                keys.append(-np.array([len(v) for v in batch["v"][~fits]], np.int64) - 1)
-            if points_:
-                yield pd.DataFrame(
-                    {"point": np.concatenate(points_), "label": np.concatenate(labels), "key": np.concatenate(keys)}
-                )
+                cosines = unit(np.array(batch["v"][fits].tolist(), float)) @ pivots.T
+                home[fits] = cosines.argmax(axis=1)
+                best = np.argpartition(-cosines, nearest - 1, axis=1)[:, :nearest].astype(np.int32)
+                best.sort(axis=1)
+                for k, b in zip(np.flatnonzero(fits), best):
+                    near[k] = b
+            yield pd.DataFrame({"point": batch["point"], "label": batch["label"], "home": home, "near": near})
 
     named = points.select("point", F.xxhash64("label").alias("label"), "v")
-    return named.mapInPandas(run, "point long, label long, key long")
+    return named.mapInPandas(run, "point long, label long, home long, near array<int>")
+
+
+def links_in_cells(homes: DataFrame, points: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """Links between vectors of one label and home, without a list of them.
+
+    A row per vector and pair of blocks it has links in: a, ``b`` (the least
+    vector that those links reach) and n, the number of linked vectors counted
+    with their copies.
+    """
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("point", ignore_index=True)
+        x = unit(np.array(group["v"].tolist(), float))
+        block, first, second = group["block"].to_numpy(), group["low"].iloc[0], group["high"].iloc[0]
+        linked = np.zeros((len(x), len(x)), bool)
+        for at in range(0, len(x), STRIP):
+            cosines = x[at : at + STRIP] @ x.T
+            strip = cosines >= threshold
+            for i, j in np.argwhere(np.abs(cosines - threshold) < 1e-12):
+                strip[i, j] = cosine_of(group["v"][at + i], group["v"][j]) >= threshold
+            if first != second:
+                strip &= block[at : at + STRIP, None] != block
+            linked[at : at + STRIP] = strip
+        np.fill_diagonal(linked, False)
+        counts = linked @ group["copies"].to_numpy(np.int64)
+        left = counts > 0
+        root = np.zeros(len(x), np.int64)
+        for k in np.flatnonzero(left):
+            if left[k]:
+                fresh = np.array([k])
+                while len(fresh):
+                    left[fresh] = False
+                    root[fresh] = k
+                    fresh = np.flatnonzero(linked[fresh].any(axis=0) & left)
+        some = np.flatnonzero(counts)
+        names = group["point"].to_numpy()
+        return pd.DataFrame({"a": names[some], "b": names[root[some]], "n": counts[some]})
+
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    member = (
+        homes.join(sizes.where("size > 1"), ["label", "home"])
+        .select("point", "label", "home", blocks.alias("blocks"))
+        .withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
+    )
+    dealt = (
+        member.join(points.select("point", "v", "copies"), "point")
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("low", F.least("block", "with"))
+        .withColumn("high", F.greatest("block", "with"))
+    )
+    return dealt.groupBy("label", "home", "low", "high").applyInPandas(compare, "a long, b long, n long")
+
+
+def crossing_pairs(homes: DataFrame, sizes: DataFrame, shared: int, nearest: int) -> DataFrame:
+    """Pairs (a, b) of one label and different homes that share ``shared`` near pivots.
+
+    The entries of an inverted list are chunks of the vectors of one home, so
+    pairs inside a crowded home are not gone through.
+    """
+    shared = min(shared, nearest)
+    sets = [F.xxhash64(*[F.get("near", F.lit(k)) for k in pick]) for pick in combinations(range(nearest), shared)]
+    chunks = F.ceil(F.col("size") / CHUNK)
+    entries = (
+        homes.where(F.size("near") > 0)
+        .join(sizes, ["label", "home"])
+        .withColumn("chunk", F.pmod(F.xxhash64(F.lit(5), "point"), chunks))
+        .select("point", "label", "home", "chunk", F.explode(F.array(*sets)).alias("key"))
+        .groupBy("label", "key", "home", "chunk")
+        .agg(F.collect_list("point").alias("points"))
+    )
+    left = entries.select("label", "key", F.col("home").alias("left_home"), F.col("points").alias("left_points"))
+    both = left.join(entries, ["label", "key"]).where("left_home < home")
+    listed = both.select(F.explode("left_points").alias("p"), "points").select("p", F.explode("points").alias("q"))
+    return listed.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
+def cosine_of(a: np.ndarray, b: np.ndarray) -> float:
+    a, b = a / np.abs(a).max(), b / np.abs(b).max()
+    return float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b)))
 
 
 def verified(pairs: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
@@ -89,8 +184,7 @@ def verified(pairs: DataFrame, points: DataFrame, threshold: float) -> DataFrame
         out = np.full(len(left), -2.0)
         for k, (a, b) in enumerate(zip(left, right)):
             if len(a) == len(b):
-                a, b = a / np.abs(a).max(), b / np.abs(b).max()
-                out[k] = float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b)))
+                out[k] = cosine_of(a, b)
         return pd.Series(out)
 
     left = points.select(F.col("point").alias("a"), F.col("v").alias("va"))
@@ -110,8 +204,8 @@ def near_vectors(
     Copies of a vector link with each other and share all their links; they are
     counted, not listed. Repeated rows are vectors of their own with the same
     vec_id. A null vec_id links like any other and is no component's name unless
-    all of its members have none. Candidates share at least ``shared`` of their
-    ``nearest`` pivots, in lists without a cap.
+    all of its members have none. Candidates have the same nearest pivot or share
+    at least ``shared`` of their ``nearest`` pivots, in lists without a cap.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -128,22 +222,19 @@ def near_vectors(
     n_points = points.count()
     pivots = choose_pivots(points, n_points)
     if len(pivots):
-        keys = scratch.keep(with_keys(points, pivots, nearest, shared), "keys")
-        other = keys.select(F.col("point").alias("b"), "key", "label")
-        pairs = (
-            keys.withColumnRenamed("point", "a")
-            .join(other, ["label", "key"])
-            .where("a < b")
-            .select("a", "b")
-            .distinct()
-        )
+        homes = scratch.keep(with_homes(points, pivots, nearest), "homes")
+        sizes = scratch.keep(homes.groupBy("label", "home").agg(F.count(F.lit(1)).alias("size")), "sizes")
+        inside = scratch.keep(links_in_cells(homes, points, sizes, threshold), "inside")
+        pairs = crossing_pairs(homes, sizes, shared, min(nearest, len(pivots)))
         links = scratch.keep(verified(pairs, points.select("point", "v"), threshold), "links")
     else:
+        inside = spark.createDataFrame([], "a long, b long, n long")
         links = spark.createDataFrame([], "a long, b long")
-    groups = components(links, scratch, "groups")
+    groups = components(links.union(inside.select("a", "b")), scratch, "groups")
     both = links.union(links.select("b", "a")).toDF("point", "other")
     copies = points.select(F.col("point").alias("other"), F.col("copies").alias("n"))
-    linked = both.join(copies, "other").groupBy("point").agg(F.sum("n").alias("n"))
+    counted = both.join(copies, "other").select("point", "n").union(inside.select("a", "n"))
+    linked = counted.groupBy("point").agg(F.sum("n").alias("n"))
     described = (
         points.join(linked, "point", "left")
         .join(groups.withColumnRenamed("node", "point"), "point", "left")

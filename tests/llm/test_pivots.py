@@ -65,3 +65,40 @@ def test_a_large_group_of_copies_is_counted(spark):
     rows = [(i, [1.0, 0.5, 0.25], 0) for i in range(500)]
     out = pivots.near_vectors(spark.createDataFrame(rows, SHAPE)).collect()
     assert {(r["n_links"], r["component_id"]) for r in out} == {(499, 0)}
+
+
+def test_recall_in_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(8)
+
+    def around(base, cosine):
+        noise = rng.normal(size=base.shape)
+        noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+        v = base * np.sqrt(cosine) + noise * np.sqrt(1 - cosine)
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    far = around(np.zeros((1600, 64)), 0.0)
+    x = np.concatenate([around(np.repeat(far[:1], 1600, axis=0), 0.94), far, around(far, 0.94**2)]).astype(np.float32)
+    order = rng.permutation(len(x))
+    rows = [(int(i), x[k].tolist(), 0) for i, k in enumerate(order)]
+    x = x[order].astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.93).sum(axis=1) - 1
+    out = pivots.near_vectors(spark.createDataFrame(rows, SHAPE)).collect()
+    got = np.zeros(len(x), int)
+    for r in out:
+        got[r["vec_id"]] = r["n_links"]
+    assert (got <= want).all()
+    in_group = order < 1600
+    assert got[in_group].sum() >= 0.999 * want[in_group].sum()
+    assert got[~in_group].sum() >= 0.97 * want[~in_group].sum()
+
+
+def test_blocks_of_a_cell_meet(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "BLOCK", 16)
+    monkeypatch.setattr(pivots, "CHUNK", 8)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=16)
+    rows = [(i, (base + rng.normal(size=16) * 0.28).astype(np.float32).tolist(), i % 2) for i in range(120)]
+    rows += [(200 + i, rows[i][1], rows[i][2]) for i in range(10)]
+    got = sorted((tuple(r) for r in pivots.near_vectors(spark.createDataFrame(rows, SHAPE)).collect()), key=str)
+    assert got == brute(rows)
