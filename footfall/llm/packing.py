@@ -28,8 +28,6 @@ TERMS = 1 << TERM_BITS
 SLICE = 1 << 12
 K1, B = 1.2, 0.75
 QUERY_TERMS = 24
-#: Terms in more than this share of all documents tell nothing and aren't indexed.
-STOP_SHARE = 0.1
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -112,7 +110,7 @@ class ShardIndex:
 
     def __init__(self, docs: list[np.ndarray], counts: np.ndarray, n_docs: int, mean_length: float):
         self.n = len(docs)
-        telling = (counts > 1) & (counts <= max(8, STOP_SHARE * n_docs))
+        telling = counts > 1
         keys = []
         for k, d in enumerate(docs):
             t = term_ids(d)

@@ -91,3 +91,15 @@ def test_bm25_scores_against_brute_force():
         score[j] = s
     want = [j for j in sorted(score, key=lambda j: (-score[j], j)) if score[j] > 0]
     assert index.neighbours(0, np.array([False, True, True, True])).tolist() == want
+
+
+def test_copies_in_a_third_of_all_documents_are_neighbours():
+    rng = np.random.default_rng(6)
+    base = rng.integers(1, 50_000, 20)
+    docs = [np.append(base if k % 3 == 0 else rng.integers(1, 50_000, 20), 0).astype(np.uint16) for k in range(60)]
+    counts = np.zeros(packing.TERMS, np.int64)
+    for d in docs:
+        counts[np.unique(packing.term_ids(d))] += 1
+    index = packing.ShardIndex(docs, counts, len(docs), 21.0)
+    unused = np.arange(60) > 0
+    assert index.neighbours(0, unused)[:19].tolist() == list(range(3, 60, 3))
