@@ -1,8 +1,8 @@
 """Packing: documents fill training windows together with lexical neighbours.
 
 Documents are tokenised once into a table. Document frequencies of hashed token
-pairs are counted over all of it, into an array of fixed size. Documents are
-then range-partitioned by their rarest pair, so that neighbours meet, and each
+pairs are counted over all of it, into an array that grows with the corpus up to
+a fixed size. Documents are then range-partitioned by their rarest pair, so that neighbours meet, and each
 partition is packed in shards of bounded size: a shard's BM25 inverted index
 returns unused neighbours of the document that began a window, and they fill it
 in order of score.
@@ -23,22 +23,39 @@ from footfall.llm import vocab
 from footfall.llm.scratch import Scratch
 from footfall.ship import ship
 
-TERM_BITS = 18
+#: Bits of a hashed term: at least, and at most in a large corpus.
+TERM_BITS, MAX_TERM_BITS = 18, 22
 TERMS = 1 << TERM_BITS
-SLICE = 1 << 12
+SLICES = 64
 K1, B = 1.2, 0.75
-QUERY_TERMS = 24
+#: Terms in more than one document of this many of a shard are kept as full rows.
+DENSE = 8
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
 
 
-def term_ids(ids: np.ndarray) -> np.ndarray:
+def term_bits(n_tokens: int) -> int:
+    """Bits for the terms of ``n_tokens`` tokens: a slot for each, up to MAX_TERM_BITS."""
+    return min(MAX_TERM_BITS, max(TERM_BITS, int(n_tokens).bit_length()))
+
+
+def pairs_of(ids: np.ndarray) -> np.ndarray:
+    """Adjacent pairs of a document's ids, as one number each."""
+    return (ids[:-1].astype(np.int64) << 16) | ids[1:]
+
+
+def term_ids(ids: np.ndarray, bits: int = TERM_BITS) -> np.ndarray:
     """Hashed adjacent pairs of a document's ids."""
-    a = ids.astype(np.uint64)
-    mixed = (a[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (a[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
-    return ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - TERM_BITS)).astype(np.int64)
+    return hashed(ids[:-1], ids[1:], bits)
+
+
+def hashed(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """The pairs of ids (a, b) in ``bits`` bits."""
+    a, b = a.astype(np.uint64), b.astype(np.uint64)
+    mixed = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F))
+    return ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def tokenized(docs: DataFrame, json_path: str, ranks_path: str, end_id: int) -> DataFrame:
@@ -55,22 +72,24 @@ def tokenized(docs: DataFrame, json_path: str, ranks_path: str, end_id: int) ->
     return ids.select("doc_id", (F.octet_length("ids") / 2).cast("long").alias("n_tokens"), "ids")
 
 
-def term_document_counts(tokens: DataFrame) -> np.ndarray:
-    """In how many rows of ``tokens`` each of the TERMS hashed terms is.
+def term_document_counts(tokens: DataFrame, bits: int = TERM_BITS) -> np.ndarray:
+    """In how many rows of ``tokens`` each of the 2 ** ``bits`` hashed terms is.
 
     Each task counts in one array and hands it on in slices, which are summed
     by slice: the result has the same size whatever the input.
     """
+    n_terms = 1 << bits
+    width = n_terms // SLICES
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, place = np.zeros(TERMS, np.int64), np.zeros(TERMS, np.int64)
+        total, place = np.zeros(n_terms, np.int64), np.zeros(n_terms, np.int32)
         for batch in batches:
             for raw in batch["ids"]:
-                terms = term_ids(np.frombuffer(raw, np.uint16))
+                terms = term_ids(np.frombuffer(raw, np.uint16), bits)
                 at = np.arange(len(terms))
                 place[terms] = at  # of a repeated term one place is left
                 total[terms[place[terms] == at]] += 1
-        parts = [total[k : k + SLICE] for k in range(0, TERMS, SLICE)]
+        parts = [total[k : k + width] for k in range(0, n_terms, width)]
         yield pd.DataFrame({"slice": range(len(parts)), "counts": [p.tobytes() for p in parts]})
 
     def add(key, group: pd.DataFrame) -> pd.DataFrame:
@@ -83,22 +102,23 @@ def term_document_counts(tokens: DataFrame) -> np.ndarray:
     partial = partial.withColumn("part", (F.spark_partition_id() % 64).cast("int"))
     half = partial.groupBy("slice", "part").applyInPandas(add, schema)
     rows = half.groupBy("slice").applyInPandas(add, schema).collect()
-    out = np.zeros(TERMS, np.int64)
+    out = np.zeros(n_terms, np.int64)
     for r in rows:
-        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.int64)
+        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
     return out
 
 
 def with_route(tokens: DataFrame, counts: np.ndarray) -> DataFrame:
     """``tokens`` with ``route``: the rarest term that another document has too."""
     rarity = np.where(counts < 2, np.iinfo(np.int64).max, counts)
+    bits = len(counts).bit_length() - 1
 
     @F.pandas_udf("long")
     def route(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for raws in batches:
             out = []
             for raw in raws:
-                terms = term_ids(np.frombuffer(raw, np.uint16))
+                terms = term_ids(np.frombuffer(raw, np.uint16), bits)
                 out.append(int(terms[np.argmin(rarity[terms])]) if len(terms) else -1)
             yield pd.Series(out, dtype="int64")
 
@@ -106,46 +126,67 @@ def with_route(tokens: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 class ShardIndex:
-    """BM25 postings of one shard's documents."""
+    """BM25 postings of one shard's documents.
+
+    Terms are the pairs themselves; only their document counts are of hashed
+    terms. Exact copies are one entry. A term that no other entry of the shard
+    holds scores nothing but the copies of its own entry.
+    """
 
     def __init__(self, docs: list[np.ndarray], counts: np.ndarray, n_docs: int, mean_length: float):
         self.n = len(docs)
-        telling = counts > 1
-        keys = []
-        for k, d in enumerate(docs):
-            t = term_ids(d)
-            keys.append(t[telling[t]] | (k << TERM_BITS))
-        keys, tf = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
-        terms, owner = keys & (TERMS - 1), keys >> TERM_BITS
-        df = counts[terms]
+        entries: dict[bytes, int] = {}
+        self.entry = np.array([entries.setdefault(d.tobytes(), len(entries)) for d in docs], np.int64)
+        texts = [np.frombuffer(raw, np.uint16) for raw in entries]
+        self.m = len(texts)
+        bits = len(counts).bit_length() - 1
+        none = np.zeros(0, np.int64)
+        keys, shift = [none], self.m.bit_length()
+        for k, d in enumerate(texts):
+            keys.append(pairs_of(d)[counts[term_ids(d, bits)] > 1] << shift | k)
+        ranked = np.concatenate(keys)
+        ranked.sort()
+        at = np.flatnonzero(np.diff(ranked, prepend=-1))
+        tf = np.diff(np.r_[at, len(ranked)])
+        pairs, owner = ranked[at] >> shift, ranked[at] & (1 << shift) - 1
+        term = np.cumsum(np.diff(pairs, prepend=-1) != 0) - 1
+        df = counts[hashed(pairs >> 16, pairs & 0xFFFF, bits)]
         idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-        lengths = np.array([len(d) for d in docs])
+        lengths = np.array([len(d) for d in texts])
         weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean_length))
-        self.terms, self.idf = terms, idf
-        self.first = np.searchsorted(owner, np.arange(self.n + 1))
-        order = np.argsort(terms, kind="stable")
-        self.posting_doc, self.posting_weight = owner[order], weight[order]
-        ranked = terms[order]
-        first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, np.int64)
-        sizes = np.diff(np.r_[first, len(ranked)])
-        self.left, self.right = np.empty(len(terms), np.int64), np.empty(len(terms), np.int64)
-        self.left[order] = np.repeat(first, sizes)
-        self.right[order] = np.repeat(first + sizes, sizes)
+        sizes = np.bincount(term)
+        ends = np.cumsum(sizes)
+        self.posting_doc, self.posting_weight = owner, weight
+        self.own = np.bincount(owner, weight * (sizes[term] == 1), self.m)
+        # terms in many entries: a row of weights for all entries
+        dense = np.flatnonzero(sizes > max(1, self.m // DENSE))
+        row_of = np.full(len(sizes), -1)
+        row_of[dense] = np.arange(len(dense))
+        self.rows = np.zeros((len(dense), self.m))
+        full = row_of[term] >= 0
+        self.rows[row_of[term[full]], owner[full]] = weight[full]
+        # the terms of each entry that another one holds
+        by_owner = np.argsort(owner, kind="stable")
+        term, owner = term[by_owner], owner[by_owner]
+        full = row_of[term] >= 0
+        self.full_row, self.full_first = row_of[term[full]], np.searchsorted(owner[full], np.arange(self.m + 1))
+        few = ~full & (sizes[term] > 1)
+        self.left, self.right = (ends - sizes)[term[few]], ends[term[few]]
+        self.first = np.searchsorted(owner[few], np.arange(self.m + 1))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with ``seed``, best first."""
-        lo, hi = self.first[seed], self.first[seed + 1]
-        pick = np.arange(lo, hi)
-        if len(pick) > QUERY_TERMS:
-            pick = pick[np.argpartition(-self.idf[lo:hi], QUERY_TERMS)[:QUERY_TERMS]]
-        if not len(pick):
-            return pick
-        spans = [slice(self.left[p], self.right[p]) for p in pick]
-        score = np.bincount(
-            np.concatenate([self.posting_doc[s] for s in spans]),
-            np.concatenate([self.posting_weight[s] for s in spans]),
-            self.n,
-        )
+        """Unused documents that share a term with ``seed``, best first."""
+        e = self.entry[seed]
+        left, sizes = (x[self.first[e] : self.first[e + 1]] for x in (self.left, self.right - self.left))
+        at = np.repeat(left - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        score = np.bincount(self.posting_doc[at], self.posting_weight[at], self.m).astype(float)
+        score[e] += self.own[e]
+        full = self.full_row[self.full_first[e] : self.full_first[e + 1]]
+        if len(full):
+            picked = np.zeros(len(self.rows))
+            picked[full] = 1
+            score += picked @ self.rows if 2 * len(full) > len(self.rows) else self.rows[full].sum(axis=0)
+        score = score[self.entry]
         score[~unused] = 0
         found = np.flatnonzero(score)
         return found[np.lexsort((found, -score[found]))]
@@ -216,8 +257,8 @@ def pack(
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "packing")
     tokens = scratch.keep(tokenized(docs.select("doc_id", "text"), json_path, ranks_path, end_id), "tokens")
-    counts = term_document_counts(tokens)
     facts = tokens.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()
+    counts = term_document_counts(tokens, term_bits(facts["t"]))
     n_docs, mean_length = facts["n"], max(1.0, facts["t"] / max(1, facts["n"]))
     wanted = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-facts["t"] // partition_tokens))
     dealt = (

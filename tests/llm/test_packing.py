@@ -103,3 +103,54 @@ def test_copies_in_a_third_of_all_documents_are_neighbours():
     index = packing.ShardIndex(docs, counts, len(docs), 21.0)
     unused = np.arange(60) > 0
     assert index.neighbours(0, unused)[:19].tolist() == list(range(3, 60, 3))
+
+
+def full_bm25(docs, seed, counts, n_docs, mean_length):
+    """Scores of all documents for every term of ``seed``."""
+    pairs = [list(zip(d[:-1].tolist(), d[1:].tolist())) for d in docs]
+    slot = dict(zip(pairs[seed], packing.term_ids(docs[seed]).tolist()))
+    score = np.zeros(len(docs))
+    for pair, k in slot.items():
+        idf = np.log1p((n_docs - counts[k] + 0.5) / (counts[k] + 0.5))
+        for j, own in enumerate(pairs):
+            tf = own.count(pair)
+            norm = packing.K1 * (1 - packing.B + packing.B * len(docs[j]) / mean_length)
+            score[j] += idf * tf * (packing.K1 + 1) / (tf + norm) if counts[k] > 1 else 0
+    return score
+
+
+def check_neighbours(docs, seeds):
+    counts = np.zeros(packing.TERMS, np.int64)
+    for d in docs:
+        counts[np.unique(packing.term_ids(d))] += 1
+    mean = float(np.mean([len(d) for d in docs]))
+    index = packing.ShardIndex(docs, counts, len(docs), mean)
+    for seed in seeds:
+        unused = np.ones(len(docs), bool)
+        unused[seed] = False
+        score = full_bm25(docs, seed, counts, len(docs), mean)
+        got = index.neighbours(seed, unused)
+        assert set(got.tolist()) == set(np.flatnonzero((score > 0) & unused).tolist())
+        assert (np.diff(score[got]) <= 1e-9).all()
+
+
+def test_long_seeds_score_all_their_terms():
+    rng = np.random.default_rng(2)
+    words = (60 * rng.random((40, 400)) ** 3).astype(np.uint16) + 1
+    check_neighbours([np.append(w, 0).astype(np.uint16) for w in words], (0, 7, 39))
+
+
+def test_members_of_a_large_group_of_copies_are_neighbours():
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 50_000, 60)
+    docs = []
+    for k in range(60):
+        d = base.copy() if k % 3 == 0 else rng.integers(1, 50_000, 60)
+        if k % 6 == 0:
+            d[k // 6] = k
+        docs.append(np.append(d, 0).astype(np.uint16))
+    check_neighbours(docs, (0, 3, 6, 1))
+
+
+def test_terms_widen_with_the_corpus():
+    assert packing.term_bits(1000) == 18 < packing.term_bits(1 << 20) < packing.term_bits(1 << 40)
