@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections import Counter
 from collections.abc import Iterator, Mapping
 from itertools import chain
 
@@ -139,14 +140,13 @@ def repeated_words(ids: np.ndarray) -> int:
 
 
 def script_of(text: str) -> str:
-    """The script of most of up to 400 letters spread evenly over the whole text."""
-    step = max(1, len(text) // 400)
+    """The script of most letters of the whole text."""
     seen = dict.fromkeys((s for s, _, _ in SCRIPTS), 0)
-    for c in text[::step]:
+    for c, n in Counter(text).items():
         k = ord(c)
         for s, lo, hi in SCRIPTS:
             if lo <= k <= hi and c.isalpha():
-                seen[s] += 1
+                seen[s] += n
     best = max(seen, key=seen.get)
     return best if seen[best] else "other"
 

@@ -75,3 +75,9 @@ def test_scripts_and_empty_table(no_docs):
     assert [fertility.script_of(t) for t in ("hello", "привет", "你好世界", "αβγδ", "123")] == ["latin", "cyrillic", "han", "greek", "other"]
     assert fertility.with_fertility(no_docs).count() == 0
     assert fertility.reject_unfit(no_docs).columns == no_docs.columns
+
+
+def test_script_is_counted_over_the_whole_text():
+    assert fertility.script_of("ab " * 4000) == fertility.script_of("ab") != "other"
+    assert fertility.script_of(" abcdefghi" * 400) == fertility.script_of("ab")
+    assert fertility.script_of("1 2 " * 400) == "other"
