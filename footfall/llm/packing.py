@@ -66,7 +66,7 @@ def tokenized(docs: DataFrame, json_path: str, ranks_path: str, end_id: int) ->
         bpe = vocab.byte_bpe(json_path, ranks_path)
         end = np.array([end_id], np.uint16).tobytes()
         for texts in batches:
-            yield pd.Series([bpe.encode(t or "").tobytes() + end for t in texts], dtype=object)
+            yield pd.Series([bpe.encode(t or "") + end for t in texts], dtype=object)
 
     ids = docs.select("doc_id", encode("text").alias("ids"))
     return ids.select("doc_id", (F.octet_length("ids") / 2).cast("long").alias("n_tokens"), "ids")
@@ -140,52 +140,54 @@ class ShardIndex:
         texts = [np.frombuffer(raw, np.uint16) for raw in entries]
         self.m = len(texts)
         bits = len(counts).bit_length() - 1
-        none = np.zeros(0, np.int64)
-        keys, shift = [none], self.m.bit_length()
+        shared = counts > 1
+        keys, shift = [np.zeros(0, np.int64)], self.m.bit_length()
         for k, d in enumerate(texts):
-            keys.append(pairs_of(d)[counts[term_ids(d, bits)] > 1] << shift | k)
+            keys.append(pairs_of(d)[shared[term_ids(d, bits)]] << shift | k)
         ranked = np.concatenate(keys)
         ranked.sort()
         at = np.flatnonzero(np.diff(ranked, prepend=-1))
         tf = np.diff(np.r_[at, len(ranked)])
-        pairs, owner = ranked[at] >> shift, ranked[at] & (1 << shift) - 1
-        term = np.cumsum(np.diff(pairs, prepend=-1) != 0) - 1
-        df = counts[hashed(pairs >> 16, pairs & 0xFFFF, bits)]
+        ranked = ranked[at]
+        pairs, owner = ranked >> shift, ranked & (1 << shift) - 1
+        begins = np.flatnonzero(np.diff(pairs, prepend=-1))
+        sizes = np.diff(np.r_[begins, len(pairs)])
+        df = counts[hashed(pairs[begins] >> 16, pairs[begins] & 0xFFFF, bits)]
         idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
         lengths = np.array([len(d) for d in texts])
-        weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean_length))
-        sizes = np.bincount(term)
-        ends = np.cumsum(sizes)
+        norm = K1 * (1 - B + B * lengths / mean_length)
+        weight = np.repeat(idf, sizes) * tf * (K1 + 1) / (tf + norm[owner])
         self.posting_doc, self.posting_weight = owner, weight
-        self.own = np.bincount(owner, weight * (sizes[term] == 1), self.m)
+        held = np.repeat(sizes, sizes)
+        self.own = np.bincount(owner, weight * (held == 1), self.m)
         # terms in many entries: a row of weights for all entries
         dense = np.flatnonzero(sizes > max(1, self.m // DENSE))
         row_of = np.full(len(sizes), -1)
         row_of[dense] = np.arange(len(dense))
+        row = np.repeat(row_of, sizes)
+        full = np.flatnonzero(row >= 0)
         self.rows = np.zeros((len(dense), self.m))
-        full = row_of[term] >= 0
-        self.rows[row_of[term[full]], owner[full]] = weight[full]
-        # the terms of each entry that another one holds
-        by_owner = np.argsort(owner, kind="stable")
-        term, owner = term[by_owner], owner[by_owner]
-        full = row_of[term] >= 0
-        self.full_row, self.full_first = row_of[term[full]], np.searchsorted(owner[full], np.arange(self.m + 1))
-        few = ~full & (sizes[term] > 1)
-        self.left, self.right = (ends - sizes)[term[few]], ends[term[few]]
+        self.rows[row[full], owner[full]] = weight[full]
+        # the terms of each entry that another one holds, by entry
+        small = owner.astype(np.uint16 if self.m <= 1 << 16 else np.int64)  # 16 bits are sorted by radix
+        full = full[np.argsort(small[full], kind="stable")]
+        self.full_row = row[full]
+        self.full_first = np.searchsorted(owner[full], np.arange(self.m + 1))
+        few = np.flatnonzero((row < 0) & (held > 1))
+        few = few[np.argsort(small[few], kind="stable")]
+        self.left, self.size = np.repeat(begins, sizes)[few], held[few]
         self.first = np.searchsorted(owner[few], np.arange(self.m + 1))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with ``seed``, best first."""
         e = self.entry[seed]
-        left, sizes = (x[self.first[e] : self.first[e + 1]] for x in (self.left, self.right - self.left))
-        at = np.repeat(left - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        left, sizes = (x[self.first[e] : self.first[e + 1]] for x in (self.left, self.size))
+        at = np.repeat(left - np.cumsum(sizes) + sizes, sizes)
+        at += np.arange(len(at))
         score = np.bincount(self.posting_doc[at], self.posting_weight[at], self.m).astype(float)
         score[e] += self.own[e]
-        full = self.full_row[self.full_first[e] : self.full_first[e + 1]]
-        if len(full):
-            picked = np.zeros(len(self.rows))
-            picked[full] = 1
-            score += picked @ self.rows if 2 * len(full) > len(self.rows) else self.rows[full].sum(axis=0)
+        # rows are added up without a matrix product, whose threads would cost more than they save
+        score += self.rows[self.full_row[self.full_first[e] : self.full_first[e + 1]]].sum(axis=0)
         score = score[self.entry]
         score[~unused] = 0
         found = np.flatnonzero(score)

@@ -1,14 +1,21 @@
+import functools
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
+from tokenizers import Tokenizer
 
 from footfall.llm import packing, vocab
 
 
+@functools.cache
+def plain_tokenizer():
+    return Tokenizer.from_file(vocab.public_path("byte_bpe_50k.json"))
+
+
 def reference_ids(text):
-    tok = vocab.json_bpe(vocab.public_path("byte_bpe_50k.json"))
-    return np.array([*tok.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+    return np.array([*plain_tokenizer().encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
 def check_pieces(pieces, texts, window):
@@ -54,7 +61,13 @@ def test_both_vocabulary_files_agree(sf_dir, spark):
     bpe = vocab.byte_bpe(vocab.public_path("byte_bpe_50k.json"), vocab.public_path("byte_bpe_50k.tiktoken"))
     texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
     for t in [*texts, "a  b\n\n c\t", "<|endoftext|>", "it's 12 o'clock", "naïve Ünïcode", "日本語 text", ""]:
-        assert bpe.encode(t or "").tolist() == reference_ids(t)[:-1].tolist()
+        assert np.frombuffer(bpe.encode(t or ""), np.uint16).tolist() == reference_ids(t)[:-1].tolist()
+    assert reference_ids("a<|endoftext|>b").tolist() == [64, 50256, 65, 0]
+    rng = random.Random(3)
+    parts = [*"ab1'.,-é \x85\x1c　你", " ", "  ", "\n", "\t", "\n ", "don't", "<|endoftext|>", " the", " 's"]
+    for _ in range(20_000):
+        t = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert np.frombuffer(bpe.encode(t), np.uint16).tolist() == reference_ids(t)[:-1].tolist(), t
 
 
 def test_neighbours_fill_the_window_of_their_seed():
