@@ -1,73 +1,71 @@
 """Line dedup: drop boilerplate lines, keeping them in one document.
 
-Native DataFrame code throughout. Every line long enough gets a 128-bit hash
-of its key; hashes are counted with map-side combining, so a line that a third
-of all documents hold costs one partial row per task. Occurrences of repeated
-keys meet their keeper in a join that AQE may split, and the lines to drop come
-back as sparse bitmaps of a few longs per document. A window over hash ranges
-would read every occurrence of one hot line in one task; see the README.
+Native DataFrame code throughout. Every line long enough gets a 128-bit hash of
+its key. Hashes are range-partitioned and sorted within by document and
+position, and each range streams its first occurrences. As ranges are of a
+hash and a spread of the documents, a line in a third of all documents crosses
+ranges: their counts and keepers are added up with map-side combining, so such
+a line costs one partial row per task. Decisions go back by hash and spread,
+and come out as compressed keep bitmaps per document instead of text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.llm.text import ascii_lower, ascii_strip
+from footfall.llm.scratch import Scratch
+from footfall.llm.spread import bit, each_part, parts_seen, spread_of
+from footfall.llm.text import ascii_lower, ascii_strip, unused_names
 
 WORD_BITS = 64
 
 
-def _hashes(key):
-    return F.xxhash64(F.lit(1), key), F.xxhash64(F.lit(2), key)
-
-
 def line_table(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     """One row per line whose key has at least ``min_chars`` code points.
 
-    Columns: doc_id, text_hash (with doc_id it names a row of ``docs``), pos,
-    h1, h2. Null text is one empty line and so gives no row.
+    Columns: doc_id, text_hash (with doc_id it names the text), row (a number of
+    the row of ``docs``), pos, h1, h2. Null text is one empty line and so gives
+    no row.
     """
     lines = docs.select(
         "doc_id",
         F.xxhash64("text").alias("text_hash"),
+        F.monotonically_increasing_id().alias("row"),
         F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"),
     )
-    stripped = lines.select(
-        "doc_id", "text_hash", "pos", ascii_strip(F.col("line")).alias("key")
-    ).where(F.char_length("key") >= min_chars)
-    h1, h2 = _hashes(ascii_lower(F.col("key")))
-    return stripped.select("doc_id", "text_hash", "pos", h1.alias("h1"), h2.alias("h2"))
+    stripped = lines.select("doc_id", "text_hash", "row", "pos", ascii_strip(F.col("line")).alias("key")).where(
+        F.char_length("key") >= min_chars
+    )
+    keyed = stripped.withColumn("key", ascii_lower(F.col("key")))
+    return keyed.select(
+        "doc_id", "text_hash", "row", "pos", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2")
+    )
 
 
-def repeated_keys(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """Keys found in at least ``min_docs`` documents and their largest doc_id.
+def occurrences(lines: DataFrame) -> DataFrame:
+    """``lines`` in ranges of h1, h2 and spread, with ``first``: no line of its document comes before it there.
 
-    A key repeated inside one document counts once; each row of ``docs`` counts
-    as a document.
+    Ranges are sorted by document, the largest doc_id first, and position. The
+    window reads them as they are dealt, without another shuffle.
     """
-    keys = docs.select(
-        "doc_id",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.filter(
-                        F.transform(F.split("text", "\n", -1), ascii_strip),
-                        lambda k: F.char_length(k) >= min_chars,
-                    ),
-                    lambda k: F.struct(
-                        _hashes(ascii_lower(k))[0].alias("h1"),
-                        _hashes(ascii_lower(k))[1].alias("h2"),
-                    ),
-                )
-            )
-        ).alias("h"),
-    )
-    return (
-        keys.groupBy(F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
-        .where(F.col("n_docs") >= min_docs)
+    dealt = lines.withColumn("spread", spread_of("row")).repartitionByRange("h1", "h2", "spread")
+    stream = Window.partitionBy("h1", "h2", "spread").orderBy(F.desc_nulls_last("doc_id"), "row", "pos")
+    return dealt.withColumn("first", ~F.col("row").eqNullSafe(F.lag("row").over(stream))).drop("row")
+
+
+def repeated_keys(found: DataFrame, min_docs: int = 5) -> DataFrame:
+    """h1, h2 and spread of :func:`occurrences` in at least ``min_docs`` documents, with their largest doc_id.
+
+    Ranges are summed up in each task, one row per key it holds. A key repeated
+    inside one document counts once; each row of the documents counts as one.
+    """
+    totals = found.groupBy("h1", "h2").agg(
+        F.sum(F.col("first").cast("long")).alias("n_docs"),
+        F.max("doc_id").alias("keeper"),
+        parts_seen(F.col("spread")).alias("seen"),
     )
+    return totals.where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper", each_part("seen").alias("spread"))
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -76,17 +74,20 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     Bit ``p % 64`` of ``keep[p div 64]`` is 1 when line ``p`` stays. Words whose
     lines all stay are left out, and so are documents that lose no line.
     """
-    lines = line_table(docs, min_chars)
-    keys = repeated_keys(docs, min_chars, min_docs)
-    dropped = lines.join(keys, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos") % WORD_BITS)
+    scratch = Scratch(docs.sparkSession, "lines")
+    found = scratch.keep(occurrences(line_table(docs, min_chars)), "occurrences")
+    keys = repeated_keys(found, min_docs)
+    dropped = found.join(keys, ["h1", "h2", "spread"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     words = dropped.groupBy(
         "doc_id", "text_hash", F.floor(F.col("pos") / WORD_BITS).cast("int").alias("word")
-    ).agg(F.bit_or(bit).alias("gone"))
-    return words.groupBy("doc_id", "text_hash").agg(
+    ).agg(F.bit_or(bit(F.col("pos") % WORD_BITS)).alias("gone"))
+    maps = words.groupBy("doc_id", "text_hash").agg(
         F.map_from_entries(F.collect_list(F.struct("word", F.bitwise_not("gone").alias("bits")))).alias("keep"),
         F.sum(F.bit_count("gone")).alias("n_dropped"),
     )
+    maps = scratch.keep(maps, "bitmaps")
+    scratch.drop("occurrences")
+    return maps
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -103,13 +104,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     """
     added = ("n_lines", "n_dropped", "keep")
     extra = [c for c in docs.columns if c not in added]
-    maps = keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), "keep", "n_dropped"
-    )
     base = docs.select(*extra)
-    joined = base.join(
-        maps, base["doc_id"].eqNullSafe(maps["_id"]) & (F.xxhash64(base["text"]) == maps["_th"]), "left"
-    )
+    own, name = unused_names(base, "own_id", "text_hash")
+    maps = keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs)
+    maps = maps.withColumnsRenamed({"doc_id": own, "text_hash": name})
+    joined = base.join(maps, base["doc_id"].eqNullSafe(maps[own]) & (F.xxhash64(base["text"]) == maps[name]), "left")
     lines = F.split("text", "\n", -1)
 
     def stays(_, p):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -25,3 +25,15 @@ def ascii_lower(text: Column) -> Column:
 def ascii_strip(text: Column) -> Column:
     """Drop the six ASCII white-space characters at both ends."""
     return F.trim(text, F.lit(ASCII_SPACE))
+
+
+def unused_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores added as keep it from a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -21,7 +21,9 @@ def odd_docs(spark):
         (8, "Grüße aus Köln, ça va bien? Señor ¡hola! 你好 世界 привет", "de", "a", 9),
     ]
     df = spark.createDataFrame(rows, DOCS)
-    return df.selectExpr("*", "1 AS kept", "2 AS n_words", "3 AS size", "4 AS n_dropped", "'x' AS label", "5 AS component")
+    clashing = """kept n_words size n_dropped label component keep own_id text_hash row pos spread first keeper _id _th _m
+    _size _pass _at _rows _source position target taken ids route bucket before set_id n_shingles measures starts""".split()
+    return df.selectExpr("*", *[f"{k} AS {name}" for k, name in enumerate(clashing)])
 
 
 @pytest.fixture
