@@ -6,17 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.scratch import Scratch
+from footfall.llm.spread import each_part, parts_seen, spread_of
 
 MAX_ROUNDS = 60
 
 
+def with_least(edges: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with ``m``, the least v of each u, dealt so that no u fills a task."""
+    dealt = edges.withColumn("spread", spread_of("v"))
+    least = dealt.groupBy("u").agg(F.min("v").alias("m"), parts_seen(F.col("spread")).alias("seen"))
+    return dealt.join(least.select("u", "m", each_part("seen").alias("spread")), ["u", "spread"]).drop("spread")
+
+
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node and component (its smallest node) for every node of ``links`` (a, b).
 
     Alternates between pointing every node at the smallest node it knows and
     its larger neighbours at that one too, so chains halve in each round, and
     writes every round's links, so a lost executor costs one round at most.
-    A node of very many links is combined in each task before it is shuffled.
+    A node of very many links is combined in each task before it is shuffled,
+    and its links are dealt over parts.
     """
     edges = scratch.keep(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(),
@@ -25,18 +34,12 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     for step in range(1, MAX_ROUNDS):
         # large star: larger neighbours of u go to the least of u and its neighbours
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         # small star: smaller neighbours of u, and u, go to the least of them
         down = large.where("u <> v").distinct()
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            down.join(low, "u")
-            .where("v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
+        low = with_least(down)
+        small = low.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = small.distinct()
         new = scratch.keep(small, f"{name}-{step}")
         stars = new.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
         chained = new.join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1)

@@ -3,7 +3,8 @@
 1. Every task hashes its documents' shingles and sends them to hash buckets,
    packed in arrays. A bucket counts in how many different sets each shingle is
    and answers with those that are in two or more. What no other set holds
-   can't link anything, and its rank (first of all) needs no name.
+   can't link anything, and its rank (first of all) needs no name. Shingles that
+   very many sets hold are known beforehand and answered in salted groups.
 2. Each set now knows its shared shingles and, from its size, how many unshared
    ones come before them in rare-first order. If those fill its prefix it links
    with nothing. The others are written with their prefix.
@@ -27,12 +28,18 @@ from pyspark.sql import functions as F
 
 from footfall.llm.components import components
 from footfall.llm.scratch import Scratch
+from footfall.llm.spread import each_part, parts_seen, spread_of
+from footfall.llm.text import unused_names
 from footfall.ship import ship
 
 WORDS = 5
 #: Shingles that a bucket counts at once, and that a task gathers before it sends.
-BUCKET_SHINGLES = 1 << 20
-FLUSH_SHINGLES = 1 << 20
+BUCKET_SHINGLES = 1 << 19
+FLUSH_SHINGLES = 1 << 18
+#: One set in so many shows which shingles are hot, and most hot shingles that are sent to tasks.
+SAMPLED, MAX_HOT = 32, 1 << 22
+#: Buckets of hot shingles have their salt above this bit.
+HOT_BIT = 40
 SIGNATURE = 128
 #: Up to so many pairs, only the sets that they name are shuffled to verify them.
 BROADCAST_PAIRS = 200_000
@@ -45,6 +52,8 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
 _SEGMENT = 1 << 18
+#: Hash bits that the sample of hot shingles leaves out.
+_KEPT = np.uint64(4)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -149,29 +158,57 @@ def least_overlap(n, m, percent: int):
 
 
 def described(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles and set_id of every row."""
+    """doc_id, text_hash, n_shingles and set_id of every row, and of one set in SAMPLED its shingles."""
 
-    @F.pandas_udf("n_shingles long, set_id long")
+    @F.pandas_udf("n_shingles long, set_id long, sample array<long>")
     def describe(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             s = shingle_set(t, words)
-            rows.append((len(s), set_id(s)))
-        return pd.DataFrame(rows, columns=["n_shingles", "set_id"])
+            name = set_id(s)
+            rows.append((len(s), name, (s >> _KEPT).astype(np.int64) if name and name % SAMPLED == 0 else None))
+        return pd.DataFrame(rows, columns=["n_shingles", "set_id", "sample"])
 
-    return docs.select("doc_id", describe("text").alias("d")).select("doc_id", "d.*")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), describe("text").alias("d")).select(
+        "doc_id", "text_hash", "d.*"
+    )
+
+
+def hot_shingles(own: DataFrame) -> np.ndarray:
+    """Shingles that very many sets hold, most frequent first, as :func:`described`'s sample shows.
+
+    They need no exact count: any order that all sets agree on serves, and these
+    come last in it. Their entries are answered in salted groups. A shingle is
+    one of them from a share of the sampled sets that makes its group larger
+    than a bucket should be; at most MAX_HOT are sent out.
+    """
+    sampled = own.where(F.col("sample").isNotNull()).groupBy("set_id").agg(F.first("sample").alias("sample"))
+    facts = sampled.agg(F.count(F.lit(1)).alias("n")).first()
+    least = max(8, min(facts["n"] // 256, BUCKET_SHINGLES // SAMPLED))
+    counts = sampled.select(F.explode("sample").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k"))
+    rows = counts.where(F.col("k") >= least).orderBy(F.desc("k"), "h").limit(MAX_HOT).select("h").toPandas()
+    return rows["h"].to_numpy(np.int64).astype(np.uint64)
 
 
-def shared_shingles(docs: DataFrame, total: int, percent: int, words: int = WORDS) -> DataFrame:
+def shared_shingles(
+    docs: DataFrame, total: int, percent: int, words: int = WORDS, hot: np.ndarray | None = None, salts: int = 1
+) -> DataFrame:
     """The sets whose prefix holds shingles of other sets.
 
     Columns: set_id, n, unshared, shared (sorted 64-bit hashes), prefix (the
     shared hashes of the prefix, rare first) and signature (how many shared
-    hashes fall in each of SIGNATURE ranges).
+    hashes fall in each of SIGNATURE ranges). Entries of ``hot`` shingles (their
+    upper 60 bits) go to ``salts`` groups a bucket.
     """
     bits = max(4, int(np.ceil(np.log2(max(1, total / BUCKET_SHINGLES)))))
-    width = 48 + min(bits, 16)  # hash bits that are kept
+    width = 48 + min(bits, 12)  # hash bits that are kept
+    low_bits = np.uint64((1 << (width - bits)) - 1)
     block_bits = bits
+    hot_sorted = np.unique((np.zeros(0, np.uint64) if hot is None else hot) >> np.uint64(60 - width))
+
+    def is_hot(s: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(hot_sorted, s), len(hot_sorted) - 1)
+        return hot_sorted[at] == s
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets: list[np.ndarray] = []
@@ -181,13 +218,15 @@ def shared_shingles(docs: DataFrame, total: int, percent: int, words: int = WORD
 
         def flush() -> pd.DataFrame:
             sizes = np.array([len(s) for s in sets], np.int64)
+            ids = np.array(names, np.int64)
             h = np.concatenate(sets)
             owner = np.repeat(np.arange(len(sets)), sizes)
             bucket = (h >> np.uint64(width - bits)).astype(np.int64)
-            order = np.argsort(bucket * len(sets) + owner, kind="stable")
+            if len(hot_sorted):
+                bucket = np.where(is_hot(h), bucket + (1 + ids[owner] % salts << HOT_BIT), bucket)
+            order = np.lexsort((owner, bucket))
             h, owner, bucket = h[order], owner[order], bucket[order]
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ids = np.array(names, np.int64)
             rows = []
             for lo, hi in zip(cuts, np.r_[cuts[1:], len(h)]):
                 own = owner[lo:hi]
@@ -205,7 +244,7 @@ def shared_shingles(docs: DataFrame, total: int, percent: int, words: int = WORD
                 name = set_id(s)
                 if not name or name in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen.add(name)
                 s = s >> np.uint64(64 - width)
@@ -221,30 +260,33 @@ def shared_shingles(docs: DataFrame, total: int, percent: int, words: int = WORD
             yield flush()
 
     def answer(key, group: pd.DataFrame) -> pd.DataFrame:
-        high = np.uint64(key[0]) << np.uint64(width - bits)
-        low_bits = np.uint64((1 << (width - bits)) - 1)
+        salted, bucket = key[0] >> HOT_BIT, key[0] & (1 << HOT_BIT) - 1
+        high = np.uint64(bucket) << np.uint64(width - bits)
         ids = np.frombuffer(b"".join(group["sets"]), np.int64)
         sizes = np.frombuffer(b"".join(group["sizes"]), np.uint32)
         counts = np.frombuffer(b"".join(group["counts"]), np.uint32)
-        h = _unpack48(b"".join(group["hashes"]))
-        h = (h & low_bits) | high
-        which = np.repeat(np.arange(len(ids)), counts)
-        order = np.argsort(h, kind="stable")
-        h, which = h[order], which[order]
-        start = np.r_[True, h[1:] != h[:-1]]
-        group_no = np.cumsum(start) - 1
-        twice = np.bincount(group_no)[group_no] > 1
-        h, which, group_no = h[twice], which[twice], group_no[twice]
+        h = (_unpack48(b"".join(group["hashes"])) & low_bits) | high
+        which = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+        if not salted:  # drop what is there once, before anything is sorted by set
+            order = np.argsort(h, kind="stable")
+            h, which = h[order], which[order]
+            same = h[1:] == h[:-1]
+            twice = np.r_[False, same] | np.r_[same, False] if len(h) else np.zeros(0, bool)
+            h, which = h[twice], which[twice]
         # the same set may have come from several tasks
         name = ids[which]
-        order = np.lexsort((name, group_no))
-        h, which, name, group_no = h[order], which[order], name[order], group_no[order]
-        new = np.r_[True, (group_no[1:] != group_no[:-1]) | (name[1:] != name[:-1])] if len(h) else np.zeros(0, bool)
-        h, which, name, group_no = h[new], which[new], name[new], group_no[new]
-        held_by = np.bincount(group_no)[group_no] if len(h) else group_no
-        more = held_by > 1
-        h, which, name, held_by = h[more], which[more], name[more], held_by[more]
-        rarity = np.minimum(255, np.round(8 * np.log2(np.maximum(1, held_by)))).astype(np.uint8)
+        order = np.lexsort((name, h))
+        h, which, name = h[order], which[order], name[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (name[1:] != name[:-1])] if len(h) else np.zeros(0, bool)
+        h, which, name = h[new], which[new], name[new]
+        if salted:
+            rarity = np.full(len(h), 255, np.uint8)
+        else:
+            group_no = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1 if len(h) else np.zeros(0, np.int64)
+            held_by = np.bincount(group_no)[group_no] if len(h) else group_no
+            more = held_by > 1
+            h, which, name, held_by = h[more], which[more], name[more], held_by[more]
+            rarity = np.minimum(254, np.round(8 * np.log2(np.maximum(1, held_by)))).astype(np.uint8)
         block = name >> (63 - block_bits)
         order = np.lexsort((h, name))
         h, which, name, rarity, block = (x[order] for x in (h, which, name, rarity, block))
@@ -255,15 +297,14 @@ def shared_shingles(docs: DataFrame, total: int, percent: int, words: int = WORD
             first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             k = np.diff(np.r_[first, len(own)]).astype(np.uint32)
             rows.append(
-                (int(block[lo]), key[0], own[first].tobytes(), sizes[which[lo:hi][first]].tobytes(), k.tobytes(), _pack48(h[lo:hi]), rarity[lo:hi].tobytes())
+                (int(block[lo]), bucket, own[first].tobytes(), sizes[which[lo:hi][first]].tobytes(), k.tobytes(), _pack48(h[lo:hi]), rarity[lo:hi].tobytes())
             )
         return pd.DataFrame(rows, columns=["block", "bucket", "sets", "sizes", "counts", "hashes", "rarity"])
 
     def assemble(key, group: pd.DataFrame) -> pd.DataFrame:
         high = np.concatenate(
-            [np.full(len(r) , np.uint64(b) << np.uint64(width - bits)) for b, r in zip(group["bucket"], group["rarity"])]
+            [np.full(len(r), np.uint64(b) << np.uint64(width - bits)) for b, r in zip(group["bucket"], group["rarity"])]
         )
-        low_bits = np.uint64((1 << (width - bits)) - 1)
         ids = np.frombuffer(b"".join(group["sets"]), np.int64)
         sizes = np.frombuffer(b"".join(group["sizes"]), np.uint32).astype(np.int64)
         counts = np.frombuffer(b"".join(group["counts"]), np.uint32)
@@ -418,11 +459,14 @@ def cross_pairs(entries: DataFrame, groups: DataFrame, percent: int) -> DataFram
     all others: a large group of near copies, joined before, costs its size.
     """
     own = with_components(entries, groups)
-    mixed = own.join(hubs_of(own), "h")
+    # sizes of linked sets differ by one band at most
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.001 * 100 / percent))).cast("int")
+    mixed = own.join(hubs_of(own), "h").drop("unshared").withColumn("band", band)
     outer = mixed.where("component <> hub").select(
-        "h", F.col("set_id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("pos").alias("px")
+        "h", F.col("set_id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("pos").alias("px"),
+        F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"),
     )
-    met = outer.join(mixed.drop("unshared"), "h").where(
+    met = outer.join(mixed, ["h", "band"]).where(
         (F.col("cx") != F.col("component"))
         & ((F.col("component") == F.col("hub")) | (F.col("x") < F.col("set_id")))
         & may_link(F.col("nx"), F.col("n"), F.col("px"), F.col("pos"), percent)
@@ -474,12 +518,24 @@ def near_documents(docs: DataFrame, percent: int = 75, words: int = WORDS) -> Da
     but names a component only where no member has an id. Other columns aren't
     read. An empty table gives no rows.
     """
+    out = linked_rows(docs, percent, words).select("doc_id", "n_shingles", "component_id")
+    return out.select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def linked_rows(docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and head of every row.
+
+    ``head`` says whether the row's doc_id and text are those that stand for its
+    component: the smallest doc_id, a null one last, and of its texts one by
+    hash. It is null for rows without shingles.
+    """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "ngrams")
     own = scratch.keep(described(docs, words), "documents")
-    total = own.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    sets = scratch.keep(shared_shingles(docs, total, percent, words), "sets")
+    facts = own.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("n")).first()
+    salts = 1 + (facts["n"] >> 18)
+    sets = scratch.keep(shared_shingles(docs, facts["total"], percent, words, hot_shingles(own), salts), "sets")
     entries = scratch.keep(prefix_entries(sets), "entries")
     tried = scratch.keep(neighbour_pairs(entries, percent), "pairs-0")
     links = scratch.keep(verify(tried, sets, percent), "links-0")
@@ -499,26 +555,44 @@ def near_documents(docs: DataFrame, percent: int = 75, words: int = WORDS) -> Da
         groups = scratch.keep(components(links.union(more), scratch, "all"), "components")
     for name in ("sets", "entries", "crossing", "more"):
         scratch.drop(name)
-    filled = own.where("n_shingles > 0").join(
-        groups.select(F.col("node").alias("set_id"), "component"), "set_id", "left"
-    ).withColumn("component", F.coalesce("component", "set_id"))
-    named = filled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = filled.join(named, "component").select("doc_id", "n_shingles", "component_id")
-    empty = own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.union(empty).select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = groups.select(F.col("node").alias("set_id"), "component")
+    filled = own.where("n_shingles > 0").drop("sample").join(named, "set_id", "left")
+    filled = filled.select(
+        "doc_id", "text_hash", "n_shingles", F.coalesce("component", "set_id").alias("component"),
+        spread_of("doc_id", "text_hash").alias("spread"),
+    )
+    filled = scratch.keep(filled, "filled")
+    heads = filled.groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("least"),
+        parts_seen(F.col("spread")).alias("seen"),
+    )
+    heads = heads.select("component", "least", each_part("seen").alias("spread"))
+    out = filled.join(heads, ["component", "spread"]).select(
+        "doc_id",
+        "text_hash",
+        "n_shingles",
+        F.col("least.doc_id").alias("component_id"),
+        (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))).alias("head"),
+    )
+    none = F.lit(None).cast("boolean")
+    empty = own.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), none)
+    return out.union(empty)
 
 
 def keep_one(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame:
     """``docs`` without the documents that another of their group stands for.
 
-    The smallest doc_id of a group stays, and so do rows without shingles. Of
-    rows with one doc_id and text, one stays.
+    Of a group one row stays: that of its smallest doc_id, a null one last, and
+    where that has several texts or rows, one of them. Rows without shingles all
+    stay. Columns of any name pass through.
     """
-    near = near_documents(docs, percent, words).where("kept")
-    kept = near.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"])).select(*docs.columns, "_rows")
-    repeated = joined.where("_rows > 1").dropDuplicates(["doc_id", "text"])
-    return joined.where("_rows = 1").union(repeated).select(*docs.columns)
+    own, name, rows = unused_names(docs, "own_id", "text_hash", "rows")
+    kept = linked_rows(docs, percent, words).where(F.coalesce("head", F.lit(True)))
+    # how many rows of a kept doc_id and text are copies of each other; none of those without shingles
+    kept = kept.groupBy(F.col("doc_id").alias(own), F.col("text_hash").alias(name)).agg(F.count("head").alias(rows))
+    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept[own]) & (F.xxhash64(docs["text"]) == kept[name]))
+    repeated = joined.where(F.col(rows) > 1).dropDuplicates(["doc_id", "text"])
+    return joined.where(F.col(rows) <= 1).union(repeated).select(*docs.columns)
 
 
 def op7_ngram_jaccard_join(docs: DataFrame) -> DataFrame:

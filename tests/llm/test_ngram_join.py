@@ -109,3 +109,27 @@ def test_components(spark):
             want[a] = want[b] = min(want[a], want[b])
     linked = {x for a, b in links if a != b for x in (a, b)}
     assert got == {k: v for k, v in want.items() if k in linked}
+
+
+def test_hot_shingles(spark):
+    """A passage in over a third of all sets: its shingles are hot, and links through it stay."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(24))
+    rows = []
+    for i in range(900):
+        own = " ".join(f"u{rng.randrange(10**9)}" for _ in range(rng.choice([0, 1, 3, 30])))
+        rows.append((i, f"{passage} {own}" if i % 3 else f"{own} x{i} y z {own}"))
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = N.hot_shingles(N.described(own))
+    assert len(hot) == 20
+    assert run(spark, rows) == brute(rows)
+
+
+def test_one_row_of_a_group_stays(spark):
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen"
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, a), (5, a), (5, b), (6, near), (6, near + " end"), (None, b), (None, "x y z"), (None, "x y z"), (7, None), (7, None)]
+    kept = N.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert [g for g in got if g[0] != 6] == sorted([(1, a), (5, b), (None, "x y z"), (7, None), (7, None)], key=str)
+    assert len([g for g in got if g[0] == 6]) == 1
