@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.llm.scratch import Scratch
+from footfall.llm.text import unused_names
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -29,10 +30,15 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def hash_order(doc_id: Column) -> Column:
-    """60 bits of a digest, as DuckDB can make them too."""
-    hexed = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15)
-    return F.conv(hexed, 16, 10).cast("long")
+def hash_order(doc_id: Column, text: Column | None = None) -> Column:
+    """60 bits of a digest of id and text, as DuckDB can make them too.
+
+    With the text, rows of one doc_id (or of none) still spread over all places.
+    """
+    name = F.coalesce(doc_id.cast("string"), F.lit(""))
+    if text is not None:
+        name = F.concat(name, F.lit("|"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -148,15 +154,15 @@ def mix(
     (to a word) is met, so at most one document of a source is taken in part.
     Positions are the training times of its first and second pass, null for a
     pass it isn't in. Null text has size 0 and is not taken; null sources form
-    one source, last in order. Rows with the same doc_id share a place in the
-    order and follow each other by size. An empty table gives no rows.
+    one source, last in order. Rows with the same doc_id and text share a place
+    in the order. An empty table gives no rows.
     """
     sized = Scratch(docs.sparkSession, "mix").keep(docs.select(
         "doc_id",
         F.xxhash64("text").alias("text_hash"),
         "source",
         count_words(F.col("text")).alias("size"),
-        hash_order(F.col("doc_id")).alias("order_key"),
+        hash_order(F.col("doc_id"), F.col("text")).alias("order_key"),
     ), "sized")
     targets = source_targets(sized, weights, share, cap)
     lookup = targets.withColumnRenamed("source", "_source")
@@ -196,44 +202,54 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
 
     A document taken once and a half comes whole and then cut to half its words;
     a document that isn't taken is left out. Rows that agree in doc_id, text and
-    source are all taken like the one that is taken most.
+    source are numbered where the mix takes them unequally, and share what it
+    takes of all of them; they have the position of the first. Columns of any
+    name pass through.
     """
-    takes = F.max(F.struct("taken", "size", "position", "again_position")).alias("m")
-    mixed = (
-        mix(docs, **options)
-        .where(F.col("taken") > 0)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.col("source").alias("_source"))
-        .agg(takes)
-        .select(
-            "_id",
-            "_th",
-            "_source",
-            F.col("m.size").alias("_size"),
-            F.col("m.taken").alias("_taken"),
-            F.col("m.position").alias("_p1"),
-            F.col("m.again_position").alias("_p2"),
-        )
-    )
+    names = ("own_id", "own_text", "own_source", "size", "first", "second", "rows", "at_first", "at_second", "rank", "take", "at")
+    own_id, own_text, own_source, size, first, second, rows, at_first, at_second, rank, take, at = unused_names(docs, *names)
+    col = F.col
+    once = F.least("taken", "size")
+    mixed = mix(docs, **options).groupBy("doc_id", "text_hash", "source").agg(
+        F.max("size").alias(size),
+        F.sum(once).alias(first),
+        F.sum(col("taken") - once).alias(second),
+        F.count(F.lit(1)).alias(rows),
+        F.min("position").alias(at_first),
+        F.min("again_position").alias(at_second),
+    ).where(col(first) > 0)
+    mixed = mixed.withColumnsRenamed({"doc_id": own_id, "text_hash": own_text, "source": own_source})
     joined = docs.join(
         mixed,
-        docs["doc_id"].eqNullSafe(mixed["_id"]) & (F.xxhash64(docs["text"]) == mixed["_th"])
-        & docs["source"].eqNullSafe(mixed["_source"]),
+        docs["doc_id"].eqNullSafe(mixed[own_id]) & (F.xxhash64(docs["text"]) == mixed[own_text])
+        & docs["source"].eqNullSafe(mixed[own_source]),
     )
+    uneven = (col(first) % (col(size) * col(rows)) != 0) | (col(second) % (col(size) * col(rows)) != 0)
+    uneven = uneven & (col(rows) > 1)  # at most where a source's pass ends
+    numbered = joined.where(uneven).withColumn(
+        rank, F.row_number().over(Window.partitionBy(own_id, own_text, own_source).orderBy(F.lit(0))) - 1
+    )
+    ranked = joined.where(~uneven).withColumn(rank, F.lit(None).cast("int")).union(numbered)
+
+    def words_taken(total: str) -> Column:
+        alike = (col(total) / col(rows)).cast("long")
+        return F.when(col(rank).isNull(), alike).otherwise(words_of(col(rank) * col(size), col(size), col(total)))
+
     passes = F.filter(
         F.array(
-            F.struct(F.col("_p1").alias("at"), F.least("_taken", "_size").alias("n")),
-            F.struct(F.col("_p2").alias("at"), (F.col("_taken") - F.col("_size")).alias("n")),
+            F.struct(col(at_first).alias("at"), words_taken(first).alias("n")),
+            F.struct(col(at_second).alias("at"), words_taken(second).alias("n")),
         ),
         lambda p: p["at"].isNotNull() & (p["n"] > 0),
     )
-    rows = joined.select(*docs.columns, "_size", F.explode(passes).alias("_pass"))
+    taken = ranked.select(*docs.columns, size, F.explode(passes).alias(take))
+    n = col(take).getField("n")
     ends = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cut = F.array_join(F.slice(ends, F.lit(1), F.col("_pass.n").cast("int")), "")
-    text = F.when(F.col("_pass.n") < F.col("_size"), cut).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
+    cut = F.array_join(F.slice(ends, F.lit(1), n.cast("int")), "")
+    taken = taken.withColumn("text", F.when(n < col(size), cut).otherwise(col("text")))
     own = {"n_chars": F.char_length("text").cast("long")}
-    out = rows.select(*[own.get(c, F.col(c)).alias(c) for c in docs.columns], F.col("_pass.at").alias("_at"))
-    return out.repartitionByRange("_at", "doc_id").sortWithinPartitions("_at", "doc_id").drop("_at")
+    out = taken.select(*[own.get(c, col(c)).alias(c) for c in docs.columns], col(take).getField("at").alias(at))
+    return out.repartitionByRange(at, "doc_id").sortWithinPartitions(at, "doc_id").drop(at)
 
 
 def op3_curriculum_mix(docs: DataFrame) -> DataFrame:
@@ -247,7 +263,7 @@ def op3_curriculum_mix(docs: DataFrame) -> DataFrame:
 OP3_SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS k
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r
       FROM d GROUP BY source),

@@ -84,3 +84,17 @@ def test_odd_rows(odd_docs, no_docs):
     assert all(r["size"] == 0 and r["taken"] == 0 for r in out if r["doc_id"] in (3, 4, 5))
     assert curriculum.mix(no_docs).count() == 0
     assert curriculum.apply_mix(odd_docs).columns == odd_docs.columns
+
+
+def test_repeated_rows_share_what_is_taken(spark):
+    rows = [(1, "w " * 50, "en", "a", 0)] * 4 + [(2, "v " * 68, "en", "b", 0)] * 1
+    df = docs(spark, rows).selectExpr("*", "1 AS size", "2 AS take", "3 AS at", "4 AS own_id", "5 AS rank")
+    for share in (0.5, 1.1, 1.5):
+        want, got = {}, {}
+        for r in curriculum.mix(df, share=share).collect():
+            want[r["doc_id"]] = want.get(r["doc_id"], 0) + r["taken"]
+        out = curriculum.apply_mix(df, share=share)
+        assert out.columns == df.columns
+        for r in out.collect():
+            got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(r["text"].split())
+        assert got == {d: t for d, t in want.items() if t}
