@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import functools
 import math
-from collections import Counter
 from collections.abc import Iterator, Mapping
 from itertools import chain
 
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from footfall.llm import vocab
+from footfall.llm.text import unused_names
 from footfall.ship import ship
 
 SYMBOLS = b"#*$%&|<>"
@@ -40,6 +40,8 @@ BANDS: dict[str, tuple[float, float, float, float]] = {
     "other": (0.2, 12.0, 1.0, 0.4),
 }
 
+#: Characters that are counted by script at a time.
+SCRIPT_PART = 1 << 16
 #: First and last code point of the blocks that name a script.
 SCRIPTS = [
     ("latin", 0x0041, 0x024F),
@@ -142,11 +144,12 @@ def repeated_words(ids: np.ndarray) -> int:
 def script_of(text: str) -> str:
     """The script of most letters of the whole text."""
     seen = dict.fromkeys((s for s, _, _ in SCRIPTS), 0)
-    for c, n in Counter(text).items():
-        k = ord(c)
-        for s, lo, hi in SCRIPTS:
-            if lo <= k <= hi and c.isalpha():
-                seen[s] += n
+    for at in range(0, len(text), SCRIPT_PART):
+        codes, times = np.unique(np.frombuffer(text[at : at + SCRIPT_PART].encode("utf-32-le"), np.uint32), return_counts=True)
+        for k, n in zip(codes.tolist(), times.tolist()):
+            for s, lo, hi in SCRIPTS:
+                if lo <= k <= hi and chr(k).isalpha():
+                    seen[s] += n
     best = max(seen, key=seen.get)
     return best if seen[best] else "other"
 
@@ -205,13 +208,16 @@ def fertility(ranks_path: str | None = None, pieces_path: str | None = None, ban
     @F.pandas_udf(METRICS)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         costs = _costs(ranks_path, pieces_path)
-        for texts, langs in batches:
-            rows = []
-            for text, lang in zip(texts, langs):
-                if len(costs.index) > vocab.CACHE_ENTRIES:
-                    costs.clear()
-                rows.append(measure(text, lang, costs, bands))
-            yield pd.DataFrame(rows, columns=METRICS.names)
+        try:
+            for texts, langs in batches:
+                rows = []
+                for text, lang in zip(texts, langs):
+                    if len(costs.index) > vocab.CACHE_ENTRIES:
+                        costs.clear()
+                    rows.append(measure(text, lang, costs, bands))
+                yield pd.DataFrame(rows, columns=METRICS.names)
+        finally:
+            costs.clear()  # an idle worker holds no words
 
     return run
 
@@ -229,15 +235,17 @@ def with_fertility(docs: DataFrame, **options) -> DataFrame:
     """
     ship(docs.sparkSession)
     extra = [c for c in docs.columns if c not in METRICS.names]
-    judged = docs.select(*extra, fertility(**options)("text", "lang").alias("_m"))
-    return judged.select(*extra, "_m.*")
+    (measures,) = unused_names(docs, "measures")
+    judged = docs.select(*extra, fertility(**options)("text", "lang").alias(measures))
+    return judged.select(*extra, f"{measures}.*")
 
 
 def reject_unfit(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns they had."""
     ship(docs.sparkSession)
-    judged = docs.withColumn("_m", fertility(**options)("text", "lang"))
-    return judged.where("_m.kept").select(*docs.columns)
+    (measures,) = unused_names(docs, "measures")
+    judged = docs.withColumn(measures, fertility(**options)("text", "lang"))
+    return judged.where(f"{measures}.kept").select(*docs.columns)
 
 
 def op2_tokenizer_fertility(docs: DataFrame) -> DataFrame:

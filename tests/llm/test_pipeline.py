@@ -3,6 +3,8 @@ from pathlib import Path
 import corpus_pipeline
 from footfall.llm import curriculum, fertility, lines, ngram_join
 
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
 
 def test_each_stage_on_what_the_one_before_kept(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -41,3 +43,20 @@ def test_empty_documents(spark, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_odd_documents_through_all_stages(spark, odd_docs, sf_dir, tmp_path):
+    real = fertility.reject_unfit(spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'"))
+    long = max((r["text"] for r in real.collect() if "\n" not in r["text"]), key=len)
+    more = [(100 + i, f"{long} and {i}", "en", None if i % 2 else "a", 1) for i in range(3)] + [(None, long, None, "b", 1)] * 2
+    docs = odd_docs.unionByName(spark.createDataFrame(more, DOCS), allowMissingColumns=True)
+    columns = docs.columns
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, docs, "").write.parquet(str(Path(tmp_path) / str(i)))
+        docs = spark.read.parquet(str(Path(tmp_path) / str(i)))
+        assert docs.columns == columns
+        if i == 0:
+            assert docs.where("doc_id >= 100").count() == 3 and docs.where("doc_id is null").count() >= 2
+    assert {r["doc_id"] for r in docs.collect()} >= {100} and docs.where("doc_id > 100 or doc_id is null").count() == 0
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, "").collect()
+    assert {p["doc_id"] for p in packed} == {r["doc_id"] for r in docs.collect()}
