@@ -107,7 +107,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     base = docs.select(*extra)
     own, name = unused_names(base, "own_id", "text_hash")
     maps = keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs)
-    maps = maps.withColumnsRenamed({"doc_id": own, "text_hash": name})
+    # merged whatever their size: the plan of a small run is that of a large one
+    maps = maps.withColumnsRenamed({"doc_id": own, "text_hash": name}).hint("merge")
     joined = base.join(maps, base["doc_id"].eqNullSafe(maps[own]) & (F.xxhash64(base["text"]) == maps[name]), "left")
     lines = F.split("text", "\n", -1)
 
