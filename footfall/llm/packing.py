@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ from footfall.ship import ship
 #: Bits of a hashed term: at least, and at most in a large corpus.
 TERM_BITS, MAX_TERM_BITS = 18, 22
 TERMS = 1 << TERM_BITS
-SLICES = 64
+SLICES = 256
 K1, B = 1.2, 0.75
 #: Terms in more than one document of this many of a shard are kept as full rows.
 DENSE = 8
@@ -76,50 +76,56 @@ def term_document_counts(tokens: DataFrame, bits: int = TERM_BITS) -> np.ndarray
     """In how many rows of ``tokens`` each of the 2 ** ``bits`` hashed terms is.
 
     Each task counts in one array and hands it on in slices, which are summed
-    by slice: the result has the same size whatever the input.
+    by slice, for 64 tasks at a time first: the result has the same size
+    whatever the input, and so has what a group holds.
     """
     n_terms = 1 << bits
     width = n_terms // SLICES
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, place = np.zeros(n_terms, np.int64), np.zeros(n_terms, np.int32)
+        total, place = np.zeros(n_terms, np.uint32), np.zeros(n_terms, np.int32)
         for batch in batches:
             for raw in batch["ids"]:
                 terms = term_ids(np.frombuffer(raw, np.uint16), bits)
-                at = np.arange(len(terms))
+                at = np.arange(len(terms), dtype=np.int32)
                 place[terms] = at  # of a repeated term one place is left
                 total[terms[place[terms] == at]] += 1
-        parts = [total[k : k + width] for k in range(0, n_terms, width)]
-        yield pd.DataFrame({"slice": range(len(parts)), "counts": [p.tobytes() for p in parts]})
+        del place
+        for k in range(SLICES):
+            part = total[k * width : (k + 1) * width].astype(np.int64)
+            yield pd.DataFrame({"slice": [k], "counts": [part.tobytes()]})
 
     def add(key, group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(raw, np.int64) for raw in group["counts"])
+        total = np.zeros(width, np.int64)
+        for raw in group["counts"]:
+            total += np.frombuffer(raw, np.int64)
         return pd.DataFrame({"slice": [key[0]], "counts": [total.tobytes()]})
 
     schema = "slice int, counts binary"
     partial = tokens.select("ids").mapInPandas(count, schema)
-    # in two steps, so that no group has one array for each task of a large job
-    partial = partial.withColumn("part", (F.spark_partition_id() % 64).cast("int"))
-    half = partial.groupBy("slice", "part").applyInPandas(add, schema)
-    rows = half.groupBy("slice").applyInPandas(add, schema).collect()
+    partial = partial.withColumn("part", F.floor(F.spark_partition_id() / 64).cast("int"))
+    some = partial.groupBy("slice", "part").applyInPandas(add, schema)
+    rows = some.groupBy("slice").applyInPandas(add, schema).collect()
     out = np.zeros(n_terms, np.int64)
     for r in rows:
         out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
     return out
 
 
-def with_route(tokens: DataFrame, counts: np.ndarray) -> DataFrame:
+def with_route(tokens: DataFrame, shared_counts: Broadcast) -> DataFrame:
     """``tokens`` with ``route``: the rarest term that another document has too."""
-    rarity = np.where(counts < 2, np.iinfo(np.int64).max, counts)
-    bits = len(counts).bit_length() - 1
 
     @F.pandas_udf("long")
     def route(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        counts = shared_counts.value
+        bits = len(counts).bit_length() - 1
         for raws in batches:
             out = []
             for raw in raws:
                 terms = term_ids(np.frombuffer(raw, np.uint16), bits)
-                out.append(int(terms[np.argmin(rarity[terms])]) if len(terms) else -1)
+                rarity = counts[terms]
+                rarity[rarity < 2] = np.inf
+                out.append(int(terms[np.argmin(rarity)]) if len(terms) else -1)
             yield pd.Series(out, dtype="int64")
 
     return tokens.withColumn("route", route("ids"))
@@ -152,7 +158,7 @@ class ShardIndex:
         pairs, owner = ranked >> shift, ranked & (1 << shift) - 1
         begins = np.flatnonzero(np.diff(pairs, prepend=-1))
         sizes = np.diff(np.r_[begins, len(pairs)])
-        df = counts[hashed(pairs[begins] >> 16, pairs[begins] & 0xFFFF, bits)]
+        df = counts[hashed(pairs[begins] >> 16, pairs[begins] & 0xFFFF, bits)].astype(float)
         idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
         lengths = np.array([len(d) for d in texts])
         norm = K1 * (1 - B + B * lengths / mean_length)
@@ -260,18 +266,21 @@ def pack(
     scratch = Scratch(docs.sparkSession, "packing")
     tokens = scratch.keep(tokenized(docs.select("doc_id", "text"), json_path, ranks_path, end_id), "tokens")
     facts = tokens.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()
-    counts = term_document_counts(tokens, term_bits(facts["t"]))
+    # 16 MB at most, one copy in each Python worker
+    shared_counts = docs.sparkSession.sparkContext.broadcast(
+        term_document_counts(tokens, term_bits(facts["t"])).astype(np.float32)
+    )
     n_docs, mean_length = facts["n"], max(1.0, facts["t"] / max(1, facts["n"]))
     wanted = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-facts["t"] // partition_tokens))
     dealt = (
-        with_route(tokens, counts)
+        with_route(tokens, shared_counts)
         .repartitionByRange(wanted, "route", "doc_id", F.xxhash64("ids"))
         .sortWithinPartitions("route", "doc_id", F.xxhash64("ids"))
         .select("doc_id", "ids")
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base = TaskContext.get().partitionId() << 32
+        base, counts = TaskContext.get().partitionId() << 32, shared_counts.value
         ids: list[np.ndarray] = []
         names: list = []
         held = used = 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import re
 from array import array
 
@@ -53,15 +54,16 @@ class ByteBPE:
     """
 
     def __init__(self, json_path: str, ranks_path: str):
-        self.json = json_bpe(json_path)
+        self.json_path = json_path
         self.ranks = ranked_bpe(ranks_path)
-        special = [t.content for t in self.json.get_added_tokens_decoder().values()]
+        with open(json_path, encoding="utf-8") as f:
+            special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.needs_json = re.compile("|".join(["[^\x00-\u024f]", *map(re.escape, special)])).search
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, 16 bits each in the machine's order."""
         if self.needs_json(text):
-            return array("H", self.json.encode(text, add_special_tokens=False).ids).tobytes()
+            return array("H", json_bpe(self.json_path).encode(text, add_special_tokens=False).ids).tobytes()
         return array("H", self.ranks.encode_ordinary(text)).tobytes()
 
 
