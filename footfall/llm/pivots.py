@@ -1,18 +1,18 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
 Pivots are well-separated reference vectors taken from the data, so that a
-crowded region has one or few of them. A vector lives in the cell of its nearest
-pivot, and all pairs of a cell are compared in blocks; their links are counted
-and joined there, not listed. Vectors of different cells that share enough of
-their nearest pivots are candidates, found through inverted lists whose keys are
-the sets of pivots to be shared, and then verified by cosine. Exact copies are
-one vector with a multiplicity throughout.
+crowded region has one or few of them. A vector is described by its nearest
+pivots in order, and posted in the inverted lists of the first few of them.
+Within a list, the whole descriptions of its members make smaller inverted
+lists, which count the pivots that two members share; pairs that share enough
+are verified by cosine. Long lists are compared in pairs of blocks, and a pair
+that meets in several lists counts in one, so links are counted and joined
+there, never listed. Exact copies are one vector with a multiplicity throughout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -21,25 +21,28 @@ from pyspark.sql import functions as F
 
 from footfall.llm.components import components
 from footfall.llm.scratch import Scratch
+from footfall.llm.spread import each_part, parts_seen, spread_of
 from footfall.ship import ship
 
-NEAREST = 8
-SHARED = 3
-MIN_PIVOTS, MAX_PIVOTS = 64, 8192
+#: Pivots that describe a vector, those among them in whose lists it stands, and
+#: how many of the first two vectors must share.
+NEAREST, LISTS, SHARED = 12, 6, 3
+#: Pivots by number of vectors (twice its root): at least, and at most, so that
+#: they are broadcast in 2 ** 17 bytes for each component of a vector.
+MIN_PIVOTS, MAX_PIVOTS = 64, 16384
 #: Candidates for a pivot, and the cosine to the pivots chosen at which choosing ends.
 SAMPLE, SEPARATION = 4, 0.8
-#: Vectors of a cell that are compared at once, and rows of their product.
+#: Members of a list that are compared at once, and rows of their product.
 BLOCK, STRIP = 2048, 512
-#: Vectors of a cell in one entry of an inverted list, about.
-CHUNK = 1024
 
 
-def choose_pivots(points: DataFrame, n_points: int) -> np.ndarray:
-    """Reference vectors: of a sample by digest, always the one farthest from those chosen.
+def choose_pivots(points: DataFrame, n_points: int) -> dict[int, np.ndarray]:
+    """Reference vectors by length: of a sample by digest, always the one farthest from those chosen.
 
     Their number follows the square root of the number of vectors and ends at
-    MAX_PIVOTS, so what is collected and sent out is bounded. Choosing ends
-    earlier where every vector of the sample is close to a pivot.
+    MAX_PIVOTS, so what is collected and sent out is bounded. Each length in the
+    sample has its share of them. Choosing ends earlier where every vector of
+    the sample is close to a pivot.
     """
     wanted = int(min(MAX_PIVOTS, max(MIN_PIVOTS, 2 * np.sqrt(n_points))))
     rows = (
@@ -49,14 +52,15 @@ def choose_pivots(points: DataFrame, n_points: int) -> np.ndarray:
         .select("v")
         .collect()
     )
-    if not rows:
-        return np.zeros((0, 1))
-    widths = [len(r["v"]) for r in rows]
-    width = max(set(widths), key=widths.count)
-    sample = np.array([r["v"] for r in rows if len(r["v"]) == width]).reshape(-1, width)
-    sample = unit(sample)
+    by_width: dict[int, list] = {}
+    for r in rows:
+        by_width.setdefault(len(r["v"]), []).append(r["v"])
+    return {w: _farthest(unit(np.array(own)), max(1, wanted * len(own) // len(rows))) for w, own in sorted(by_width.items())}
+
+
+def _farthest(sample: np.ndarray, wanted: int) -> np.ndarray:
     chosen, closest = [0], sample @ sample[0]
-    while len(chosen) < wanted:
+    while len(chosen) < min(wanted, len(sample)):
         k = int(closest.argmin())
         if closest[k] >= SEPARATION:
             break
@@ -71,54 +75,72 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def with_homes(points: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
-    """point, label hash, ``home`` (nearest pivot) and ``near`` (its ``nearest`` pivots in order).
+def with_nearest(points: DataFrame, pivots: dict[int, np.ndarray], nearest: int = NEAREST) -> DataFrame:
+    """point, label hash and ``near``, the ids of its ``nearest`` pivots, the nearest first.
 
-    Vectors of another length than the pivots are described by their length
-    alone: all of one length have one home, and nothing is near.
+    Vectors of a length that no pivot has share one list of that length.
     """
-    nearest = min(nearest, len(pivots))
+    first = dict(zip(pivots, np.cumsum([0, *map(len, pivots.values())]).tolist()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            home = -np.array([len(v) for v in batch["v"]], np.int64) - 1
-            fits = home == -pivots.shape[1] - 1
-            near = [np.zeros(0, np.int32)] * len(batch)
-            if fits.any():
-                cosines = unit(np.array(batch["v"][fits].tolist(), float)) @ pivots.T
-                home[fits] = cosines.argmax(axis=1)
-                best = np.argpartition(-cosines, nearest - 1, axis=1)[:, :nearest].astype(np.int32)
-                best.sort(axis=1)
-                for k, b in zip(np.flatnonzero(fits), best):
-                    near[k] = b
-            yield pd.DataFrame({"point": batch["point"], "label": batch["label"], "home": home, "near": near})
+            widths = batch["v"].map(len).to_numpy()
+            near = [np.array([-10 - w], np.int32) for w in widths]
+            for w in set(widths.tolist()) & set(pivots):
+                own = np.flatnonzero(widths == w)
+                cosines = unit(np.array(batch["v"].iloc[own].tolist(), float)) @ pivots[w].T
+                order = np.argsort(-cosines, axis=1, kind="stable")[:, :nearest].astype(np.int32) + first[w]
+                for k, o in zip(own, order):
+                    near[k] = o
+            yield pd.DataFrame({"point": batch["point"], "label": batch["label"], "near": near})
 
     named = points.select("point", F.xxhash64("label").alias("label"), "v")
-    return named.mapInPandas(run, "point long, label long, home long, near array<int>")
-
-
-def links_in_cells(homes: DataFrame, points: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
-    """Links between vectors of one label and home, without a list of them.
+    return named.mapInPandas(run, "point long, label long, near array<int>")
+
+
+def shared_counts(near: list[np.ndarray], below: int | None = None) -> np.ndarray:
+    """How many pivots two members share, by inverted lists of the pivots (``below`` an id)."""
+    counts = np.zeros((len(near), len(near)), np.uint8)
+    pivots = np.concatenate(near)
+    owner = np.repeat(np.arange(len(near)), [len(n) for n in near])
+    if below is not None:
+        owner, pivots = owner[pivots < below], pivots[pivots < below]
+    order = np.argsort(pivots, kind="stable")
+    cuts = np.flatnonzero(np.diff(pivots[order])) + 1
+    for rows in np.split(owner[order], cuts):
+        if len(rows) > 1:
+            counts[rows[:, None], rows] += 1
+    return counts
+
+
+def links_in_lists(
+    described: DataFrame, points: DataFrame, threshold: float, shared: int = SHARED, lists: int = LISTS
+) -> DataFrame:
+    """Links between vectors of one label that share enough pivots, without a list of them.
 
     A row per vector and pair of blocks it has links in: a, ``b`` (the least
     vector that those links reach) and n, the number of linked vectors counted
-    with their copies.
+    with their copies. A pair is judged in the first list that both stand in.
     """
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
+    def compare(key, group: pd.DataFrame) -> pd.DataFrame:
+        pivot = key[1]
         group = group.sort_values("point", ignore_index=True)
+        near = [np.asarray(n, np.int32) for n in group["near"]]
+        candidate = shared_counts(near) >= min(shared, *map(len, near))
+        candidate &= shared_counts([n[:lists] for n in near], below=pivot) == 0
+        block = group["block"].to_numpy()
+        if key[2] != key[3]:
+            candidate &= block[:, None] != block
+        np.fill_diagonal(candidate, False)
         x = unit(np.array(group["v"].tolist(), float))
-        block, first, second = group["block"].to_numpy(), group["low"].iloc[0], group["high"].iloc[0]
         linked = np.zeros((len(x), len(x)), bool)
         for at in range(0, len(x), STRIP):
             cosines = x[at : at + STRIP] @ x.T
             strip = cosines >= threshold
-            for i, j in np.argwhere(np.abs(cosines - threshold) < 1e-12):
+            for i, j in np.argwhere(candidate[at : at + STRIP] & (np.abs(cosines - threshold) < 1e-12)):
                 strip[i, j] = cosine_of(group["v"][at + i], group["v"][j]) >= threshold
-            if first != second:
-                strip &= block[at : at + STRIP, None] != block
-            linked[at : at + STRIP] = strip
-        np.fill_diagonal(linked, False)
+            linked[at : at + STRIP] = strip & candidate[at : at + STRIP]
         counts = linked @ group["copies"].to_numpy(np.int64)
         left = counts > 0
         root = np.zeros(len(x), np.int64)
@@ -133,42 +155,22 @@ def links_in_cells(homes: DataFrame, points: DataFrame, sizes: DataFrame, thresh
         names = group["point"].to_numpy()
         return pd.DataFrame({"a": names[some], "b": names[root[some]], "n": counts[some]})
 
+    posted = described.select("point", "label", F.posexplode(F.slice("near", 1, lists)).alias("rank", "pivot"))
+    sizes = posted.groupBy("label", "pivot").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     member = (
-        homes.join(sizes.where("size > 1"), ["label", "home"])
-        .select("point", "label", "home", blocks.alias("blocks"))
+        posted.join(sizes.hint("merge"), ["label", "pivot"])
+        .select("point", "label", "pivot", blocks.alias("blocks"))
         .withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
     )
+    whole = points.select("point", "v", "copies").join(described.select("point", "near"), "point")
     dealt = (
-        member.join(points.select("point", "v", "copies"), "point")
+        member.join(whole, "point")
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("block", "with"))
         .withColumn("high", F.greatest("block", "with"))
     )
-    return dealt.groupBy("label", "home", "low", "high").applyInPandas(compare, "a long, b long, n long")
-
-
-def crossing_pairs(homes: DataFrame, sizes: DataFrame, shared: int, nearest: int) -> DataFrame:
-    """Pairs (a, b) of one label and different homes that share ``shared`` near pivots.
-
-    The entries of an inverted list are chunks of the vectors of one home, so
-    pairs inside a crowded home are not gone through.
-    """
-    shared = min(shared, nearest)
-    sets = [F.xxhash64(*[F.get("near", F.lit(k)) for k in pick]) for pick in combinations(range(nearest), shared)]
-    chunks = F.ceil(F.col("size") / CHUNK)
-    entries = (
-        homes.where(F.size("near") > 0)
-        .join(sizes, ["label", "home"])
-        .withColumn("chunk", F.pmod(F.xxhash64(F.lit(5), "point"), chunks))
-        .select("point", "label", "home", "chunk", F.explode(F.array(*sets)).alias("key"))
-        .groupBy("label", "key", "home", "chunk")
-        .agg(F.collect_list("point").alias("points"))
-    )
-    left = entries.select("label", "key", F.col("home").alias("left_home"), F.col("points").alias("left_points"))
-    both = left.join(entries, ["label", "key"]).where("left_home < home")
-    listed = both.select(F.explode("left_points").alias("p"), "points").select("p", F.explode("points").alias("q"))
-    return listed.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    return dealt.groupBy("label", "pivot", "low", "high").applyInPandas(compare, "a long, b long, n long")
 
 
 def cosine_of(a: np.ndarray, b: np.ndarray) -> float:
@@ -176,25 +178,8 @@ def cosine_of(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b)))
 
 
-def verified(pairs: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose cosine reaches ``threshold``."""
-
-    @F.pandas_udf("double")
-    def cosine(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = np.full(len(left), -2.0)
-        for k, (a, b) in enumerate(zip(left, right)):
-            if len(a) == len(b):
-                out[k] = cosine_of(a, b)
-        return pd.Series(out)
-
-    left = points.select(F.col("point").alias("a"), F.col("v").alias("va"))
-    right = points.select(F.col("point").alias("b"), F.col("v").alias("vb"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.where(cosine("va", "vb") >= threshold).select("a", "b")
-
-
 def near_vectors(
-    vectors: DataFrame, threshold: float = 0.93, nearest: int = NEAREST, shared: int = SHARED
+    vectors: DataFrame, threshold: float = 0.93, nearest: int = NEAREST, shared: int = SHARED, lists: int = LISTS
 ) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors``.
 
@@ -204,8 +189,9 @@ def near_vectors(
     Copies of a vector link with each other and share all their links; they are
     counted, not listed. Repeated rows are vectors of their own with the same
     vec_id. A null vec_id links like any other and is no component's name unless
-    all of its members have none. Candidates have the same nearest pivot or share
-    at least ``shared`` of their ``nearest`` pivots, in lists without a cap.
+    all of its members have none. Vectors of unequal length never link.
+    Candidates share at least ``shared`` of their ``nearest`` pivots, one of them
+    among the first ``lists`` of both, in lists without a cap.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -219,34 +205,27 @@ def near_vectors(
         F.min("vec_id").alias("least"),
     )
     points = scratch.keep(points, "points")
-    n_points = points.count()
-    pivots = choose_pivots(points, n_points)
-    if len(pivots):
-        homes = scratch.keep(with_homes(points, pivots, nearest), "homes")
-        sizes = scratch.keep(homes.groupBy("label", "home").agg(F.count(F.lit(1)).alias("size")), "sizes")
-        inside = scratch.keep(links_in_cells(homes, points, sizes, threshold), "inside")
-        pairs = crossing_pairs(homes, sizes, shared, min(nearest, len(pivots)))
-        links = scratch.keep(verified(pairs, points.select("point", "v"), threshold), "links")
-    else:
-        inside = spark.createDataFrame([], "a long, b long, n long")
-        links = spark.createDataFrame([], "a long, b long")
-    groups = components(links.union(inside.select("a", "b")), scratch, "groups")
-    both = links.union(links.select("b", "a")).toDF("point", "other")
-    copies = points.select(F.col("point").alias("other"), F.col("copies").alias("n"))
-    counted = both.join(copies, "other").select("point", "n").union(inside.select("a", "n"))
-    linked = counted.groupBy("point").agg(F.sum("n").alias("n"))
+    pivots = choose_pivots(points, points.count())
+    near = scratch.keep(with_nearest(points, pivots, nearest), "near")
+    found = scratch.keep(links_in_lists(near, points, threshold, shared, lists), "found")
+    groups = components(found.select("a", "b"), scratch, "groups")
+    linked = found.groupBy(F.col("a").alias("point")).agg(F.sum("n").alias("n"))
     described = (
         points.join(linked, "point", "left")
         .join(groups.withColumnRenamed("node", "point"), "point", "left")
         .withColumn("component", F.coalesce("component", "point"))
     )
     described = scratch.keep(
-        described.select("point", "component", "least", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")),
+        described.select(
+            "point", "component", "least", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
+            spread_of("point").alias("spread"),
+        ),
         "described",
     )
-    named = described.groupBy("component").agg(F.min("least").alias("component_id"))
-    facts = described.join(named, "component").select("point", "n_links", "component_id")
-    in_groups = rows.where(F.col("point").isNotNull()).select("vec_id", "point").join(facts, "point")
+    named = described.groupBy("component").agg(F.min("least").alias("component_id"), parts_seen(F.col("spread")).alias("seen"))
+    named = named.select("component", "component_id", each_part("seen").alias("spread"))
+    facts = described.join(named, ["component", "spread"]).select("point", "n_links", "component_id")
+    in_groups = able.select("vec_id", "point").join(facts, "point")
     alone = rows.where(F.col("point").isNull()).select("vec_id", F.lit(0).alias("n_links"), F.col("vec_id").alias("component_id"))
     return (
         in_groups.select("vec_id", "n_links", "component_id")

@@ -95,10 +95,41 @@ def test_recall_in_a_large_group_of_near_copies(spark):
 
 def test_blocks_of_a_cell_meet(spark, monkeypatch):
     monkeypatch.setattr(pivots, "BLOCK", 16)
-    monkeypatch.setattr(pivots, "CHUNK", 8)
     rng = np.random.default_rng(3)
     base = rng.normal(size=16)
     rows = [(i, (base + rng.normal(size=16) * 0.28).astype(np.float32).tolist(), i % 2) for i in range(120)]
     rows += [(200 + i, rows[i][1], rows[i][2]) for i in range(10)]
     got = sorted((tuple(r) for r in pivots.near_vectors(spark.createDataFrame(rows, SHAPE)).collect()), key=str)
     assert got == brute(rows)
+
+
+def test_recall_over_twenty_thousand_vectors(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(10_000, 48))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise = rng.normal(size=base.shape)
+    noise -= (noise * base).sum(axis=1, keepdims=True) * base
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    cosine = rng.uniform(0.931, 0.96, (len(base), 1))
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * noise]).astype(np.float32)
+    label = np.tile(np.arange(10_000) % 5, 2)
+    rows = [(i, v, int(k)) for i, (v, k) in enumerate(zip(x.tolist(), label))]
+    out = pivots.near_vectors(spark.createDataFrame(rows, SHAPE)).collect()
+    got = np.zeros(len(x), int)
+    for r in out:
+        got[r["vec_id"]] = r["n_links"]
+    want = np.zeros(len(x), int)
+    for k in range(5):
+        own = np.flatnonzero(label == k)
+        v = x[own].astype(float)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        want[own] = (v @ v.T >= 0.93).sum(axis=1) - 1
+    assert (got <= want).all() and want.sum() >= 20_000
+    assert got.sum() >= 0.99 * want.sum()
+
+
+def test_shared_counts():
+    near = [np.array([7, 3, 1]), np.array([3, 7, 9]), np.array([2, 4, 9])]
+    counts = pivots.shared_counts(near)
+    assert counts[0, 1] == 2 and counts[1, 2] == 1 and counts[0, 2] == 0
+    assert pivots.shared_counts(near, below=7)[0, 1] == 1
