@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.ngram_join import shingle_set
+from footfall.llm.text import unused_names
 from footfall.ship import ship
 
 #: Most labelled documents the model is fitted on.
 SAMPLE_ROWS = 8000
-#: Odd factors of the minhashes that tell near copies in the sample.
-SKETCH = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-#: Grades of toxic documents by how many distinct marker words they hold.
-GRADE_STEPS = (2, 4)
+#: Odd factors of the minhashes that tell near copies in the sample, and how many of them must agree.
+SKETCH = np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+SAME = 48
 
 #: ASCII letters and digits in lower case, all other ASCII as blanks.
 _FOLD = bytes(
@@ -56,8 +56,8 @@ class OrdinalModel:
         return float(above.sum()), int(chance.argmax()), float(above[0])
 
 
-def marker_features(docs: list[np.ndarray], toxic: np.ndarray, least: int = 5, chi2: float = 15.0):
-    """Features tied to the labels beyond chance, and among them those of toxic documents."""
+def telling_features(docs: list[np.ndarray], toxic: np.ndarray, least: int = 5, chi2: float = 15.0) -> np.ndarray:
+    """Features tied to the labels beyond chance."""
     names, at = np.unique(np.concatenate(docs), return_inverse=True)
     is_toxic = np.repeat(toxic, [len(d) for d in docs])
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
@@ -67,8 +67,7 @@ def marker_features(docs: list[np.ndarray], toxic: np.ndarray, least: int = 5, c
     expected = seen * n1 / (n1 + n0)
     spread = np.maximum(1e-9, expected * n0 / (n1 + n0))
     chosen = (seen >= least) & ((a - expected) ** 2 / spread >= chi2)
-    log_odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
-    return names[chosen], names[chosen & (log_odds >= 2.5)]
+    return names[chosen]
 
 
 def fit(docs: list[np.ndarray], grades: np.ndarray, chosen: np.ndarray, l2: float = 0.3, steps: int = 400) -> OrdinalModel:
@@ -105,7 +104,10 @@ def fit(docs: list[np.ndarray], grades: np.ndarray, chosen: np.ndarray, l2: floa
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> pd.DataFrame:
     """Up to ``sample_rows`` labelled documents as distinct features, by hash of doc_id.
 
-    Of near copies among them (an equal minhash of their 5-word shingles) one stays.
+    Of near copies among them one stays: documents of which SAME of the minhashes
+    of their 5-word shingles agree, so a similarity of 0.75 or so. Documents that
+    share less are all kept. Labels without grades have two levels of their own:
+    toxic documents of good quality are graded 1, those of bad quality 2.
     """
 
     @F.pandas_udf("array<long>")
@@ -120,7 +122,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> pd.
             out.append([int((s * odd).min() >> np.uint64(1)) for odd in SKETCH] if len(s) else [])
         return pd.Series(out, dtype=object)
 
-    graded = F.col("grade").cast("int") if "grade" in labels.columns else F.lit(None).cast("int")
+    if "grade" in labels.columns:
+        graded = F.col("grade").cast("int")
+    elif "quality" in labels.columns:
+        graded = F.when(F.col("quality") == 0, 2).otherwise(1)
+    else:
+        graded = F.lit(1)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     chosen = (
         known.groupBy("doc_id")
@@ -135,22 +142,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> pd.
     )
     sample = rows.orderBy("doc_id", "sketch").limit(sample_rows).toPandas()
     # near copies would make their chance words look like marks of their label
-    seen: set = set()
+    holders: dict = {}
+    kept: list[np.ndarray] = []
     own = []
     for row in sample["sketch"]:
-        marks = set(enumerate(row))
-        own.append(seen.isdisjoint(marks))
-        seen |= marks
+        row = np.asarray(row)
+        marks = list(enumerate(row.tolist()))
+        near = {k for m in marks for k in holders.get(m, ())}
+        own.append(not any((kept[k] == row).sum() >= SAME for k in near))
+        if own[-1] and marks:
+            for m in marks:
+                holders.setdefault(m, []).append(len(kept))
+            kept.append(row)
     return sample[np.array(own, bool)]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:
     """Fit the model on at most ``sample_rows`` labelled documents.
 
-    ``labels`` has doc_id, toxic and maybe grade (0 for clean). Without grades,
-    toxic documents are graded by how many distinct words they hold that mark
-    toxic documents in the sample (GRADE_STEPS). Labels that are null or whose
-    document is missing are left out; with none left the model says clean.
+    ``labels`` has doc_id, toxic and maybe grade (0 for clean, else from 1); see
+    :func:`labelled_sample` for labels without grades. Labels that are null or
+    whose document is missing are left out; with none left the model says clean.
     """
     ship(docs.sparkSession)
     sample = labelled_sample(docs, labels, sample_rows)
@@ -158,11 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     toxic = sample["toxic"].to_numpy(float) > 0
     if not toxic.any():
         return OrdinalModel({}, np.array([5.0]))
-    chosen, markers = marker_features(own, toxic)
-    by_words = np.array([1 + np.searchsorted(GRADE_STEPS, np.isin(f, markers).sum(), "right") for f in own])
-    given = pd.to_numeric(sample["grade"]).to_numpy(float)
-    grades = np.where(toxic, np.where(np.isnan(given), by_words, np.nan_to_num(given)), 0).astype(int)
-    return fit(own, grades, chosen)
+    given = np.nan_to_num(pd.to_numeric(sample["grade"]).to_numpy(float), nan=1.0)
+    grades = np.where(toxic, np.maximum(1, given), 0).astype(int)
+    return fit(own, grades, telling_features(own, toxic))
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
@@ -191,7 +201,8 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
     added = ["expected_severity", "severity_grade", "p_toxic", "toxic"]
     extra = [c for c in docs.columns if c not in added]
-    return docs.select(*extra, run("text").alias("_s")).select(*extra, "_s.*")
+    (scores,) = unused_names(docs, "scores")
+    return docs.select(*extra, run("text").alias(scores)).select(*extra, f"{scores}.*")
 
 
 def op6_ordinal_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

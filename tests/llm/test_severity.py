@@ -74,3 +74,28 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert severity.op6_ordinal_toxicity(no_docs, none).count() == 0
     clash = odd_docs.withColumn("toxic", odd_docs["doc_id"])
     assert severity.score(clash, severity.OrdinalModel({}, np.array([5.0]))).count() == odd_docs.count()
+
+
+def test_query_output_against_plain_scores(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = severity.train(docs, labels)
+    out = {r["doc_id"]: r for r in severity.op6_ordinal_toxicity(docs, labels).collect()}
+    fold = str.maketrans({c: c.lower() if c.isalnum() else " " for c in map(chr, range(128))})
+    for d in docs.collect():
+        own = set((d["text"] or "").translate(fold).split(" ")) - {""}
+        x = sum(model.weights.get(severity.feature(w.encode()), 0.0) for w in own)
+        above = [1 / (1 + np.exp(t - x)) for t in model.thresholds]
+        chance = [a - b for a, b in zip([1.0, *above], [*above, 0.0])]
+        r = out[d["doc_id"]]
+        assert r["expected_severity"] == pytest.approx(sum(k * c for k, c in enumerate(chance)), abs=1e-9)
+        assert chance[r["severity_grade"]] == pytest.approx(max(chance), abs=1e-9)
+        assert r["toxic"] == (above[0] >= 0.5)
+
+
+def test_only_near_copies_count_once(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    far = " ".join(f"w{i}" for i in range(30)) + " " + " ".join(f"x{i}" for i in range(30))
+    rows = [(1, text), (2, text + " end"), (3, far), (4, None), (5, None)]
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(1, 6)], "doc_id long, quality int, toxic int")
+    got = severity.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string"), labels, 100)
+    assert got["doc_id"].tolist() == [1, 3, 4, 5] and got["grade"].tolist() == [1, 1, 2, 1]
