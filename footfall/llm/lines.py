@@ -28,11 +28,9 @@ def line_table(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     the row of ``docs``), pos, h1, h2. Null text is one empty line and so gives
     no row.
     """
-    lines = docs.select(
-        "doc_id",
-        F.xxhash64("text").alias("text_hash"),
-        F.monotonically_increasing_id().alias("row"),
-        F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"),
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))  # before lines are rows
+    lines = rows.select(
+        "doc_id", F.xxhash64("text").alias("text_hash"), "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
     )
     stripped = lines.select("doc_id", "text_hash", "row", "pos", ascii_strip(F.col("line")).alias("key")).where(
         F.char_length("key") >= min_chars

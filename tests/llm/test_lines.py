@@ -33,6 +33,8 @@ def test_against_brute_force(spark):
     b = "Ärger über die Straße: ÖFFNUNGSZEITEN finden Sie im Büro"
     rows = [(i, "\n".join([f"own line number {i} of this document, long enough", f"  {a.upper() if i % 2 else a}\t", b, "short"])) for i in range(7)]
     rows += [(20, None), (21, ""), (22, "\n\n"), (23, "\n".join([a] * 200)), (24, a), (24, a), (None, a + "\n" + a), (25, b.lower())]
+    twice = "This line stands twice in one of the four documents that hold it"
+    rows += [(40 + i, "\n".join([twice, "x", twice] if i == 2 else [twice])) for i in range(4)]
     rows += [(30 + i, "exactly forty characters long this line!"[:40 - (i == 4)]) for i in range(5)]
     assert run(spark, rows) == brute(rows)
     assert run(spark, []) == []
