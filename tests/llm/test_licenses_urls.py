@@ -19,22 +19,32 @@ def brute_base(text):
     return len(ws), sorted(found)
 
 
-def brute_labels(text, templates, threshold=0.9, block_words=64):
+def brute_labels(text, templates, threshold=0.9):
     labels, best = set(), 0.0
-    for line in lower(text).split("\n"):
-        ws = re.findall(SEP, line)
-        half = block_words // 2
-        blocks = [ws] if len(ws) <= block_words else [ws[i : i + block_words] for i in range(0, len(ws) - half, half)]
-        for b in blocks:
-            for label, t in templates:
-                want = set(t.split())
-                share = len(want & set(b)) / len(want)
-                if len(want & set(b)) >= math.ceil(round(threshold * len(want), 9)):
-                    labels.add(label)
-                    best = max(best, share)
+    ws = re.findall(SEP, lower(text))
+    for label, t in templates:
+        own = re.findall(SEP, lower(t))
+        want, size = set(own), licenses.block_size(own)
+        assert size >= 2 * len(own)
+        for at in range(0, max(1, len(ws) - size // 2), size // 2):
+            shared = len(want & set(ws[at : at + size]))
+            if shared >= math.ceil(round(threshold * len(want), 9)):
+                labels.add(label)
+                best = max(best, shared / len(want))
     return labels, best
 
 
+def wrapped(text, width):
+    out, line = [], ""
+    for w in text.split():
+        if len(line) + len(w) > width:
+            out.append(line)
+            line = ""
+        line += " " + w
+    return "\n".join([*out, line])
+
+
+MIT, BSD, APACHE = (next(t for label, t in licenses.TEMPLATES if label == want and len(t) > 300) for want in ("mit", "bsd", "apache-2"))
 TEXTS = [
     "Released under the MIT License.",
     "x under the mit license under the MIT-license, apache license version 2 cc by nc cc by nc",
@@ -48,6 +58,11 @@ TEXTS = [
     None,
     "Ünder the mït license",
     "the of to a " * 50,
+    "some prose first\n" * 30 + wrapped(MIT, 60) + "\n\nand prose after " * 20,
+    "# " + wrapped(BSD, 50).replace("\n", "\n# "),
+    wrapped(APACHE, 72).upper(),
+    "licensed under the gnu\ngeneral public license\nversion 3",
+    " ".join(MIT.split()[:60]),
 ]
 
 
@@ -63,16 +78,21 @@ def test_base_and_labels_match_brute_force(spark):
         assert r["base_labels"] == ",".join(sorted({p[1] for p in places}))
         assert r["labels"] == ",".join(sorted({p[1] for p in places} | labels))
         assert abs(r["score"] - (1.0 if places else best)) < 1e-12
+    for i, label in enumerate(("mit", "bsd", "apache-2", "gpl-3")):
+        assert label in out[12 + i]["labels"].split(",")
 
 
 def test_other_templates_and_thresholds(spark):
     templates = [("t1", "a b c d e f g h"), ("t2", "the quick brown fox"), ("t3", "lone")]
     texts = ["a b c d e f", "a b c d e f g", "quick brown the", "fox the quick brown dog", "lone wolf", "h g f e d c b a " * 30]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    templates.append(("t4", " ".join(f"w{i}" for i in range(80))))  # longer than any block of the others
+    texts.append(templates[3][1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for threshold in (0.5, 0.75, 1.0):
-        out = licenses.scan_licenses(df, templates, threshold=threshold, block_words=8).collect()
+        out = licenses.scan_licenses(df, templates, threshold=threshold).collect()
         for r in out:
-            labels, best = brute_labels(texts[r["doc_id"]], templates, threshold, 8)
+            labels, best = brute_labels(texts[r["doc_id"]], templates, threshold)
             assert {m["label"] for m in r["matches"]} == labels
             assert abs(max([m["containment"] for m in r["matches"]], default=0.0) - best) < 1e-12
 
