@@ -474,8 +474,11 @@ def cross_pairs(entries: DataFrame, groups: DataFrame, percent: int) -> DataFram
     return met.select(F.least("x", "set_id").alias("a"), F.greatest("x", "set_id").alias("b")).distinct()
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of a written table that link: suffix filter on signatures, then whole sets."""
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) of a written table that link: suffix filter on signatures, then whole sets.
+
+    What the filter leaves is written, so no task runs both Python parts at once.
+    """
 
     @F.pandas_udf("boolean")
     def suffixes_allow(sa: pd.Series, sb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
@@ -501,7 +504,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         sets = sets.join(F.broadcast(ids), "set_id", "left_semi")
     small = sets.select("set_id", "n", "signature")
     near = pairs.join(small.toDF("a", "na", "sa"), "a").join(small.toDF("b", "nb", "sb"), "b")
-    near = near.where(suffixes_allow("sa", "sb", "na", "nb")).select("a", "b", "na", "nb")
+    near = scratch.keep(near.where(suffixes_allow("sa", "sb", "na", "nb")).select("a", "b", "na", "nb"), f"near-{name}")
     whole = sets.select("set_id", "shared")
     both = near.join(whole.toDF("a", "xa"), "a").join(whole.toDF("b", "xb"), "b")
     return both.where(links("xa", "xb", "na", "nb")).select("a", "b")
@@ -538,19 +541,19 @@ def linked_rows(docs: DataFrame, percent: int, words: int) -> DataFrame:
     sets = scratch.keep(shared_shingles(docs, facts["total"], percent, words, hot_shingles(own), salts), "sets")
     entries = scratch.keep(prefix_entries(sets), "entries")
     tried = scratch.keep(neighbour_pairs(entries, percent), "pairs-0")
-    links = scratch.keep(verify(tried, sets, percent), "links-0")
+    links = scratch.keep(verify(tried, sets, percent, scratch, "0"), "links-0")
     groups = scratch.keep(components(links, scratch, "first"), "groups-0")
     for k in range(1, STAR_ROUNDS + 1):
         stars = star_pairs(with_components(entries, groups), percent).join(tried, ["a", "b"], "left_anti")
         stars = scratch.keep(stars, f"pairs-{k}")
-        found = scratch.keep(verify(stars, sets, percent), f"links-{k}")
+        found = scratch.keep(verify(stars, sets, percent, scratch, str(k)), f"links-{k}")
         tried = tried.union(stars)
         if found.isEmpty():
             break
         links = links.union(found)
         groups = scratch.keep(components(links, scratch, f"star-{k}"), f"groups-{k}")
     rest = scratch.keep(cross_pairs(entries, groups, percent).join(tried, ["a", "b"], "left_anti"), "crossing")
-    more = scratch.keep(verify(rest, sets, percent), "more")
+    more = scratch.keep(verify(rest, sets, percent, scratch, "rest"), "more")
     if not more.isEmpty():
         groups = scratch.keep(components(links.union(more), scratch, "all"), "components")
     for name in ("sets", "entries", "crossing", "more"):
