@@ -337,31 +337,6 @@ def license_key_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "customer").select("c_custkey", F.explode(X.license_keys(F.col("c_name"))).alias("license_key"))
 
 
-@query(
-    """WITH d AS (SELECT c_custkey, right(c_name, 9) AS digits FROM customer),
- s AS (SELECT s_suppkey, right(s_name, 9) AS digits FROM supplier)
- SELECT c_custkey, min(s_suppkey) AS s_suppkey FROM d LEFT JOIN s USING (digits) GROUP BY c_custkey"""
-)
-def license_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers matched to suppliers under any shared spelling of their numbers, the least kept."""
-    s = T.table(spark, sf_dir, "supplier")
-    right = s.select("s_suppkey", F.explode(X.license_keys(F.col("s_name"))).alias("key"))
-    left = T.table(spark, sf_dir, "customer").select("c_custkey", F.explode_outer(X.license_keys(F.col("c_name"))).alias("key"))
-    return left.join(right, "key", "left").groupBy("c_custkey").agg(F.min("s_suppkey").alias("s_suppkey"))
-
-
-@query(
-    """SELECT o_orderkey, CASE WHEN k > 1 THEN first_ END AS duplicate_of FROM (SELECT o_orderkey,
-  row_number() OVER w AS k, first_value(o_orderkey) OVER w AS first_ FROM orders
-  WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey))"""
-)
-def newest_of_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest order of a customer stands for the others."""
-    w = Window.partitionBy("o_custkey").orderBy(F.desc_nulls_last("o_orderdate"), "o_orderkey")
-    o = T.table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(w).alias("k"), F.first("o_orderkey").over(w).alias("f"))
-    return o.select("o_orderkey", F.when(F.col("k") > 1, F.col("f")).alias("duplicate_of"))
-
-
 @query("SELECT o_custkey, min_by(o_orderkey, o_orderkey) AS o_orderkey, min_by(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY o_custkey")
 def first_by_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = T.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
@@ -387,40 +362,6 @@ def any_part_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "part").where(X.contains_any(F.col("p_name"), ["ring", "bolt", "red"])).select("p_partkey", "p_name")
 
 
-@query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus IN ('O', 'P') AND NOT regexp_matches(o_orderpriority, '(?i)\\burgent\\b') GROUP BY ALL")
-def status_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = T.table(spark, sf_dir, "orders")
-    keep = F.col("o_orderstatus").isin("O", "P") & ~F.col("o_orderpriority").rlike(r"(?i)\burgent\b")
-    return o.where(keep).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT p_partkey, p_name FROM part WHERE (contains(p_name, 'ring') AND contains(lower(p_type), 'econ')) OR contains(p_name, 'blue')")
-def rule_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that a small table of (part of a name, part of a type or null) rules hits."""
-    rules = spark.createDataFrame([("ring", "econ"), ("blue", None)], "street string, kind string")
-    p = T.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    hit = F.contains("p_name", "street") & (F.col("kind").isNull() | F.contains(F.lower("p_type"), F.col("kind")))
-    return p.join(F.broadcast(rules), hit, "left_semi").select("p_partkey", "p_name")
-
-
-@query("SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 4000)")
-def missing_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block groups without a building."""
-    return T.table(spark, sf_dir, "nation").join(
-        T.buildings(spark, sf_dir), F.col("n_nationkey") == F.col("geoid"), "left_anti"
-    ).select("n_nationkey")
-
-
-@query(
-    """SELECT p_partkey, CASE WHEN p_brand = 'Brand#1' THEN 'high' WHEN p_size > 20 THEN 'medium' ELSE 'board' END AS tier,
-  (lower(p_name) LIKE '%ring%' OR lower(p_type) LIKE '%small%') AS flag FROM part"""
-)
-def case_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tier = F.when(F.col("p_brand") == "Brand#1", "high").when(F.col("p_size") > 20, "medium").otherwise("board")
-    flag = X.contains_any(F.col("p_name"), ["ring"]) | X.contains_any(F.col("p_type"), ["small"])
-    return T.table(spark, sf_dir, "part").select("p_partkey", tier.alias("tier"), flag.alias("flag"))
-
-
 @query(
     """SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity,
   CASE WHEN l_quantity * 50 < 200 THEN l_extendedprice / 50 <= 500
@@ -499,3 +440,128 @@ def artifact_document(spark: SparkSession, sf_dir: str) -> DataFrame:
         access.publish_reason(F.col("in_study_area"), F.col("simulatable"), F.lit(None).cast("string")).alias("exclude_reason"),
     )
     return sinks.artifact(T.access_cells(spark, sf_dir), fac, {"threshold_minutes": 15})
+
+
+def _licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as licences: three names, four statuses, streets, a tenth without an NPI."""
+    o = T.table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    pick = lambda values, by: F.element_at(F.array(*[F.lit(v) for v in values]), (by + 1).cast("int"))
+    return o.select(
+        k.alias("ord"),
+        k.cast("string").alias("license"),
+        pick(STATUSES, k % 4).alias("license_status"),
+        pick(NAMES, k % 5).alias("name"),
+        F.when(k % 10 > 0, F.lpad(F.col("o_custkey").cast("string"), 10, "1")).alias("npi"),
+        pick(STREETS, k % 6).alias("address"),
+        pick(TOWNS, k % 3).alias("city"),
+        F.lit("MA").alias("state"),
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("Issue Date"),
+        pick(CODES, k % 4).alias("taxonomy_codes"),
+    )
+
+
+STATUSES = ["Current", "Expired", "Probation", "Non-Disciplinary Condition"]
+NAMES = ["CVS Pharmacy", "Mail-Order Meds", "Omnicare of Town", "Star Market", "Corner Drug"]
+STREETS = ["90 River Street", "1329 Hyde Park Ave", "2275 Washington Street", "12 Main St Suite 4", "416 Warren St", "7 Elm St Room 2"]
+TOWNS = ["Mattapan", "Roxbury", "Boston"]
+CODES = ["3336C0003X", "3336L0003X, 3336C0003X", "3336L0003X", ""]
+_L = f"""WITH l AS (SELECT o_orderkey AS ord, o_orderkey::VARCHAR AS license, {STATUSES}[(o_orderkey % 4 + 1)::INT] AS license_status,
+  {NAMES}[(o_orderkey % 5 + 1)::INT] AS name, CASE WHEN o_orderkey % 10 > 0 THEN lpad(o_custkey::VARCHAR, 10, '1') END AS npi,
+  {STREETS}[(o_orderkey % 6 + 1)::INT] AS address, {TOWNS}[(o_orderkey % 3 + 1)::INT] AS city, o_orderdate AS issued,
+  {CODES}[(o_orderkey % 4 + 1)::INT] AS codes FROM orders) """
+
+
+@query(
+    """WITH d AS (SELECT c_name AS license, right(c_name, 9) AS digits FROM customer),
+ s AS (SELECT s_suppkey, s_name, right(s_name, 9) AS digits FROM supplier)
+ SELECT license, s_suppkey::VARCHAR AS npi, coalesce(s_name, 'x') AS name FROM d LEFT JOIN s USING (digits)"""
+)
+def license_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as licences, matched to suppliers as registry rows under any spelling of their numbers."""
+    registry = T.table(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("license"), F.col("s_suppkey").alias("npi"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("ord")
+    )
+    board = T.table(spark, sf_dir, "customer").select(F.col("c_name").alias("license"), F.lit("x").alias("name"))
+    return roster.match_registry(board, registry).select("license", "npi", "name")
+
+
+@query(
+    _L
+    + """SELECT license, CASE WHEN npi IS NOT NULL AND k > 1 THEN first_ END AS duplicate_of FROM (SELECT *, row_number() OVER w AS k,
+  first_value(license) OVER w AS first_ FROM l WINDOW w AS (PARTITION BY npi, name ORDER BY issued DESC NULLS LAST, ord))"""
+)
+def newest_of_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest licence of a storefront stands for the others."""
+    return roster.mark_duplicates(_licences(spark, sf_dir)).select("license", "duplicate_of")
+
+
+@query(_L + "SELECT license_status, name, count(*) AS n FROM l WHERE license_status <> 'Expired' AND name <> 'Mail-Order Meds' GROUP BY ALL")
+def status_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roster.active(_licences(spark, sf_dir)).groupBy("license_status", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    _L
+    + """SELECT license, address, city FROM l WHERE starts_with(address, '1329') OR (starts_with(address, '90 R') AND city = 'Mattapan')
+  OR ((starts_with(address, '2275') OR starts_with(address, '416')) AND city = 'Roxbury')"""
+)
+def rule_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences at addresses known to have closed."""
+    return roster.known_closed(_licences(spark, sf_dir)).select("license", "address", "city")
+
+
+@query(
+    _L
+    + """SELECT license, CASE WHEN codes LIKE '%3336C0003X%' THEN 'high' WHEN city = 'Boston' THEN 'medium' ELSE 'board' END AS tier,
+  name <> 'Omnicare of Town' AND codes <> '3336L0003X' AS walk_in,
+  CASE WHEN name = 'Omnicare of Town' THEN 'Non-storefront pharmacy service' WHEN codes = '3336L0003X' THEN 'Not a public walk-in storefront' END AS reason
+  FROM (SELECT * REPLACE (CASE WHEN codes LIKE '%, %' AND name NOT IN ('CVS Pharmacy', 'Star Market', 'Omnicare of Town')
+    AND (address LIKE '%Suite%' OR address LIKE '%Room%') THEN '3336L0003X' ELSE codes END AS codes) FROM l
+    WHERE NOT (codes LIKE '%, %' AND (address LIKE '%Suite%' OR address LIKE '%Room%')))"""
+)
+def case_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence, walk-in storefronts and the reason of those that are none."""
+    l = _licences(spark, sf_dir)
+    l = l.where(~(F.contains("taxonomy_codes", F.lit(", ")) & F.col("address").rlike("Suite|Room")))
+    tier = roster.confidence(F.col("taxonomy_codes"), F.when(F.col("city") == "Boston", "place"))
+    none = F.lit(None).cast("string")
+    inside = roster.walk_in(none, F.col("name"), F.col("taxonomy_codes"), F.col("address"))
+    return l.select("license", tier.alias("tier"), inside.alias("walk_in"), roster.walk_in_reason(inside, none, F.col("name")).alias("reason"))
+
+
+@query(
+    _L
+    + """SELECT license, name IN ('CVS Pharmacy', 'Star Market') AS walk_in FROM l
+  WHERE codes LIKE '%, %' AND (address LIKE '%Suite%' OR address LIKE '%Room%')"""
+)
+def back_office_storefronts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Office codes in a room or suite are no storefront, but for chains."""
+    l = _licences(spark, sf_dir).where(F.contains("taxonomy_codes", F.lit(", ")) & F.col("address").rlike("Suite|Room"))
+    inside = roster.walk_in(F.lit(None).cast("string"), F.col("name"), F.col("taxonomy_codes"), F.col("address"))
+    return l.select("license", inside.alias("walk_in"))
+
+
+@query(
+    _L
+    + """SELECT license, regexp_extract(address, '^[0-9]+') AS number, address || ', ' || city || ' MA ' || lpad(substr(license, 1, 5), 5, '0') AS line,
+  address || ', ' || city AS label, name IN ('CVS Pharmacy') AS flag, city AS town,
+  array_to_string(list_sort(list_filter(string_split(replace(codes, ' ', ''), ','), lambda c: c <> '')), ' ') AS code_list,
+  CASE WHEN npi IS NOT NULL THEN npi || '|' || replace(lower(name), '-', ' ') END AS identity,
+  '&lt;b&gt;' || name || '&lt;/b&gt;' AS html, license::DOUBLE AS number_value FROM l"""
+)
+def roster_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text functions of the roster, a column each."""
+    col = F.col
+    return _licences(spark, sf_dir).select(
+        "license",
+        X.street_number(col("address")).alias("number"),
+        X.address_line(col("address"), col("city"), col("license")).alias("line"),
+        X.place_label(col("address"), col("city")).alias("label"),
+        X.as_bool(F.when(col("name") == "CVS Pharmacy", " Yes ").otherwise("no")).alias("flag"),
+        X.town_name(F.concat(col("city"), F.lit(" Town"))).alias("town"),
+        F.array_join(F.array_sort(X.code_set(col("taxonomy_codes"))), " ").alias("code_list"),
+        X.storefront_identity(col("npi"), col("name")).alias("identity"),
+        X.escape_html(F.concat(F.lit("<b>"), col("name"), F.lit("</b>"))).alias("html"),
+        X.number_or_null(col("license")).alias("number_value"),
+    )
