@@ -18,6 +18,15 @@ def with_least(edges: DataFrame) -> DataFrame:
     return dealt.join(least.select("u", "m", each_part("seen").alias("spread")), ["u", "spread"]).drop("spread")
 
 
+def unsettled(edges: DataFrame) -> DataFrame:
+    """Nodes of distinct ``edges`` (u, v) that point at several others, or at one and are pointed at."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(
+        edges.select("v", F.lit(0), F.lit(1))
+    )
+    seen = ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return seen.where("below > 1 or (below > 0 and above > 0)")
+
+
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node and component (its smallest node) for every node of ``links`` (a, b).
 
@@ -36,14 +45,11 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         both = edges.union(edges.select("v", "u"))
         large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         # small star: smaller neighbours of u, and u, go to the least of them
-        down = large.where("u <> v").distinct()
-        low = with_least(down)
+        low = with_least(large.where("u <> v"))
         small = low.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         small = small.distinct()
         new = scratch.keep(small, f"{name}-{step}")
-        stars = new.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
-        chained = new.join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1)
-        done = stars.union(chained.select("u", F.lit(0).alias("n"))).isEmpty()
+        done = unsettled(new).isEmpty()
         scratch.drop(f"{name}-{step - 1}")
         edges = new
         if done:
@@ -53,3 +59,25 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def merged(groups: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``groups`` (node, component), a written table, after further ``links`` (a, b), another one.
+
+    Only links between different components are solved, as a graph of
+    components, so what was found before is not walked through again.
+    """
+    at = groups.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    to = groups.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    ends = links.select("a", "b").join(at, "a", "left").join(to, "b", "left")
+    ends = scratch.keep(ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), f"{name}-ends")
+    between = ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
+    renamed = scratch.keep(components(between, scratch, name), f"{name}-renamed")
+    alone = ends.select("a", "ca").union(ends.select("b", "cb")).where("a = ca").select(F.col("a").alias("node")).distinct()
+    alone = alone.join(groups, "node", "left_anti").select("node", F.col("node").alias("component"))
+    new = renamed.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    out = groups.union(alone).join(new, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    out = scratch.keep(out, f"{name}-groups")
+    scratch.drop(f"{name}-ends")
+    scratch.drop(f"{name}-renamed")
+    return out

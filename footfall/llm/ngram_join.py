@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.llm.components import components
+from footfall.llm.components import components, merged
 from footfall.llm.scratch import Scratch
 from footfall.llm.spread import each_part, parts_seen, spread_of
 from footfall.llm.text import unused_names
@@ -550,12 +550,11 @@ def linked_rows(docs: DataFrame, percent: int, words: int) -> DataFrame:
         tried = tried.union(stars)
         if found.isEmpty():
             break
-        links = links.union(found)
-        groups = scratch.keep(components(links, scratch, f"star-{k}"), f"groups-{k}")
+        groups = merged(groups, found, scratch, f"star-{k}")
     rest = scratch.keep(cross_pairs(entries, groups, percent).join(tried, ["a", "b"], "left_anti"), "crossing")
     more = scratch.keep(verify(rest, sets, percent, scratch, "rest"), "more")
     if not more.isEmpty():
-        groups = scratch.keep(components(links.union(more), scratch, "all"), "components")
+        groups = merged(groups, more, scratch, "all")
     for name in ("sets", "entries", "crossing", "more"):
         scratch.drop(name)
     named = groups.select(F.col("node").alias("set_id"), "component")
