@@ -207,6 +207,15 @@ def search(facilities: DataFrame, query: str, limit: int = 10) -> DataFrame:
     return facilities.where(F.col("in_study_area") & F.contains(text, F.lit(query.strip().lower()))).orderBy("ord").limit(limit)
 
 
+def facility_counts(facilities: DataFrame) -> DataFrame:
+    """facilities, in_area and can_close (in the area and simulatable), in one row."""
+    return facilities.agg(
+        F.count(F.lit(1)).alias("facilities"),
+        F.count_if("in_study_area").alias("in_area"),
+        F.count_if(F.col("in_study_area") & F.col("simulatable")).alias("can_close"),
+    )
+
+
 def map_cells(cells: DataFrame, closed_id: str | None, mps: float, threshold: float) -> DataFrame:
     """Cells with status, colour class and opacity for a map."""
     seen = with_access(cells, closed_id, mps)

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.constants import EARTH_M
 from footfall.functions.geo import contains, covers, haversine_m, ring_bounds
+from footfall.sources.shared import checkpointed
 
 #: Radius up to which buckets hold; they don't cross the antimeridian.
 FARTHEST_M = 300_000.0
+#: Half the Earth's girth and a little: no two places are farther apart.
+WHOLE_EARTH_M = math.pi * EARTH_M + 1
 METRES_PER_DEGREE = math.radians(1) * EARTH_M
 
 
@@ -93,6 +97,28 @@ def within_radius(
     return pairs.drop("_lat", "_y", "_x", "_band", "_r_lat", "_r_band", "_r_x0", "_dx", "_dy", "_r_x", "_r_y")
 
 
+def within_chord(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+    """:func:`within_radius` for radii of any size, by cubes around points of the unit sphere.
+
+    A cube is as wide as the chord of the radius, so both ends of a pair lie in
+    the same or in neighbouring ones, across poles and antimeridian too.
+    """
+    size = 2 * math.sin(min(metres / EARTH_M, math.pi) / 2) * 1.000001
+
+    def cube(lat: str, lon: str) -> list[Column]:
+        up, east = F.radians(lat), F.radians(lon)
+        return [bucket(v, size) for v in (F.cos(up) * F.cos(east), F.cos(up) * F.sin(east), F.sin(up))]
+
+    r, on = right, F.lit(True)
+    for axis, (here, there) in enumerate(zip(cube("lat", "lon"), cube("r_lat", "r_lon"))):
+        left = left.withColumn(f"_c{axis}", here)
+        r = r.withColumn(f"_r{axis}", F.explode(F.array(there - 1, there, there + 1)))
+        on = on & (F.col(f"_c{axis}") == F.col(f"_r{axis}"))
+    distance = haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
+    pairs = left.join(r, on).withColumn("distance_m", distance).where(F.col("distance_m") <= metres)
+    return pairs.drop(*(f"_{side}{axis}" for side in "cr" for axis in range(3)))
+
+
 def nearest_k(
     points: DataFrame, targets: DataFrame, k: int = 2, start_m: float = 500.0
 ) -> DataFrame:
@@ -100,29 +126,32 @@ def nearest_k(
 
     Points look within a radius; those that find ``k`` targets are done, the
     others look again in a radius three times as wide, so sparse regions cost
-    rounds and dense ones don't cost pairs. Ties go to the smaller target_id.
-    Columns: point_id, target_id, distance_m, place (from 1). Points for which
-    there are fewer than ``k`` targets anywhere get what there is.
+    rounds and dense ones don't cost pairs. Each round's finds are written, so
+    no later one repeats it. Ties go to the smaller target_id. Columns:
+    point_id, target_id, distance_m, place (from 1). Points for which there are
+    fewer than ``k`` targets anywhere get what there is, points without a place
+    get nothing.
     """
     order = Window.partitionBy("point_id").orderBy("distance_m", "target_id")
-    left, radius, out = points.select("point_id", "lat", "lon"), start_m, None
-    while radius <= FARTHEST_M:
-        pairs = within_radius(left, targets.select("target_id", "r_lat", "r_lon"), radius)
-        ranked = pairs.select(
-            "point_id", "target_id", "distance_m", F.row_number().over(order).cast("long").alias("place")
-        ).where(F.col("place") <= k)
+    left = points.select("point_id", "lat", "lon").where("lat is not null and lon is not null")
+    near = targets.select("target_id", "r_lat", "r_lon").where("r_lat is not null and r_lon is not null")
+    # with fewer than k targets in all, the first round is the last
+    radius = start_m if near.limit(k).count() == k else WHOLE_EARTH_M
+    found: list[DataFrame] = []
+    while True:
+        pairs = (within_radius if radius <= FARTHEST_M else within_chord)(left, near, radius)
+        ranked = checkpointed(
+            pairs.select("point_id", "target_id", "distance_m", F.row_number().over(order).cast("long").alias("place")).where(
+                F.col("place") <= k
+            )
+        )
+        if radius >= WHOLE_EARTH_M:
+            found.append(ranked)
+            break
         full = ranked.where(F.col("place") == k).select("point_id")
-        done = ranked.join(full, "point_id", "left_semi")
-        out = done if out is None else out.unionByName(done)
-        left = left.join(full, "point_id", "left_anti").persist()
+        found.append(ranked.join(full, "point_id", "left_semi"))
+        left = checkpointed(left.join(full, "point_id", "left_anti"))
         if left.isEmpty():
-            return out
-        radius *= 3
-    # what is left has fewer than k targets for hundreds of kilometres
-    best = left.crossJoin(targets).withColumn(
-        "distance_m", haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
-    )
-    rest = best.select(
-        "point_id", "target_id", "distance_m", F.row_number().over(order).cast("long").alias("place")
-    ).where(F.col("place") <= k)
-    return out.unionByName(rest)
+            break
+        radius = min(radius * 3, WHOLE_EARTH_M)
+    return reduce(DataFrame.unionByName, found)

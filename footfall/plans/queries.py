@@ -288,6 +288,25 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.components(nodes, edges)
 
 
+@query(
+    f"""WITH RECURSIVE {GRAPH}, reach(n, c) AS (SELECT vec_id, vec_id FROM pts UNION SELECT d.dst, reach.c FROM reach JOIN d ON d.src = reach.n),
+ labels AS (SELECT n, min(c) AS c FROM reach GROUP BY n), sizes AS (SELECT c, count(*) AS k FROM labels GROUP BY c)
+ SELECT sum(k)::BIGINT AS nodes, (SELECT count(*) FROM e) AS edges, count(*) AS components, max(k) AS largest_nodes,
+   max(k) / sum(k) AS largest_share, max(k) / sum(k) >= 0.85 AS dominant FROM sizes"""
+)
+def graph_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, components and gate of the graph."""
+    return network.graph_report(*T.graph(spark, sf_dir))
+
+
+@query(
+    f"""WITH {PTS}, {FAC} SELECT count(*) AS facilities, count_if(in_study_area)::BIGINT AS in_area,
+   count_if(in_study_area AND simulatable)::BIGINT AS can_close FROM fac"""
+)
+def facility_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return closure.facility_counts(T.facilities(spark, sf_dir))
+
+
 @query(
     f"""WITH RECURSIVE {GRAPH}, r(n, m) USING KEY (n) AS (SELECT min(vec_id), 0.0::DOUBLE FROM pts UNION
    SELECT d.dst, min(r.m + d.metres) FROM r JOIN d ON d.src = r.n LEFT JOIN recurring.r AS x ON x.n = d.dst
@@ -301,7 +320,13 @@ def graph_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.distances_from(start, edges).select("node", F.round("metres", 3).alias("metres"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {GRAPH}, r(n, s, m) USING KEY (n, s) AS (SELECT vec_id, vec_id, 0.0::DOUBLE FROM pts WHERE label = 0 UNION
+   SELECT d.dst, r.s, min(r.m + d.metres) FROM r JOIN d ON d.src = r.n LEFT JOIN recurring.r AS x ON x.n = d.dst AND x.s = r.s
+   WHERE x.m IS NULL OR r.m + d.metres < x.m GROUP BY d.dst, r.s)
+ SELECT n AS node, s AS seed, round(m, 3) AS metres, k AS place
+ FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY m, s) AS k FROM r) WHERE k <= 2"""
+)
 def graph_two_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two nearest facilities of every node over the network."""
     _, edges = T.graph(spark, sf_dir)
