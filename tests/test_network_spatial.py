@@ -165,3 +165,20 @@ def test_points_along_a_line(spark):
         assert p["y"] == pytest.approx(y)
     total = df.select(geo.line_length_m(F.col("line"))).first()[0]
     assert df.select(geo.portion_m(F.lit(total), F.lit(0.75), F.lit(0.25))).first()[0] == pytest.approx(total / 2)
+
+
+def test_nearest_k_far_targets(spark):
+    """Across the antimeridian, near a pole, on the other side of the Earth; no place, no targets, fewer than k."""
+    points = spark.createDataFrame(
+        [(1, 10.0, 179.9), (2, 89.0, 10.0), (3, -40.0, -60.0), (4, None, 1.0)], "point_id long, lat double, lon double"
+    )
+    places = [(1, 10.0, -175.0), (2, 85.0, -170.0), (3, 40.0, 100.0)]
+    targets = spark.createDataFrame(places, "target_id long, r_lat double, r_lon double")
+    for k in (1, 2, 5):
+        got = {(r["point_id"], r["place"]): r["target_id"] for r in spatial.nearest_k(points, targets, k=k).collect()}
+        want = {}
+        for p, lat, lon in [(1, 10.0, 179.9), (2, 89.0, 10.0), (3, -40.0, -60.0)]:
+            far = sorted((hav(lat, lon, y, x), t) for t, y, x in places)
+            want |= {(p, i + 1): t for i, (_, t) in enumerate(far[:k])}
+        assert got == want
+    assert spatial.nearest_k(points, targets.limit(0)).collect() == []
