@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import curriculum, fertility, licenses, lines, ngram_join, packing, pivots, roles, severity, token_counts, urls
+from footfall.llm import curriculum, fertility, licenses, lines, ngram_join, packing, pivots, roles, severity, token_counts, urls, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,7 @@ def queries() -> dict:
         "op8_pivot_near_dedup": _on(pivots.op8_pivot_near_dedup, "embeddings"),
         "op9_role_repair": _on(roles.op9_role_repair, "conversations"),
         "op10_line_dedup": _on(lines.op10_line_dedup, "documents"),
+        "op11_vector_codes": _on(vector_codes.op11_vector_codes, "embeddings"),
         "op13_token_counts": _on(token_counts.op13_token_counts, "documents"),
     }
 
@@ -41,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_ngram_jaccard_join": ngram_join.OP7_SQL,
         "op8_pivot_near_dedup": pivots.OP8_SQL,
         "op10_line_dedup": lines.OP10_SQL,
+        "op11_vector_codes": vector_codes.op11_sql(),
     }
