@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import curriculum, fertility, licenses, lines, ngram_join, packing, pivots, roles, severity, token_counts, urls, vector_codes
+from footfall.llm import alignment, curriculum, fertility, licenses, lines, ngram_join, packing, pivots, roles, severity, token_counts, urls, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,7 @@ def queries() -> dict:
         "op9_role_repair": _on(roles.op9_role_repair, "conversations"),
         "op10_line_dedup": _on(lines.op10_line_dedup, "documents"),
         "op11_vector_codes": _on(vector_codes.op11_vector_codes, "embeddings"),
+        "op12_token_alignment": _on(alignment.op12_token_alignment, "documents"),
         "op13_token_counts": _on(token_counts.op13_token_counts, "documents"),
     }
 
