@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall import constants as C
+from footfall.functions.hexgrid import cell_of
 from footfall.functions.text import half_up
+from footfall.ship import ship
 
 
 def is_residential(subtype: Column, klass: Column) -> Column:
@@ -134,11 +136,17 @@ def scale_to_inside(block_groups: DataFrame, stats: DataFrame | None = None) ->
     )
 
 
-def cells(allocated: DataFrame, cell: Column) -> DataFrame:
+def cells(allocated: DataFrame, cell: Column | None = None) -> DataFrame:
     """Demand cells by (cell, city): no_vehicle, buildings and the mean place.
 
-    A cell that two cities share has a row in each.
+    The cell is the H3 cell of the place at the published resolution unless
+    another is given. A cell that two cities share has a row in each.
     """
+    if cell is None:
+        ship(allocated.sparkSession)
+        cell = cell_of(F.col("lat"), F.col("lon"), C.CELL_RESOLUTION)
+        allocated = allocated.withColumn("h3", cell)
+        cell = F.col("h3")
     return allocated.groupBy(cell.alias("h3"), "city").agg(
         F.sum("hh").alias("no_vehicle"), F.count("id").alias("buildings"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon")
     )
