@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from footfall.constants import EARTH_M
 from footfall.functions.geo import contains, covers, haversine_m, ring_bounds
+from footfall.functions.polygons import in_polygon, polygon_bounds
 from footfall.sources.shared import checkpointed
 
 #: Radius up to which buckets hold; they don't cross the antimeridian.
@@ -37,19 +38,23 @@ def overlaps_bbox(xmin: Column, ymin: Column, xmax: Column, ymax: Column, box: t
 def points_in_polygons(
     points: DataFrame, polygons: DataFrame, inclusive: bool = True, size: float = 0.05, how: str = "inner"
 ) -> DataFrame:
-    """``points`` (lon, lat) joined to the ``polygons`` (ring) that hold them.
+    """``points`` (lon, lat) joined to the ``polygons`` (ring, or rings with holes and parts) that hold them.
 
     A polygon is listed under every grid bucket of its bounds, so each point
     meets the polygons of its own bucket only. With ``inclusive`` a boundary
     belongs to the polygon. Columns of both sides are kept; names must differ.
     """
-    box = ring_bounds(F.col("ring"))
+    several = "rings" in polygons.columns
+    box = polygon_bounds(F.col("rings")) if several else ring_bounds(F.col("ring"))
     listed = (
         polygons.withColumn("_box", box)
         .withColumn("_gx", F.explode(F.sequence(bucket(F.col("_box.xmin"), size), bucket(F.col("_box.xmax"), size))))
         .withColumn("_gy", F.explode(F.sequence(bucket(F.col("_box.ymin"), size), bucket(F.col("_box.ymax"), size))))
     )
-    inside = (covers if inclusive else contains)(F.col("lon"), F.col("lat"), F.col("ring"))
+    if several:
+        inside = in_polygon(F.col("lon"), F.col("lat"), F.col("rings"), inclusive)
+    else:
+        inside = (covers if inclusive else contains)(F.col("lon"), F.col("lat"), F.col("ring"))
     placed = points.withColumn("_px", bucket(F.col("lon"), size)).withColumn("_py", bucket(F.col("lat"), size))
     near = F.col("lon").between(F.col("_box.xmin"), F.col("_box.xmax")) & F.col("lat").between(
         F.col("_box.ymin"), F.col("_box.ymax")

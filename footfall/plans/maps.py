@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.functions import geo, hexgrid
-from footfall.operators import demand
+from footfall.functions import geo, hexgrid, polygons
+from footfall.functions.text import half_up
+from footfall.operators import demand, shapes, spatial
 from footfall.plans import tables as T
-from footfall.plans.queries import query
+from footfall.plans.queries import PTS, query
 from footfall.ship import ship
 
 
@@ -38,3 +39,77 @@ def hexagon_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.element_at("ring", 1) == F.element_at("ring", -1)).alias("closed"),
         F.shiftright(hexgrid.to_number(F.col("h3")), 52).bitwiseAND(15).alias("resolution"),
     )
+
+
+#: Boxes around places, as the shapes of towns (label 0) and block groups (all others).
+BOXES = f"""{PTS}, boxes AS (SELECT vec_id, label, lon - (0.01::DOUBLE + (vec_id % 7) * 0.01::DOUBLE) AS x0, lon + (0.01::DOUBLE + (vec_id % 7) * 0.01::DOUBLE) AS x1,
+  lat - (0.01::DOUBLE + (vec_id % 5) * 0.008::DOUBLE) AS y0, lat + (0.01::DOUBLE + (vec_id % 5) * 0.008::DOUBLE) AS y1 FROM pts),
+ towns AS (SELECT * FROM boxes WHERE label = 0), groups AS (SELECT * FROM boxes WHERE label <> 0)"""
+#: The towns' union as the elementary boxes between all their edges that some town covers.
+COVERED = """xs AS (SELECT v AS x0, lead(v) OVER (ORDER BY v) AS x1 FROM (SELECT x0 AS v FROM towns UNION SELECT x1 FROM towns)),
+ ys AS (SELECT v AS y0, lead(v) OVER (ORDER BY v) AS y1 FROM (SELECT y0 AS v FROM towns UNION SELECT y1 FROM towns)),
+ covered AS (SELECT x0, x1, y0, y1 FROM xs, ys WHERE EXISTS (SELECT 1 FROM towns t WHERE t.x0 <= xs.x0 AND xs.x1 <= t.x1 AND t.y0 <= ys.y0 AND ys.y1 <= t.y1))"""
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ord, name and rings of boxes around all places."""
+    w, h = F.lit(0.01) + F.col("vec_id") % 7 * 0.01, F.lit(0.01) + F.col("vec_id") % 5 * 0.008
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x0, x1, y0, y1 = F.col("lon") - w, F.col("lon") + w, F.col("lat") - h, F.col("lat") + h
+    box = F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1))
+    own = T.points(spark, sf_dir).where("lon IS NOT NULL AND lat IS NOT NULL")
+    return own.select(F.col("vec_id").alias("ord"), "label", F.concat(F.lit("Town "), F.col("vec_id").cast("string")).alias("name"), F.array(box).alias("rings"))
+
+
+@query(f"WITH {BOXES}, {COVERED} SELECT floor(sum((x1 - x0) * (y1 - y0)) * 1e9 + 0.5) / 1e9 AS area FROM covered")
+def union_of_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area of the union of all towns; what several cover counts once."""
+    towns = _boxes(spark, sf_dir).where("label = 0")
+    return shapes.union_area(shapes.union_pieces(towns, 0.1)).select(half_up(F.col("area"), 9).alias("area"))
+
+
+@query(
+    f"""WITH {BOXES}, {COVERED}, shared AS (SELECT g.vec_id, least(g.x1, c.x1) - greatest(g.x0, c.x0) AS w, least(g.y1, c.y1) - greatest(g.y0, c.y0) AS h,
+   (g.x1 - g.x0) * (g.y1 - g.y0) AS area FROM groups g JOIN covered c ON g.x0 < c.x1 AND c.x0 < g.x1 AND g.y0 < c.y1 AND c.y0 < g.y1),
+ own AS (SELECT vec_id, floor(sum(w * h) / any_value(area) * 1e6 + 0.5) / 1e6 AS clip_ratio FROM shared GROUP BY vec_id),
+ inside AS (SELECT g.vec_id, min(t.vec_id) AS town FROM groups g JOIN towns t
+   ON sqrt(pow(greatest(t.x0 - (g.x0 + g.x1) / 2, 0, (g.x0 + g.x1) / 2 - t.x1), 2) + pow(greatest(t.y0 - (g.y0 + g.y1) / 2, 0, (g.y0 + g.y1) / 2 - t.y1), 2)) < 0.0001 GROUP BY ALL),
+ most AS (SELECT g.vec_id, arg_min(t.vec_id, struct_pack(a := -(least(g.x1, t.x1) - greatest(g.x0, t.x0)) * (least(g.y1, t.y1) - greatest(g.y0, t.y0)), v := t.vec_id)) AS town
+   FROM groups g JOIN towns t ON g.x0 < t.x1 AND t.x0 < g.x1 AND g.y0 < t.y1 AND t.y0 < g.y1 GROUP BY ALL)
+ SELECT o.vec_id AS geoid, 'Town ' || coalesce(i.town, m.town) AS city, clip_ratio, true AS labelled
+ FROM own o LEFT JOIN inside i USING (vec_id) LEFT JOIN most m USING (vec_id)"""
+)
+def clipped_block_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block groups clipped to the towns' union, their towns, and whether the label's place is inside a town and the block group."""
+    every = _boxes(spark, sf_dir)
+    towns = every.where("label = 0").select("ord", "name", "rings")
+    groups = every.where("label <> 0").select(F.col("ord").alias("geoid"), "rings")
+    found = shapes.study_block_groups(groups, towns, 0.1).join(groups, "geoid")
+    in_town = spatial.points_in_polygons(found.select("geoid", "lon", "lat"), towns.select("rings"), size=0.1).select("geoid").distinct()
+    labelled = F.col("_in").isNotNull() & polygons.in_polygon(F.col("lon"), F.col("lat"), F.col("rings"))
+    found = found.join(in_town.withColumn("_in", F.lit(1)), "geoid", "left")
+    return found.select("geoid", "city", half_up(F.col("clip_ratio"), 6).alias("clip_ratio"), labelled.alias("labelled"))
+
+
+#: Two parts, one with a square hole: the shape that places are tested against.
+HOLED = [
+    [(-71.30, 42.20), (-70.90, 42.20), (-70.90, 42.50), (-71.30, 42.50)],
+    [(-71.20, 42.30), (-71.20, 42.40), (-71.05, 42.40), (-71.05, 42.30)],
+    [(-71.15, 42.60), (-70.80, 42.55), (-71.00, 42.75)],
+]
+
+
+def _side_rows() -> str:
+    rows = [f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for r in HOLED for (a, b), (c, d) in zip(r, r[1:] + r[:1])]
+    return f"sides(x1, y1, x2, y2) AS (VALUES {', '.join(rows)})"
+
+
+@query(
+    f"""WITH {PTS}, {_side_rows()} SELECT vec_id FROM pts, sides GROUP BY vec_id
+  HAVING sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < x1 + (lat - y1) * (x2 - x1) / nullif(y2 - y1, 0) THEN 1 ELSE 0 END) % 2 = 1"""
+)
+def places_outside_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in a polygon of two parts, those in its hole left out."""
+    rings = [[tuple(p) for p in r] for r in HOLED]
+    shape = spark.createDataFrame([("holed", rings)], "name string, rings array<array<struct<x double, y double>>>")
+    return spatial.points_in_polygons(T.points(spark, sf_dir), shape).select("vec_id")

@@ -97,14 +97,40 @@ def read_delimited(spark: SparkSession, path: str, columns: Sequence[str], sep:
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """name and ring of every outer ring of a FeatureCollection's polygons."""
+    """ord, name, ring and rings of every polygon of a FeatureCollection, a row for each part of a MultiPolygon.
+
+    ``ring`` is the outer one, ``rings`` are all of them, holes included; none
+    repeats its first vertex. :func:`one_shape` puts the parts together.
+    """
     point = "array<array<array<double>>>"
     schema = "features array<struct<properties struct<name string>, geometry struct<type string, coordinates string>>>"
     raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    shapes = raw.select(F.posexplode("features").alias("ord", "f")).select("ord", "f.properties.name", "f.geometry.*")
+    return _polygons(raw.select(F.posexplode("features").alias("ord", "f")), point)
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """The same of a folder or file with one feature a line, which many tasks read at once; ``ord`` is null."""
+    raw = spark.read.schema("properties struct<name string>, geometry struct<type string, coordinates string>").json(path)
+    return _polygons(raw.select(F.lit(None).cast("int").alias("ord"), F.struct("properties", "geometry").alias("f")), "array<array<array<double>>>")
+
+
+def _polygons(features: DataFrame, point: str) -> DataFrame:
+    shapes = features.select("ord", "f.properties.name", "f.geometry.*")
     one = F.array(F.from_json("coordinates", point))
     many = F.from_json("coordinates", f"array<{point}>")
     parts = F.when(F.col("type") == "Polygon", one).when(F.col("type") == "MultiPolygon", many)
     rings = shapes.select("ord", "name", F.explode(parts).alias("polygon"))
-    ring = F.transform(F.get("polygon", F.lit(0)), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    return rings.select("ord", "name", F.slice(ring, F.lit(1), F.size(ring) - 1).alias("ring"))
+
+    def open_ring(r):
+        vertices = F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+        shut = (F.size(vertices) > 1) & (F.element_at(vertices, 1) == F.element_at(vertices, -1))
+        return F.when(shut, F.slice(vertices, F.lit(1), F.size(vertices) - 1)).otherwise(vertices)
+
+    rings = rings.select("ord", "name", F.transform("polygon", open_ring).alias("rings"))
+    return rings.select("ord", "name", F.get("rings", F.lit(0)).alias("ring"), "rings")
+
+
+def one_shape(polygons: DataFrame, *keys: str) -> DataFrame:
+    """All rings of a name (or of other keys) as one polygon of several parts."""
+    keys = keys or ("ord", "name")
+    return polygons.groupBy(*keys).agg(F.flatten(F.array_sort(F.collect_list("rings"))).alias("rings"))
