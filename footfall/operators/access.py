@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from footfall import constants as C
 from footfall.functions.text import as_bool, half_up
-from footfall.operators.network import nearest_labels, snap
+from footfall.operators.network import nearest_labels, snap, snap_reachable
 
 
 def with_snaps(graph_m: Column, cell_snap: Column, facility_snap: Column) -> Column:
@@ -46,16 +46,13 @@ def publish_reason(in_area: Column, routable: Column, reason: Column, label: str
 def facility_snaps(facilities: DataFrame, nodes: DataFrame, max_m: float = C.SNAP_MAX_M) -> DataFrame:
     """``facilities`` (id, ord, lat, lon, walk_in, storefront_reason) with node, snap_m, routable and exclude_reason.
 
-    Snaps up to four times the limit are measured, so that the reason has a number.
+    ``nodes`` are those of the main component, or all of them with a column
+    ``main``. A facility that is too far from the nearest of them keeps that
+    one and its distance, so that the reason has a number.
     """
-    found = snap(facilities.select(F.col("id").alias("point_id"), "lat", "lon"), nodes, max_m)
-    wide = snap(facilities.select(F.col("id").alias("point_id"), "lat", "lon"), nodes, 4 * max_m).select(
-        "point_id", F.col("snap_m").alias("_wide")
-    )
-    joined = facilities.join(found.withColumnRenamed("point_id", "id"), "id", "left").join(
-        wide.withColumnRenamed("point_id", "id"), "id", "left"
-    )
-    measured = joined.withColumn("snap_m", F.coalesce("snap_m", "_wide")).drop("_wide")
+    every = nodes if "main" in nodes.columns else nodes.withColumn("main", F.lit(True))
+    found = snap_reachable(facilities.select(F.col("id").alias("point_id"), "lat", "lon"), every, max_m).withColumnRenamed("point_id", "id")
+    measured = facilities.join(found.withColumn("snap_m", F.nullif("snap_m", F.lit(float("inf")))), "id", "left")
     ok = F.coalesce(F.col("snap_m") <= max_m, F.lit(False))
     return measured.withColumn("routable", F.col("walk_in") & ok).withColumn(
         "exclude_reason", snap_reason(F.col("walk_in"), F.col("storefront_reason"), F.col("snap_m"))
@@ -72,13 +69,12 @@ def two_nearest(cells: DataFrame, facilities: DataFrame, nodes: DataFrame, edges
     able = facilities.where("routable")
     if able.limit(2).count() < 2:
         raise ValueError("at least two routable facilities are needed")
-    seeds = able.select("node", F.struct("ord", "id").alias("seed"), F.col("snap_m").alias("metres"))
-    labels = nearest_labels(seeds, edges, keep=2)
+    seeds = able.select("node", F.col("ord").alias("seed"), F.col("snap_m").alias("metres"))
+    ids = able.groupBy(F.col("ord").alias("seed")).agg(F.min("id").alias("id"))
+    labels = nearest_labels(seeds, edges, keep=2, nodes=nodes).join(ids, "seed")
     snapped = snap(cells.select(F.col("cell_id").alias("point_id"), "lat", "lon"), nodes).withColumnRenamed("point_id", "cell_id")
-    reached = snapped.join(labels, "node").groupBy("cell_id").agg(
-        F.max(F.when(F.col("place") == 1, F.struct(F.col("seed.id").alias("id"), (F.col("metres") + F.col("snap_m")).alias("m")))).alias("one"),
-        F.max(F.when(F.col("place") == 2, F.struct(F.col("seed.id").alias("id"), (F.col("metres") + F.col("snap_m")).alias("m")))).alias("two"),
-    )
+    at = lambda k: F.max(F.when(F.col("place") == k, F.struct("id", (F.col("metres") + F.col("snap_m")).alias("m"))))
+    reached = snapped.join(labels, "node").groupBy("cell_id").agg(at(1).alias("one"), at(2).alias("two"))
     return cells.join(snapped, "cell_id", "left").join(reached, "cell_id", "left").select(
         *cells.columns,
         "node",

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.constants import DEFAULT_PACE, PACES, THRESHOLD_MINUTES
+from footfall.operators.ranking import whole_rank
 
 
 def minutes(metres: Column, mps: float) -> Column:
@@ -73,18 +74,13 @@ def served_households(cells: DataFrame) -> DataFrame:
 def closure_ranks(cells: DataFrame, facilities: DataFrame, mps: float, threshold: float) -> DataFrame:
     """id, lost_households, rank and of, for facilities that can be closed.
 
-    The facility table is small against the cells: a row per facility meets in
-    one sorted partition to be ranked.
+    Of equals the id that sorts first in Unicode's order is ahead, so accents
+    and case come as in a dictionary; ids that it holds equal go by their bytes.
     """
     lost = newly_lost_by_facility(cells, mps, threshold)
     able = facilities.where("in_study_area and simulatable").select("id")
     scored = able.join(lost, "id", "left").select("id", F.coalesce("lost_households", F.lit(0.0)).alias("lost_households"))
-    everyone = Window.partitionBy(F.lit(1))
-    return scored.select(
-        "*",
-        F.row_number().over(everyone.orderBy(F.desc("lost_households"), "id")).cast("long").alias("rank"),
-        F.count(F.lit(1)).over(everyone).alias("of"),
-    )
+    return whole_rank(scored, F.desc("lost_households"), F.collate("id", "UNICODE").asc(), F.col("id").asc())
 
 
 def closure_rank(cells: DataFrame, facilities: DataFrame, closed_id: str, mps: float, threshold: float) -> DataFrame:

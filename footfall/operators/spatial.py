@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,10 +12,6 @@ from footfall.functions.geo import contains, covers, haversine_m, ring_bounds
 from footfall.functions.polygons import in_polygon, polygon_bounds
 from footfall.sources.shared import checkpointed
 
-#: Radius up to which buckets hold; they don't cross the antimeridian.
-FARTHEST_M = 300_000.0
-#: Half the Earth's girth and a little: no two places are farther apart.
-WHOLE_EARTH_M = math.pi * EARTH_M + 1
 METRES_PER_DEGREE = math.radians(1) * EARTH_M
 
 
@@ -102,61 +97,94 @@ def within_radius(
     return pairs.drop("_lat", "_y", "_x", "_band", "_r_lat", "_r_band", "_r_x0", "_dx", "_dy", "_r_x", "_r_y")
 
 
-def within_chord(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
-    """:func:`within_radius` for radii of any size, by cubes around points of the unit sphere.
+def sphere_axes(lat: str, lon: str) -> list[Column]:
+    """Places on the unit sphere, moved so that no coordinate is negative."""
+    up, east = F.radians(lat), F.radians(lon)
+    return [F.cos(up) * F.cos(east) + 1, F.cos(up) * F.sin(east) + 1, F.sin(up) + 1]
 
-    A cube is as wide as the chord of the radius, so both ends of a pair lie in
-    the same or in neighbouring ones, across poles and antimeridian too.
+
+def pyramid_levels(cubes: DataFrame, targets: DataFrame, k: int, top: int) -> DataFrame:
+    """``cubes`` (columns c0, c1, ...) with ``level``, the lowest at which theirs holds ``k`` targets; ``top`` where none does.
+
+    Cubes of a level are pairs of those below in every axis, so the counts of
+    all levels come from those of the lowest one, and both sides shrink to
+    their occupied cubes before anything is joined.
     """
-    size = 2 * math.sin(min(metres / EARTH_M, math.pi) / 2) * 1.000001
+    axes = cubes.columns
 
-    def cube(lat: str, lon: str) -> list[Column]:
-        up, east = F.radians(lat), F.radians(lon)
-        return [bucket(v, size) for v in (F.cos(up) * F.cos(east), F.cos(up) * F.sin(east), F.sin(up))]
+    def lifted(df):
+        steps = F.sequence(F.lit(0), F.lit(top))
+        up = df.withColumn("level", F.explode(steps))
+        return up.select(*[c for c in df.columns if c not in axes], "level", *[F.call_function("shiftright", F.col(a), F.col("level")).alias(f"u{a}") for a in axes], *axes)
 
-    r, on = right, F.lit(True)
-    for axis, (here, there) in enumerate(zip(cube("lat", "lon"), cube("r_lat", "r_lon"))):
-        left = left.withColumn(f"_c{axis}", here)
-        r = r.withColumn(f"_r{axis}", F.explode(F.array(there - 1, there, there + 1)))
-        on = on & (F.col(f"_c{axis}") == F.col(f"_r{axis}"))
-    distance = haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
-    pairs = left.join(r, on).withColumn("distance_m", distance).where(F.col("distance_m") <= metres)
-    return pairs.drop(*(f"_{side}{axis}" for side in "cr" for axis in range(3)))
+    keys = ["level", *[f"u{a}" for a in axes]]
+    counts = lifted(targets.groupBy(*axes).agg(F.count(F.lit(1)).alias("n"))).groupBy(*keys).agg(F.sum("n").alias("n"))
+    enough = counts.where((F.col("n") >= k) | (F.col("level") == top)).select(*keys)
+    return lifted(cubes.distinct()).join(enough, keys).groupBy(*axes).agg(F.min("level").alias("level"))
 
 
-def nearest_k(
-    points: DataFrame, targets: DataFrame, k: int = 2, start_m: float = 500.0
-) -> DataFrame:
+def candidate_pairs(points: DataFrame, targets: DataFrame, axes: tuple[list[Column], list[Column]], k: int, size: float, extent: float) -> DataFrame:
+    """Pairs of ``points`` and ``targets`` among which every point has its ``k`` nearest, with ``reach``.
+
+    ``axes`` are the coordinates of both sides, from 0 to ``extent``; ``size``
+    is a cube's side at the lowest level. A cube with ``k`` targets has them
+    within its diagonal, ``reach``, of each of its places; a point then meets
+    the cubes four times as wide that come within its reach. Points for which
+    no cube has enough meet all targets, which are then fewer than ``k`` in
+    each half of every axis.
+    """
+    n = len(axes[0])
+    top = max(1, math.ceil(math.log2(extent / size)) + 1)
+    names = [f"c{i}" for i in range(n)]
+    near = targets.select("*", *[bucket(v, size).alias(c) for v, c in zip(axes[1], names)])
+    placed = points.select("*", *[v.alias(f"_x{i}") for i, v in enumerate(axes[0])]).select("*", *[bucket(F.col(f"_x{i}"), size).alias(c) for i, c in enumerate(names)])
+    levels = checkpointed(pyramid_levels(placed.select(*names), near.select(*names), k, top))
+    used = sorted(r["level"] for r in levels.select("level").distinct().collect())
+    diagonal = math.sqrt(n) * size * 1.000001
+    placed = placed.join(levels, names).withColumn("reach", F.when(F.col("level") < top, F.pow(F.lit(2.0), F.col("level")) * diagonal).otherwise(F.lit(float("inf"))))
+    placed = placed.withColumn("_up", F.least(F.col("level") + 2, F.lit(top)))
+    last = math.floor(extent / size)
+    for i in range(n):
+        low, high = (bucket(F.when(F.col("level") < top, F.col(f"_x{i}") + sign * F.col("reach")).otherwise(end), size) for sign, end in ((-1, 0.0), (1, extent)))
+        step = lambda v: F.call_function("shiftright", F.greatest(F.lit(0), F.least(F.lit(last), v)).cast("long"), F.col("_up"))
+        placed = placed.withColumn(f"_k{i}", F.explode(F.sequence(step(low), step(high))))
+    listed = near.withColumn("_up", F.explode(F.array(*[F.lit(u) for u in sorted({min(u + 2, top) for u in used})] or [F.lit(-1)])))
+    listed = listed.select(*targets.columns, "_up", *[F.call_function("shiftright", F.col(c), F.col("_up")).alias(f"_k{i}") for i, c in enumerate(names)])
+    drop = [*names, "level", "_up", *[f"_x{i}" for i in range(n)], *[f"_k{i}" for i in range(n)]]
+    return placed.join(listed, ["_up", *[f"_k{i}" for i in range(n)]]).drop(*drop)
+
+
+def nearest_k(points: DataFrame, targets: DataFrame, k: int = 2, start_m: float = 500.0) -> DataFrame:
     """The ``k`` nearest ``targets`` (target_id, r_lat, r_lon) of every point (point_id, lat, lon).
 
-    Points look within a radius; those that find ``k`` targets are done, the
-    others look again in a radius three times as wide, so sparse regions cost
-    rounds and dense ones don't cost pairs. Each round's finds are written, so
-    no later one repeats it. Ties go to the smaller target_id. Columns:
-    point_id, target_id, distance_m, place (from 1). Points for which there are
-    fewer than ``k`` targets anywhere get what there is, points without a place
-    get nothing.
+    Counts of targets in a pyramid of cubes around the sphere say how far each
+    point has to look, so one join finds them all: dense regions look within
+    ``start_m`` or so, sparse ones farther, across poles and antimeridian too.
+    Ties go to the smaller target_id. Columns: point_id, target_id,
+    distance_m, place (from 1). Points for which there are fewer than ``k``
+    targets anywhere get what there is, points without a place get nothing.
     """
-    order = Window.partitionBy("point_id").orderBy("distance_m", "target_id")
     left = points.select("point_id", "lat", "lon").where("lat is not null and lon is not null")
     near = targets.select("target_id", "r_lat", "r_lon").where("r_lat is not null and r_lon is not null")
-    # with fewer than k targets in all, the first round is the last
-    radius = start_m if near.limit(k).count() == k else WHOLE_EARTH_M
-    found: list[DataFrame] = []
-    while True:
-        pairs = (within_radius if radius <= FARTHEST_M else within_chord)(left, near, radius)
-        ranked = checkpointed(
-            pairs.select("point_id", "target_id", "distance_m", F.row_number().over(order).cast("long").alias("place")).where(
-                F.col("place") <= k
-            )
-        )
-        if radius >= WHOLE_EARTH_M:
-            found.append(ranked)
-            break
-        full = ranked.where(F.col("place") == k).select("point_id")
-        found.append(ranked.join(full, "point_id", "left_semi"))
-        left = checkpointed(left.join(full, "point_id", "left_anti"))
-        if left.isEmpty():
-            break
-        radius = min(radius * 3, WHOLE_EARTH_M)
-    return reduce(DataFrame.unionByName, found)
+    axes = sphere_axes("lat", "lon"), sphere_axes("r_lat", "r_lon")
+    pairs = candidate_pairs(left, near, axes, k, min(start_m / EARTH_M, 1.0), 2.0)
+    pairs = pairs.withColumn("distance_m", haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
+    pairs = pairs.where(2 * F.sin(F.col("distance_m") / (2 * EARTH_M)) <= F.col("reach"))
+    order = Window.partitionBy("point_id").orderBy("distance_m", "target_id")
+    ranked = pairs.select("point_id", "target_id", "distance_m", F.row_number().over(order).cast("long").alias("place"))
+    return ranked.where(F.col("place") <= k)
+
+
+def nearest_by_degrees(points: DataFrame, targets: DataFrame, k: int, start: float = 0.005) -> DataFrame:
+    """The ``k`` nearest of the plane of unscaled degrees: point_id, target_id, degrees2, place, and the columns of ``targets``.
+
+    Ties go to the smaller target_id; latitudes and longitudes are those of a map, without its seams.
+    """
+    left = points.where("lat between -90 and 90 and lon between -540 and 540")
+    near = targets.where("r_lat between -90 and 90 and r_lon between -540 and 540")
+    axes = [F.col("lat") + 540, F.col("lon") + 540], [F.col("r_lat") + 540, F.col("r_lon") + 540]
+    pairs = candidate_pairs(left, near, axes, k, start, 1080.0)
+    pairs = pairs.withColumn("degrees2", (F.col("lat") - F.col("r_lat")) ** 2 + (F.col("lon") - F.col("r_lon")) ** 2)
+    order = Window.partitionBy("point_id").orderBy("degrees2", "target_id")
+    ranked = pairs.where(F.col("degrees2") <= F.col("reach") * F.col("reach")).drop("reach").withColumn("place", F.row_number().over(order).cast("long"))
+    return ranked.where(F.col("place") <= k)

@@ -166,7 +166,7 @@ def facility_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def map_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, fac = T.access_cells(spark, sf_dir), T.facilities(spark, sf_dir)
     first = closure.closure_ranks(cells, fac, T.MPS, T.THRESHOLD).where("rank = 1").first()
-    return closure.map_cells(cells, first["id"], T.MPS, T.THRESHOLD).select("h3", "access_id", "status")
+    return closure.map_cells(cells, first["id"] if first else None, T.MPS, T.THRESHOLD).select("h3", "access_id", "status")
 
 
 @query(
@@ -317,7 +317,7 @@ def graph_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walks from the first node to all others."""
     nodes, edges = T.graph(spark, sf_dir)
     start = nodes.agg(F.min("node")).first()[0]
-    return network.distances_from(start, edges).select("node", F.round("metres", 3).alias("metres"))
+    return network.distances_from(start, edges, nodes).select("node", F.round("metres", 3).alias("metres"))
 
 
 @query(
@@ -329,9 +329,9 @@ def graph_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def graph_two_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two nearest facilities of every node over the network."""
-    _, edges = T.graph(spark, sf_dir)
+    nodes, edges = T.graph(spark, sf_dir)
     seeds = T.points(spark, sf_dir).where("label = 0").select(F.col("vec_id").alias("node"), F.col("vec_id").alias("seed"), F.lit(0.0).alias("metres"))
-    return network.nearest_labels(seeds, edges, keep=2).select("node", "seed", F.round("metres", 3).alias("metres"), "place")
+    return network.nearest_labels(seeds, edges, keep=2, nodes=nodes).select("node", "seed", F.round("metres", 3).alias("metres"), "place")
 
 
 @query(

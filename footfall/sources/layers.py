@@ -29,14 +29,15 @@ def layer_path(root: str, theme: str, kind: str) -> str:
 
 
 def first_readable(spark: SparkSession, roots: Sequence[str], theme: str, kind: str) -> str:
-    """The first root whose layer yields a row."""
+    """The first root whose layer yields a row; the error of none names what each one said."""
     problems = []
     for root in roots:
         try:
             spark.read.parquet(layer_path(root, theme, kind)).limit(1).collect()
             return root
         except Exception as error:  # an unreachable store fails in many ways
-            problems.append(f"{root}: {type(error).__name__}")
+            said = (str(error).splitlines() or [""])[0][:300]
+            problems.append(f"{root}: {type(error).__name__}: {said}")
     raise FileNotFoundError("no root can be read: " + "; ".join(problems))
 
 
