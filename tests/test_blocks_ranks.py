@@ -128,3 +128,22 @@ def test_denial_by_rules_and_by_words(spark):
     df = spark.createDataFrame([(i, "road", "footway", None, r) for i, r in enumerate(rules)], "id int, subtype string, class string, name string, access_json string")
     assert sorted(r["id"] for r in network.walkable_segments(df).collect()) == [1, 2, 3, 4]
     assert sorted(r["id"] for r in network.walkable_segments(df, by_text=True).collect()) == [1, 3, 4]
+
+
+@pytest.mark.parametrize("most", [6, 1000])
+def test_walks_between_pairs(spark, most):
+    at, edges, nodes, table = lattice(spark)
+    apart = [(500, 501, 2.0)]
+    table = table.union(spark.createDataFrame(apart, table.schema))
+    nodes = nodes.union(spark.createDataFrame([(500, 42.001, -71.001), (501, 42.001, -71.0011)], nodes.schema))
+    rng = random.Random(2)
+    pairs = [(f"p{i}", *rng.sample(sorted(at), 2)) for i in range(25)] + [("same", 3, 3), ("apart", 500, 501), ("no way", 500, 3), ("none", None, 3), ("unknown", 7777, 3)]
+    got = {r["name"]: r["metres"] for r in network.shortest_walks(spark.createDataFrame(pairs, "name string, o_node long, d_node long"), nodes, table, block_nodes=most).collect()}
+    want = {}
+    for name, o, d in pairs[:-2]:
+        found = distances(edges + apart, o, 0.0)
+        if d in found:
+            want[name] = found[d]
+    assert got == pytest.approx(want)
+    with pytest.raises(RuntimeError):
+        network.shortest_walks(spark.createDataFrame(pairs, "name string, o_node long, d_node long"), nodes, table, max_rounds=1, block_nodes=most).collect()
