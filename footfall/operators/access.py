@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall import constants as C
+from footfall.functions.geo import haversine_m
 from footfall.functions.text import as_bool, half_up
 from footfall.operators.network import nearest_labels, snap, snap_reachable
+from footfall.operators.spatial import candidate_pairs, sphere_axes, within_radius
+from footfall.sources.shared import checkpointed
 
 
 def with_snaps(graph_m: Column, cell_snap: Column, facility_snap: Column) -> Column:
@@ -132,14 +135,23 @@ def nearest_named(points: DataFrame, facilities: DataFrame, min_m: float = 200.0
     """point_id, id and distance_m: the nearest facility whose name holds the point's hint and that isn't too near.
 
     ``points`` has point_id, lat, lon and hint; the hint "pharmacy" fits any
-    name. Where all are too near, the nearest. Points are few, so they are
-    broadcast while they are under a thousand.
+    name, and so does an empty one. Where all are too near, the nearest. Names
+    and hints meet by a piece of three characters, each different hint once;
+    points then look among the facilities of their hint as far as they must.
     """
-    from footfall.functions.geo import haversine_m
-
-    asked = points if points.limit(1001).count() > 1000 else F.broadcast(points)
-    named = facilities.select("id", F.col("name").alias("_n"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "ord")
-    fits = (F.lower("hint") == "pharmacy") | F.contains(F.lower("_n"), F.lower("hint"))
-    pairs = named.join(asked, fits).withColumn("distance_m", haversine_m(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
+    asked = points.where("hint IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
+    asked = asked.select("point_id", "lat", "lon", F.when(F.lower("hint") == "pharmacy", "").otherwise(F.lower("hint")).alias("hint"))
+    hints = asked.select("hint").distinct().withColumn("key", F.substring("hint", 1, 3))
+    low = F.lower(F.coalesce("name", F.lit("")))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_n")))
+    pieces = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(F.col("_n"), i, F.lit(n)) for n in (1, 2, 3)]))))
+    named = facilities.where("lat IS NOT NULL AND lon IS NOT NULL").select("id", "ord", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), low.alias("_n"))
+    keyed = named.withColumn("key", F.explode(F.array_union(pieces, F.array(F.lit("")))))
+    fitting = checkpointed(keyed.join(hints, "key").where(F.contains("_n", F.col("hint"))).select("id", "ord", "r_lat", "r_lon", "hint"))
+    close = within_radius(asked.withColumnRenamed("hint", "_h"), fitting, min_m).where(F.col("_h") == F.col("hint"))
+    most = close.groupBy("point_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    axes = sphere_axes("lat", "lon"), sphere_axes("r_lat", "r_lon")
+    pairs = candidate_pairs(asked, fitting, axes, most + 1, 500.0 / C.EARTH_M, 2.0, same=["hint"])
+    pairs = pairs.withColumn("distance_m", haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
     best = pairs.groupBy("point_id").agg(F.min(F.struct((F.col("distance_m") < min_m).alias("near"), "distance_m", "ord", "id")).alias("b"))
     return best.select("point_id", F.col("b.id").alias("id"), F.col("b.distance_m").alias("distance_m"))

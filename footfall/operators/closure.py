@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.constants import DEFAULT_PACE, PACES, THRESHOLD_MINUTES
+from footfall.constants import DEFAULT_PACE, PACES, THRESHOLD_MINUTES, THRESHOLD_RANGE
+from footfall.functions.text import ordinal, share_percent
 from footfall.operators.ranking import whole_rank
 
 
@@ -192,9 +193,42 @@ def impact(cells: DataFrame, facilities: DataFrame, closed_id: str | None, mps:
     )
 
 
+def panels(cells: DataFrame, facilities: DataFrame, mps: float, threshold: float) -> DataFrame:
+    """What a side panel says of each facility that can be closed, a row each.
+
+    id, loss_percent and kept_percent of the affected households, loss_share
+    unrounded, alternative_ceiling_min (the threshold, or the longest walk to an
+    alternative), rank, of, ordinal and worse_than_percent, the percentage of
+    facilities whose closure would cost less.
+    """
+    changed = closure_table(cells, mps, threshold).select("id", "newly_households", "kept_households", "affected_households")
+    longest = alternatives(cells, facilities, mps, threshold).groupBy("id").agg(F.max("minutes").alias("longest"))
+    own = closure_ranks(cells, facilities, mps, threshold).join(changed, "id", "left").join(longest, "id", "left")
+    part = {c: F.coalesce(f"{c}_households", F.lit(0.0)) for c in ("newly", "kept", "affected")}
+    return own.select(
+        "id",
+        share_percent(part["newly"], part["affected"]).alias("loss_percent"),
+        share_percent(part["kept"], part["affected"]).alias("kept_percent"),
+        F.coalesce(F.try_divide(part["newly"], part["affected"]) * 100, F.lit(0.0)).alias("loss_share"),
+        F.greatest(F.lit(float(threshold)), F.coalesce("longest", F.lit(0.0))).alias("alternative_ceiling_min"),
+        "rank",
+        "of",
+        ordinal(F.col("rank")).alias("ordinal"),
+        share_percent(F.col("of") - F.col("rank"), F.col("of")).alias("worse_than_percent"),
+    )
+
+
+def check_threshold(threshold: float) -> float:
+    """A threshold in the range that can be chosen."""
+    low, high = THRESHOLD_RANGE
+    if not low <= threshold <= high:
+        raise ValueError(f"a threshold of {threshold} minutes is not between {low} and {high}")
+    return float(threshold)
+
+
 def simulate(cells: DataFrame, facilities: DataFrame, closed_id: str | None, pace: str = DEFAULT_PACE, threshold: float = THRESHOLD_MINUTES) -> DataFrame:
     """:func:`impact` by the name of a pace."""
-    return impact(cells, facilities, closed_id, PACES[pace], threshold)
+    return impact(cells, facilities, closed_id, PACES[pace], check_threshold(threshold))
 
 
 def search(facilities: DataFrame, query: str, limit: int = 10) -> DataFrame:

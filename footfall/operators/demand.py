@@ -53,7 +53,8 @@ def allocate(mapped: DataFrame, block_groups: DataFrame) -> DataFrame:
     ``mapped`` has id, lat, lon, weight, residential, geoid and city;
     ``block_groups`` geoid, city, lat, lon and no_vehicle. Residential buildings
     are preferred within each block group, and a block group without buildings
-    stands for itself, so all households are placed.
+    stands for itself, so all households are placed. A geoid with several
+    block groups is an error when rows are read.
     """
     group = Window.partitionBy("geoid")
     known = mapped.join(block_groups.select("geoid"), "geoid", "left_semi")
@@ -70,12 +71,19 @@ def allocate(mapped: DataFrame, block_groups: DataFrame) -> DataFrame:
     placed = chosen.select("id", "lat", "lon", "weight", "residential", "geoid", "city").unionByName(bare)
     shares = placed.withColumn("_all", F.sum("weight").over(group))
     return (
-        shares.join(block_groups.select("geoid", "no_vehicle"), "geoid", "left")
+        shares.join(_one_each(block_groups), "geoid", "left")
         .withColumn("hh", F.col("no_vehicle") * F.col("weight") / F.col("_all"))
         .drop("_all", "no_vehicle")
     )
 
 
+def _one_each(block_groups: DataFrame) -> DataFrame:
+    """geoid and no_vehicle, one row each; several rows of a geoid raise an error."""
+    seen = block_groups.groupBy("geoid").agg(F.count(F.lit(1)).alias("n"), F.first("no_vehicle").alias("no_vehicle"))
+    several = F.raise_error(F.concat(F.lit("several block groups with geoid "), F.col("geoid").cast("string"))).cast("double")
+    return seen.select("geoid", F.when(F.col("n") > 1, several).otherwise(F.col("no_vehicle")).alias("no_vehicle"))
+
+
 def mass_check(allocated: DataFrame, block_groups: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """allocated, expected and conserved, in one row."""
     got = allocated.agg(F.coalesce(F.sum("hh"), F.lit(0.0)).alias("allocated"))

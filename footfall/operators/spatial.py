@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,29 +104,35 @@ def sphere_axes(lat: str, lon: str) -> list[Column]:
     return [F.cos(up) * F.cos(east) + 1, F.cos(up) * F.sin(east) + 1, F.sin(up) + 1]
 
 
-def pyramid_levels(cubes: DataFrame, targets: DataFrame, k: int, top: int) -> DataFrame:
+def pyramid_levels(cubes: DataFrame, targets: DataFrame, k: int, top: int, same: Sequence[str] = ()) -> DataFrame:
     """``cubes`` (columns c0, c1, ...) with ``level``, the lowest at which theirs holds ``k`` targets; ``top`` where none does.
 
+    Only targets with equal columns ``same`` count.
+
     Cubes of a level are pairs of those below in every axis, so the counts of
     all levels come from those of the lowest one, and both sides shrink to
     their occupied cubes before anything is joined.
     """
-    axes = cubes.columns
+    axes = [c for c in cubes.columns if c not in same]
 
     def lifted(df):
         steps = F.sequence(F.lit(0), F.lit(top))
         up = df.withColumn("level", F.explode(steps))
         return up.select(*[c for c in df.columns if c not in axes], "level", *[F.call_function("shiftright", F.col(a), F.col("level")).alias(f"u{a}") for a in axes], *axes)
 
-    keys = ["level", *[f"u{a}" for a in axes]]
-    counts = lifted(targets.groupBy(*axes).agg(F.count(F.lit(1)).alias("n"))).groupBy(*keys).agg(F.sum("n").alias("n"))
+    keys = [*same, "level", *[f"u{a}" for a in axes]]
+    counts = lifted(targets.groupBy(*same, *axes).agg(F.count(F.lit(1)).alias("n"))).groupBy(*keys).agg(F.sum("n").alias("n"))
     enough = counts.where((F.col("n") >= k) | (F.col("level") == top)).select(*keys)
-    return lifted(cubes.distinct()).join(enough, keys).groupBy(*axes).agg(F.min("level").alias("level"))
+    return lifted(cubes.distinct()).join(enough, keys).groupBy(*same, *axes).agg(F.min("level").alias("level"))
 
 
-def candidate_pairs(points: DataFrame, targets: DataFrame, axes: tuple[list[Column], list[Column]], k: int, size: float, extent: float) -> DataFrame:
+def candidate_pairs(
+    points: DataFrame, targets: DataFrame, axes: tuple[list[Column], list[Column]], k: int, size: float, extent: float, same: Sequence[str] = ()
+) -> DataFrame:
     """Pairs of ``points`` and ``targets`` among which every point has its ``k`` nearest, with ``reach``.
 
+    With columns ``same``, which both sides have, only pairs that agree in them.
+
     ``axes`` are the coordinates of both sides, from 0 to ``extent``; ``size``
     is a cube's side at the lowest level. A cube with ``k`` targets has them
     within its diagonal, ``reach``, of each of its places; a point then meets
@@ -138,10 +145,10 @@ def candidate_pairs(points: DataFrame, targets: DataFrame, axes: tuple[list[Colu
     names = [f"c{i}" for i in range(n)]
     near = targets.select("*", *[bucket(v, size).alias(c) for v, c in zip(axes[1], names)])
     placed = points.select("*", *[v.alias(f"_x{i}") for i, v in enumerate(axes[0])]).select("*", *[bucket(F.col(f"_x{i}"), size).alias(c) for i, c in enumerate(names)])
-    levels = checkpointed(pyramid_levels(placed.select(*names), near.select(*names), k, top))
+    levels = checkpointed(pyramid_levels(placed.select(*same, *names), near.select(*same, *names), k, top, same))
     used = sorted(r["level"] for r in levels.select("level").distinct().collect())
     diagonal = math.sqrt(n) * size * 1.000001
-    placed = placed.join(levels, names).withColumn("reach", F.when(F.col("level") < top, F.pow(F.lit(2.0), F.col("level")) * diagonal).otherwise(F.lit(float("inf"))))
+    placed = placed.join(levels, [*same, *names]).withColumn("reach", F.when(F.col("level") < top, F.pow(F.lit(2.0), F.col("level")) * diagonal).otherwise(F.lit(float("inf"))))
     placed = placed.withColumn("_up", F.least(F.col("level") + 2, F.lit(top)))
     last = math.floor(extent / size)
     for i in range(n):
@@ -151,7 +158,7 @@ def candidate_pairs(points: DataFrame, targets: DataFrame, axes: tuple[list[Colu
     listed = near.withColumn("_up", F.explode(F.array(*[F.lit(u) for u in sorted({min(u + 2, top) for u in used})] or [F.lit(-1)])))
     listed = listed.select(*targets.columns, "_up", *[F.call_function("shiftright", F.col(c), F.col("_up")).alias(f"_k{i}") for i, c in enumerate(names)])
     drop = [*names, "level", "_up", *[f"_x{i}" for i in range(n)], *[f"_k{i}" for i in range(n)]]
-    return placed.join(listed, ["_up", *[f"_k{i}" for i in range(n)]]).drop(*drop)
+    return placed.join(listed, [*same, "_up", *[f"_k{i}" for i in range(n)]]).drop(*drop)
 
 
 def nearest_k(points: DataFrame, targets: DataFrame, k: int = 2, start_m: float = 500.0) -> DataFrame:

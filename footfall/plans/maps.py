@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from footfall.functions import geo, hexgrid, polygons
 from footfall.functions.text import half_up
-from footfall.operators import demand, shapes, spatial
+from footfall.operators import access, closure, clusters, demand, reports, shapes, spatial
 from footfall.plans import tables as T
-from footfall.plans.queries import PTS, query
+from footfall.plans.queries import CLOSURE, FAC, PTS, RANK, hav, query
 from footfall.ship import ship
 
 
@@ -113,3 +113,71 @@ def places_outside_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rings = [[tuple(p) for p in r] for r in HOLED]
     shape = spark.createDataFrame([("holed", rings)], "name string, rings array<array<struct<x double, y double>>>")
     return spatial.points_in_polygons(T.points(spark, sf_dir), shape).select("vec_id")
+
+
+@query(
+    f"""WITH {PTS}, world AS (SELECT floor((lon + 180) / 360 * 1099511627776.0::DOUBLE)::BIGINT AS x,
+   floor((0.5::DOUBLE - ln(tan(pi() / 4 + radians(greatest(-85, least(85, lat))) / 2)) / (2 * pi())) * 1099511627776.0::DOUBLE)::BIGINT AS y FROM pts),
+ zooms AS (SELECT z AS zoom, 85899345920 // pow(2, z)::BIGINT AS side FROM range(13) AS r(z))
+ SELECT zoom::INT AS zoom, floor(x / side)::BIGINT AS cx, floor(y / side)::BIGINT AS cy, count(*) AS points, round(avg(x / 1099511627776.0::DOUBLE) * 360 - 180, 6) AS lon
+ FROM world, zooms GROUP BY ALL"""
+)
+def zoom_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all places at every zoom."""
+    found = clusters.cluster_levels(T.points(spark, sf_dir).select("lat", "lon"))
+    return found.select("zoom", "cx", "cy", "points", F.round("lon", 6).alias("lon"))
+
+
+@query(
+    f"""WITH {PTS}, {FAC}, asked AS (SELECT vec_id AS point_id, lat, lon, CASE vec_id % 4 WHEN 0 THEN 'Pharmacy' WHEN 1 THEN 'store 4' WHEN 2 THEN 'ORE' ELSE '' || (vec_id % 10) END AS hint
+   FROM pts WHERE label <> 0),
+ pairs AS (SELECT a.point_id, f.id, f.ord, {hav('a', 'f')} AS m FROM asked a JOIN fac f ON lower(a.hint) = 'pharmacy' OR contains(lower(f.name), lower(a.hint)))
+ SELECT point_id, arg_min(id, struct_pack(near := m < 3000, m := m, ord := ord)) AS id, round(arg_min(m, struct_pack(near := m < 3000, m := m, ord := ord)), 3) AS distance_m
+ FROM pairs GROUP BY point_id"""
+)
+def named_facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest facility, not too near, whose name holds a hint."""
+    hint = F.expr("CASE vec_id % 4 WHEN 0 THEN 'Pharmacy' WHEN 1 THEN 'store 4' WHEN 2 THEN 'ORE' ELSE concat('', vec_id % 10) END")
+    asked = T.points(spark, sf_dir).where("label <> 0").select(F.col("vec_id").alias("point_id"), "lat", "lon", hint.alias("hint"))
+    return access.nearest_named(asked, T.facilities(spark, sf_dir), 3000.0).select("point_id", "id", F.round("distance_m", 3).alias("distance_m"))
+
+
+_SHARE = "CASE WHEN {w} = 0 THEN 0 WHEN 100 * {p} / {w} > 0 AND 100 * {p} / {w} < 1 THEN 1 WHEN 100 * {p} / {w} > 99 AND 100 * {p} / {w} < 100 THEN 99 ELSE floor(100 * {p} / {w} + 0.5) END::BIGINT"
+
+
+@query(
+    f"""{CLOSURE}, {RANK}, s AS (SELECT nearest_id AS id, second_id AS alt_id, sum(households) AS h, min(ord) AS first_ FROM flags
+   WHERE near_ AND second_m IS NOT NULL GROUP BY ALL),
+ m AS (SELECT id, alt_id, min(v) AS m FROM (SELECT *, sum(w) OVER (PARTITION BY id, alt_id ORDER BY v ROWS UNBOUNDED PRECEDING) AS run,
+   sum(w) OVER (PARTITION BY id, alt_id) AS total FROM (SELECT nearest_id AS id, second_id AS alt_id, second_m AS v,
+   sum(households) AS w FROM flags WHERE near_ AND second_m IS NOT NULL GROUP BY ALL)) WHERE run >= total / 2 GROUP BY ALL),
+ top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY h DESC, first_) AS place FROM s),
+ longest AS (SELECT id, max(m) / 1.34112::DOUBLE / 60 AS minutes FROM top JOIN m USING (id, alt_id) WHERE place <= 3 GROUP BY id),
+ p AS (SELECT r.id, r.rank, r.of, coalesce(newly_households, 0) AS n, coalesce(kept_households, 0) AS k, coalesce(affected_households, 0) AS a, l.minutes
+   FROM ranks r LEFT JOIN closed c USING (id) LEFT JOIN longest l USING (id))
+ SELECT id, {_SHARE.format(p='n', w='a')} AS loss_percent, {_SHARE.format(p='k', w='a')} AS kept_percent, round(CASE WHEN a = 0 THEN 0 ELSE n / a * 100 END, 6)::DOUBLE AS loss_share,
+   round(greatest(15, coalesce(minutes, 0)), 6)::DOUBLE AS alternative_ceiling_min, rank, of,
+   rank || CASE WHEN rank % 100 BETWEEN 11 AND 13 THEN 'th' WHEN rank % 10 = 1 THEN 'st' WHEN rank % 10 = 2 THEN 'nd' WHEN rank % 10 = 3 THEN 'rd' ELSE 'th' END AS ordinal,
+   {_SHARE.format(p='(of - rank)', w='of')} AS worse_than_percent FROM p"""
+)
+def closure_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the panel says of every facility that can be closed."""
+    found = closure.panels(T.access_cells(spark, sf_dir), T.facilities(spark, sf_dir), T.MPS, T.THRESHOLD)
+    return found.withColumns({c: F.round(c, 6) for c in ("loss_share", "alternative_ceiling_min")})
+
+
+@query(
+    """WITH w AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'bridge' WHEN l_returnflag = 'A' THEN 'network' ELSE 'landmark' END AS kind, l_extendedprice / 50 AS m,
+   l_quantity * 50 AS g, CASE WHEN l_linenumber <> 4 THEN l_extendedprice / 60 END AS r FROM lineitem),
+ c AS (SELECT *, kind = 'bridge' AND NOT (m / g BETWEEN 1 / 1.75::DOUBLE AND 1.75) AS bad, CASE WHEN g < 200 THEN m <= 500
+   WHEN kind = 'bridge' AND NOT (m / g BETWEEN 1 / 1.75::DOUBLE AND 1.75) THEN false WHEN r IS NOT NULL AND r / g <= 2.0 THEN m <= r * 1.5 ELSE m <= g * 1.75 END AS ok FROM w)
+ SELECT kind, count(*) AS walks, count_if(NOT ok)::BIGINT AS flagged, count_if(bad)::BIGINT AS bad_bridges, count_if(r IS NULL)::BIGINT AS reference_missing, bool_and(ok) AS all_pass FROM c GROUP BY kind"""
+)
+def validated_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample walks held against straight lines and an outside router, summed up by kind."""
+    kind = F.when(F.col("l_returnflag") == "R", "bridge").when(F.col("l_returnflag") == "A", "network").otherwise("landmark")
+    walks = T.table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("name"), kind.alias("kind"), (F.col("l_extendedprice") / 50).alias("modeled_m"), (F.col("l_quantity") * 50).alias("geodesic_m"),
+        F.when(F.col("l_linenumber") != 4, F.col("l_extendedprice") / 60).alias("reference_m"), F.lit(1.0).alias("snap_o_m"), F.lit(2.0).alias("snap_d_m"),
+    )
+    return reports.validation_summary(reports.checked_walks(walks))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from footfall.functions import text as X
-from footfall.operators import network, ranking, spatial
+from footfall.operators import closure, network, ranking, reports, spatial
 
 
 def hav(lat1, lon1, lat2, lon2):
@@ -147,3 +147,33 @@ def test_walks_between_pairs(spark, most):
     assert got == pytest.approx(want)
     with pytest.raises(RuntimeError):
         network.shortest_walks(spark.createDataFrame(pairs, "name string, o_node long, d_node long"), nodes, table, max_rounds=1, block_nodes=most).collect()
+
+
+def test_street_report(spark):
+    at, edges, nodes, table = lattice(spark)
+    nodes = nodes.where("lat IS NOT NULL")
+    walks = spark.createDataFrame([("across", *at[0], *at[80]), ("same", *at[3], *at[3])], "name string, o_lat double, o_lon double, d_lat double, d_lon double")
+    segments = spark.createDataFrame([(0, "Long Bridge"), (1, "Main"), (2, None), (3, "Long Bridge")], "ord int, name string")
+    row = reports.street_report(nodes, table, segments, walks, {"bridge": r"\bBridge\b", "none": "xyz"}).first()
+    assert row["routes_m"] == {"across": round(distances(edges, 0, 0.0)[80], 1), "same": 0.0} and row["connected"] and row["segments"] == 4
+    assert row["name_hits"] == {"bridge": ["Long Bridge"], "none": []} and row["nodes"] == 81 and row["all_pass"] == row["dominant"]
+    far = spark.createDataFrame([("out", 10.0, 10.0, *at[0])], walks.schema)
+    assert reports.street_report(nodes, table, segments, far, {}).first()["all_pass"] is False
+
+
+def test_sample_walks(spark):
+    rows = [("a", "bridge", 1500.0, 735.0, 1011.0, 1.04, None), ("b", "bridge", 737.0, 686.0, None, 1.0, 2.0), ("c", "landmark", None, 58.0, 1000.0, 1.0, 2.0)]
+    checked = reports.checked_walks(spark.createDataFrame(rows, "name string, kind string, modeled_m double, geodesic_m double, reference_m double, snap_o_m double, snap_d_m double"))
+    got = {r["name"]: r for r in checked.collect()}
+    assert (got["a"]["ok"], got["a"]["bridge_ok"], got["a"]["modeled_over_geodesic"], got["a"]["snap_o_m"]) == (False, False, 2.041, 1.0)
+    assert (got["b"]["ok"], got["b"]["modeled_over_reference"], got["c"]["ok"], got["c"]["bridge_ok"]) == (True, None, False, True)
+    with pytest.raises(ValueError, match="'a'"):
+        reports.assert_bridges(checked)
+    reports.assert_bridges(checked.where("name <> 'a'"))
+
+
+def test_thresholds_in_range():
+    assert closure.check_threshold(15) == 15.0
+    for bad in (4, 31):
+        with pytest.raises(ValueError):
+            closure.check_threshold(bad)
