@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from footfall.functions import geo, polygons
 from footfall.operators.spatial import bucket
 from footfall.ship import ship
-from footfall.sources.shared import checkpointed
+from footfall.sources.shared import checkpointed, release
 
 #: Polygons of a tile that one task merges at a time.
 FAN = 32
@@ -75,7 +75,9 @@ def union_pieces(shapes: DataFrame, size: float) -> DataFrame:
         last = not (most := sizes.agg(F.max("n")).first()[0]) or most <= FAN
         slots = F.ceil(F.col("n") / FAN).cast("long")
         grouped = pieces.join(sizes, ["gx", "gy"]).withColumn("slot", F.pmod(F.xxhash64("rings"), slots)).groupBy("gx", "gy", "slot")
-        pieces = checkpointed(grouped.applyInPandas(merge, "gx long, gy long, rings array<array<double>>"))
+        merged = checkpointed(grouped.applyInPandas(merge, "gx long, gy long, rings array<array<double>>"))
+        release(pieces)
+        pieces = merged
     return pieces.select("gx", "gy", polygons.shaped(F.col("rings")).alias("rings"))
 
 
