@@ -10,6 +10,17 @@ from footfall.functions.text import half_up
 from footfall.operators import access, network
 
 
+def error_margins(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """rss, n_missing and share by ``keys``: root of the sum of squares, rows without a positive value, and the share of those with one."""
+    v = F.col(value)
+    found = F.coalesce(v > 0, F.lit(False))
+    return df.groupBy(*keys).agg(
+        half_up(F.sqrt(F.sum(v * v)), 2).alias("rss"),
+        F.count_if(~found).alias("n_missing"),
+        half_up(F.avg(found.cast("double")), 4).alias("share"),
+    )
+
+
 def checked_walks(walks: DataFrame) -> DataFrame:
     """Sample walks (name, kind, modeled_m, geodesic_m, reference_m, snap_o_m, snap_d_m) with ratios and whether they are credible.
 

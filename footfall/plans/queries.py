@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from footfall.constants import LCC
 from footfall.functions import geo
 from footfall.functions import text as X
-from footfall.operators import access, closure, demand, network, roster, spatial
+from footfall.operators import access, closure, demand, network, reports, roster, spatial
 from footfall.plans import tables as T
 from footfall.sources import sinks
 
@@ -433,12 +434,8 @@ def name_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
   floor(avg((s_acctbal > 0)::INT::DOUBLE) * 10000 + 0.5) / 10000 AS share FROM supplier GROUP BY s_nationkey"""
 )
 def grouped_error_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = T.table(spark, sf_dir, "supplier")
-    return s.groupBy("s_nationkey").agg(
-        X.half_up(F.sqrt(F.sum(F.col("s_acctbal") * F.col("s_acctbal"))), 2).alias("rss"),
-        F.count_if(F.col("s_acctbal") <= 0).alias("n_missing"),
-        X.half_up(F.avg((F.col("s_acctbal") > 0).cast("double")), 4).alias("share"),
-    )
+    """Margins of error, missing values and shares by group."""
+    return reports.error_margins(T.table(spark, sf_dir, "supplier"), ["s_nationkey"], "s_acctbal")
 
 
 @query(f"WITH {PTS} SELECT vec_id, floor({hav('a', 'b')} * 1000 + 0.5) / 1000 AS metres FROM pts b CROSS JOIN (SELECT 42.3604::DOUBLE AS lat, -71.0578::DOUBLE AS lon) a")
@@ -447,7 +444,19 @@ def haversine_metres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.points(spark, sf_dir).select("vec_id", X.half_up(d, 3).alias("metres"))
 
 
-@query()
+def _lcc_sql() -> str:
+    """Forward conic projection of pts in closed form."""
+    m = lambda p: f"cos(radians({p})) / sqrt(1 - e * e * pow(sin(radians({p})), 2))"
+    t = lambda p: f"tan(pi() / 4 - radians({p}) / 2) / pow((1 - e * sin(radians({p}))) / (1 + e * sin(radians({p}))), e / 2)"
+    k = {name: f"{value!r}::DOUBLE" for name, value in LCC.items()}
+    return f"""f AS (SELECT 1 / {k['inverse_flattening']} AS f), e AS (SELECT sqrt(2 * f - f * f) AS e FROM f),
+ n AS (SELECT e, (ln({m(k['lat1'])}) - ln({m(k['lat2'])})) / (ln({t(k['lat1'])}) - ln({t(k['lat2'])})) AS n FROM e),
+ g AS (SELECT e, n, {k['a']} * ({m(k['lat1'])}) / (n * pow({t(k['lat1'])}, n)) AS g FROM n),
+ placed AS (SELECT vec_id, lat, lon, g * pow({t('lat')}, n) AS rho, g * pow({t(k['lat0'])}, n) AS rho0, n * (radians(lon) - radians({k['lon0']})) AS turn FROM pts, g)
+ SELECT vec_id, round(rho * sin(turn) + {k['x0']}, 3) AS x, round(rho0 - rho * cos(turn) + {k['y0']}, 3) AS y, round(lat, 9) AS lat, round(lon, 9) AS lon FROM placed"""
+
+
+@query(f"WITH {PTS}, {_lcc_sql()}")
 def projected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State-plane metres of every place and the way back."""
     x, y = geo.project(F.col("lat"), F.col("lon"))
