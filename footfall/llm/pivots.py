@@ -34,6 +34,8 @@ MIN_PIVOTS, MAX_PIVOTS = 64, 16384
 SAMPLE, SEPARATION = 4, 0.8
 #: Members of a list that are compared at once, and rows of their product.
 BLOCK, STRIP = 2048, 512
+#: Candidates are multiplied pair by pair, so many at a time, where they are fewer than one in this many.
+FEW, PAIRS = 32, 4096
 
 
 def choose_pivots(points: DataFrame, n_points: int) -> dict[int, np.ndarray]:
@@ -136,11 +138,19 @@ def links_in_lists(
         x = unit(np.array(group["v"].tolist(), float))
         linked = np.zeros((len(x), len(x)), bool)
         for at in range(0, len(x), STRIP):
-            cosines = x[at : at + STRIP] @ x.T
-            strip = cosines >= threshold
-            for i, j in np.argwhere(candidate[at : at + STRIP] & (np.abs(cosines - threshold) < 1e-12)):
-                strip[i, j] = cosine_of(group["v"][at + i], group["v"][j]) >= threshold
-            linked[at : at + STRIP] = strip & candidate[at : at + STRIP]
+            wanted = candidate[at : at + STRIP]
+            rows, others = np.nonzero(wanted)
+            if len(rows) * FEW > wanted.size:
+                cosines = (x[at : at + STRIP] @ x.T)[rows, others]
+            else:
+                cosines = np.zeros(len(rows))
+                for k in range(0, len(rows), PAIRS):
+                    part = slice(k, k + PAIRS)
+                    cosines[part] = np.einsum("ij,ij->i", x[at + rows[part]], x[others[part]])
+            verdict = cosines >= threshold
+            for k in np.flatnonzero(np.abs(cosines - threshold) < 1e-12):
+                verdict[k] = cosine_of(group["v"][at + rows[k]], group["v"][others[k]]) >= threshold
+            linked[at + rows[verdict], others[verdict]] = True
         counts = linked @ group["copies"].to_numpy(np.int64)
         left = counts > 0
         root = np.zeros(len(x), np.int64)
@@ -155,11 +165,13 @@ def links_in_lists(
         names = group["point"].to_numpy()
         return pd.DataFrame({"a": names[some], "b": names[root[some]], "n": counts[some]})
 
-    posted = described.select("point", "label", F.posexplode(F.slice("near", 1, lists)).alias("rank", "pivot"))
-    sizes = posted.groupBy("label", "pivot").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    posted = described.select("point", "label", F.posexplode(F.slice("near", 1, lists)).alias("rank", "pivot"), spread_of("point").alias("spread"))
+    # a list that holds a third of all vectors gets its size in as many tasks as it has spreads
+    sizes = posted.groupBy("label", "pivot").agg(F.count(F.lit(1)).alias("size"), parts_seen(F.col("spread")).alias("seen")).where("size > 1")
+    sizes = sizes.select("label", "pivot", "size", each_part("seen").alias("spread"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     member = (
-        posted.join(sizes.hint("merge"), ["label", "pivot"])
+        posted.join(sizes, ["label", "pivot", "spread"])
         .select("point", "label", "pivot", blocks.alias("blocks"))
         .withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
     )
