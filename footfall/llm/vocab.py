@@ -57,8 +57,11 @@ class ByteBPE:
         self.json_path = json_path
         self.ranks = ranked_bpe(ranks_path)
         with open(json_path, encoding="utf-8") as f:
-            special = [t["content"] for t in json.load(f)["added_tokens"]]
-        self.needs_json = re.compile("|".join(["[^\x00-\u024f]", *map(re.escape, special)])).search
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.is_wide = re.compile("[^\x00-\u024f]").search
+
+    def needs_json(self, text: str) -> bool:
+        return any(s in text for s in self.special) or not text.isascii() and self.is_wide(text) is not None
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, 16 bits each in the machine's order."""

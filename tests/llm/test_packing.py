@@ -167,3 +167,10 @@ def test_members_of_a_large_group_of_copies_are_neighbours():
 
 def test_terms_widen_with_the_corpus():
     assert packing.term_bits(1000) == 18 < packing.term_bits(1 << 20) < packing.term_bits(1 << 40)
+
+
+def test_ascii_texts_are_not_searched_for_wide_characters():
+    bpe = vocab.ByteBPE(vocab.public_path("byte_bpe_50k.json"), vocab.public_path("byte_bpe_50k.tiktoken"))
+    assert [bpe.needs_json(t) for t in ("", "plain", "Grüße ɏ", "ɐ", "a 你", "é <|endoftext|>", "<|endoftext|>")] == [False] * 3 + [True] * 4
+    bpe.is_wide = None
+    assert not bpe.needs_json("plain words only") and bpe.encode("plain words")
