@@ -12,7 +12,8 @@
    first: two pairs a set at most, which join large groups of near copies.
    Sets outside a shingle's largest component then try its most typical member.
    After that only pairs across the components found are left to compare, under
-   every prefix shingle they share; pairs inside a component can't change it.
+   every prefix shingle they share; pairs inside a component can't change it,
+   and a shingle that one component alone holds is left out of later rounds.
 4. Length, positional and suffix filters prune pairs before sets are fetched;
    each pair is verified once, on whole sets.
 """
@@ -27,14 +28,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.llm.components import components, merged
-from footfall.llm.scratch import Scratch
+from footfall.llm.scratch import Scratch, tidy
 from footfall.llm.spread import each_part, parts_seen, spread_of
 from footfall.llm.text import unused_names
 from footfall.ship import ship
 
 WORDS = 5
 #: Shingles that a bucket counts at once, and that a task gathers before it sends.
-BUCKET_SHINGLES = 1 << 19
+BUCKET_SHINGLES = 1 << 21
 FLUSH_SHINGLES = 1 << 18
 #: One set in so many shows which shingles are hot, and most hot shingles that are sent to tasks.
 SAMPLED, MAX_HOT = 32, 1 << 22
@@ -195,8 +196,8 @@ def shared_shingles(
 ) -> DataFrame:
     """The sets whose prefix holds shingles of other sets.
 
-    Columns: set_id, n, unshared, shared (sorted 64-bit hashes), prefix (the
-    shared hashes of the prefix, rare first) and signature (how many shared
+    Columns: set_id, n, unshared, shared (bytes of sorted 64-bit hashes), prefix
+    (an array of the shared hashes of the prefix, rare first) and signature (how many shared
     hashes fall in each of SIGNATURE ranges). Entries of ``hot`` shingles (their
     upper 60 bits) go to ``salts`` groups a bucket.
     """
@@ -325,7 +326,7 @@ def shared_shingles(
             shared = np.sort(h[lo:hi])
             part = (shared >> np.uint64(width - 7)).astype(np.int64)
             signature = np.minimum(255, np.bincount(part, minlength=SIGNATURE)).astype(np.uint8)
-            rows.append((int(name[lo]), n, unshared, shared.tobytes(), h[lo : min(hi, lo + prefix)].tobytes(), signature.tobytes()))
+            rows.append((int(name[lo]), n, unshared, shared.tobytes(), h[lo : min(hi, lo + prefix)].astype(np.int64), signature.tobytes()))
         return pd.DataFrame(rows, columns=["set_id", "n", "unshared", "shared", "prefix", "signature"])
 
     asked = docs.select("text").mapInPandas(send, "bucket long, sets binary, sizes binary, counts binary, hashes binary")
@@ -334,31 +335,15 @@ def shared_shingles(
         "block long, bucket long, sets binary, sizes binary, counts binary, hashes binary, rarity binary",
     )
     return answered.groupBy("block").applyInPandas(
-        assemble, "set_id long, n long, unshared long, shared binary, prefix binary, signature binary"
+        assemble, "set_id long, n long, unshared long, shared binary, prefix array<long>, signature binary"
     )
 
 
 def prefix_entries(sets: DataFrame) -> DataFrame:
     """h, set_id, n, unshared and pos (place in rare-first order) of every prefix shingle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = [np.frombuffer(p, np.int64) for p in batch["prefix"]]
-            sizes = np.array([len(p) for p in parts], np.int64)
-            inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield pd.DataFrame(
-                {
-                    "h": np.concatenate(parts) if parts else np.zeros(0, np.int64),
-                    "set_id": np.repeat(batch["set_id"].to_numpy(), sizes),
-                    "n": np.repeat(batch["n"].to_numpy(), sizes),
-                    "unshared": np.repeat(batch["unshared"].to_numpy(), sizes),
-                    "pos": np.repeat(batch["unshared"].to_numpy(), sizes) + inner,
-                }
-            )
-
-    return sets.select("set_id", "n", "unshared", "prefix").mapInPandas(
-        run, "h long, set_id long, n long, unshared long, pos long"
-    )
+    each = sets.select("set_id", "n", "unshared", F.posexplode("prefix").alias("at", "h"))
+    return each.select("h", "set_id", "n", "unshared", (F.col("unshared") + F.col("at")).alias("pos"))
 
 
 def may_link(n, n2, pos, pos2, percent: int):
@@ -425,6 +410,16 @@ def hubs_of(own: DataFrame) -> DataFrame:
     )
 
 
+def contested(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """``entries`` under shingles that several components hold.
+
+    Components only grow, so the others can name no further pair, and later
+    rounds don't shuffle them.
+    """
+    held = with_components(entries, groups)
+    return entries.join(hubs_of(held).select("h"), "h", "left_semi").select(entries.columns)
+
+
 def star_pairs(own: DataFrame, percent: int, most: int = 3) -> DataFrame:
     """Pairs of a set and the hub's most typical members under its shingles.
 
@@ -539,10 +534,13 @@ def linked_rows(docs: DataFrame, percent: int, words: int) -> DataFrame:
     facts = own.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("n")).first()
     salts = 1 + (facts["n"] >> 18)
     sets = scratch.keep(shared_shingles(docs, facts["total"], percent, words, hot_shingles(own), salts), "sets")
+    tidy(spark)  # the shuffles of all shingles are the largest by far
     entries = scratch.keep(prefix_entries(sets), "entries")
     tried = scratch.keep(neighbour_pairs(entries, percent), "pairs-0")
     links = scratch.keep(verify(tried, sets, percent, scratch, "0"), "links-0")
     groups = scratch.keep(components(links, scratch, "first"), "groups-0")
+    entries, held = scratch.keep(contested(entries, groups), "entries-0"), "entries-0"
+    scratch.drop("entries")
     for k in range(1, STAR_ROUNDS + 1):
         stars = star_pairs(with_components(entries, groups), percent).join(tried, ["a", "b"], "left_anti")
         stars = scratch.keep(stars, f"pairs-{k}")
@@ -551,11 +549,14 @@ def linked_rows(docs: DataFrame, percent: int, words: int) -> DataFrame:
         if found.isEmpty():
             break
         groups = merged(groups, found, scratch, f"star-{k}")
+        entries = scratch.keep(contested(entries, groups), f"entries-{k}")
+        scratch.drop(held)
+        held = f"entries-{k}"
     rest = scratch.keep(cross_pairs(entries, groups, percent).join(tried, ["a", "b"], "left_anti"), "crossing")
     more = scratch.keep(verify(rest, sets, percent, scratch, "rest"), "more")
     if not more.isEmpty():
         groups = merged(groups, more, scratch, "all")
-    for name in ("sets", "entries", "crossing", "more"):
+    for name in ("sets", held, "crossing", "more"):
         scratch.drop(name)
     named = groups.select(F.col("node").alias("set_id"), "component")
     filled = own.where("n_shingles > 0").drop("sample").join(named, "set_id", "left")

@@ -133,3 +133,14 @@ def test_one_row_of_a_group_stays(spark):
     got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
     assert [g for g in got if g[0] != 6] == sorted([(1, a), (5, b), (None, "x y z"), (7, None), (7, None)], key=str)
     assert len([g for g in got if g[0] == 6]) == 1
+
+
+def test_rounds_read_contested_shingles_only(spark):
+    """A shingle that one component holds alone is not shuffled again, and prefixes are unrolled by Spark."""
+    sets = spark.createDataFrame([(1, 5, 2, [7, 8]), (2, 5, 3, [7]), (3, 5, 1, [8, 9])], "set_id long, n long, unshared long, prefix array<long>")
+    entries = N.prefix_entries(sets)
+    assert sorted((r["h"], r["set_id"], r["pos"]) for r in entries.collect()) == [(7, 1, 2), (7, 2, 3), (8, 1, 3), (8, 3, 1), (9, 3, 2)]
+    groups = spark.createDataFrame([(1, 1), (2, 1)], "node long, component long")
+    left = N.contested(entries, groups)
+    assert left.columns == entries.columns
+    assert sorted((r["h"], r["set_id"]) for r in left.collect()) == [(8, 1), (8, 3)]
