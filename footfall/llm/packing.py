@@ -73,7 +73,7 @@ def tokenized(docs: DataFrame, json_path: str, ranks_path: str, end_id: int) ->
 
 
 def term_document_counts(tokens: DataFrame, bits: int = TERM_BITS) -> np.ndarray:
-    """In how many rows of ``tokens`` each of the 2 ** ``bits`` hashed terms is.
+    """In how many rows of ``tokens`` each of the 2 ** ``bits`` hashed terms is, in 32 bits.
 
     Each task counts in one array and hands it on in slices, which are summed
     by slice, for 64 tasks at a time first: the result has the same size
@@ -105,10 +105,16 @@ def term_document_counts(tokens: DataFrame, bits: int = TERM_BITS) -> np.ndarray
     partial = tokens.select("ids").mapInPandas(count, schema)
     partial = partial.withColumn("part", F.floor(F.spark_partition_id() / 64).cast("int"))
     some = partial.groupBy("slice", "part").applyInPandas(add, schema)
-    rows = some.groupBy("slice").applyInPandas(add, schema).collect()
-    out = np.zeros(n_terms, np.int64)
+
+    def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(counts=[np.frombuffer(raw, np.int64).astype(np.float32).tobytes() for raw in batch["counts"]])
+
+    # the driver gets 16 MB at most
+    rows = some.groupBy("slice").applyInPandas(add, schema).mapInPandas(narrow, schema).collect()
+    out = np.zeros(n_terms, np.float32)
     for r in rows:
-        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
+        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.float32)
     return out
 
 
@@ -267,9 +273,7 @@ def pack(
     tokens = scratch.keep(tokenized(docs.select("doc_id", "text"), json_path, ranks_path, end_id), "tokens")
     facts = tokens.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()
     # 16 MB at most, one copy in each Python worker
-    shared_counts = docs.sparkSession.sparkContext.broadcast(
-        term_document_counts(tokens, term_bits(facts["t"])).astype(np.float32)
-    )
+    shared_counts = docs.sparkSession.sparkContext.broadcast(term_document_counts(tokens, term_bits(facts["t"])))
     n_docs, mean_length = facts["n"], max(1.0, facts["t"] / max(1, facts["n"]))
     wanted = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-facts["t"] // partition_tokens))
     dealt = (

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Written tables after which the driver tidies up.
-TIDY = 6
+TIDY = 2
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -174,3 +174,13 @@ def test_ascii_texts_are_not_searched_for_wide_characters():
     assert [bpe.needs_json(t) for t in ("", "plain", "Grüße ɏ", "ɐ", "a 你", "é <|endoftext|>", "<|endoftext|>")] == [False] * 3 + [True] * 4
     bpe.is_wide = None
     assert not bpe.needs_json("plain words only") and bpe.encode("plain words")
+
+
+def test_document_counts_reach_the_driver_in_32_bits(spark):
+    docs = [np.array(d, np.uint16) for d in ([1, 2, 3, 1, 2, 0], [1, 2, 9, 0], [7, 8, 0], [0])]
+    want = np.zeros(packing.TERMS, np.int64)
+    for d in docs:
+        want[np.unique(packing.term_ids(d))] += 1
+    tokens = spark.createDataFrame([(bytearray(d.tobytes()),) for d in docs], "ids binary")
+    got = packing.term_document_counts(tokens)
+    assert got.dtype == np.float32 and (got == want).all()

@@ -1,7 +1,7 @@
 from pathlib import Path
 
 import corpus_pipeline
-from footfall.llm import curriculum, fertility, lines, ngram_join
+from footfall.llm import curriculum, fertility, lines, ngram_join, scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -60,3 +60,12 @@ def test_odd_documents_through_all_stages(spark, odd_docs, sf_dir, tmp_path):
     assert {r["doc_id"] for r in docs.collect()} >= {100} and docs.where("doc_id > 100 or doc_id is null").count() == 0
     packed = corpus_pipeline.STAGES[4][1](spark, docs, "").collect()
     assert {p["doc_id"] for p in packed} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_the_driver_tidies_up_after_every_second_table(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(scratch, "tidy", calls.append)
+    own = scratch.Scratch(spark, "tidy")
+    for k in range(4):
+        own.keep(spark.range(3), str(k))
+    assert len(calls) == 2
