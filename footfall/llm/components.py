@@ -9,10 +9,17 @@ from footfall.llm.scratch import Scratch
 from footfall.llm.spread import each_part, parts_seen, spread_of
 
 MAX_ROUNDS = 60
+#: Up to so many links, the least neighbours are broadcast instead of shuffling the links to them.
+BROADCAST_LINKS = 200_000
 
 
-def with_least(edges: DataFrame) -> DataFrame:
-    """``edges`` (u, v) with ``m``, the least v of each u, dealt so that no u fills a task."""
+def with_least(edges: DataFrame, few: bool = False) -> DataFrame:
+    """``edges`` (u, v) with ``m``, the least v of each u, dealt so that no u fills a task.
+
+    ``few`` says that a counted bound lets the least neighbours be broadcast.
+    """
+    if few:
+        return edges.join(F.broadcast(edges.groupBy("u").agg(F.min("v").alias("m"))), "u")
     dealt = edges.withColumn("spread", spread_of("v"))
     least = dealt.groupBy("u").agg(F.min("v").alias("m"), parts_seen(F.col("spread")).alias("seen"))
     return dealt.join(least.select("u", "m", each_part("seen").alias("spread")), ["u", "spread"]).drop("spread")
@@ -40,12 +47,13 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(),
         f"{name}-0",
     )
+    few = edges.count() <= BROADCAST_LINKS  # rounds never make more links than there were
     for step in range(1, MAX_ROUNDS):
         # large star: larger neighbours of u go to the least of u and its neighbours
         both = edges.union(edges.select("v", "u"))
-        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = with_least(both, few).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         # small star: smaller neighbours of u, and u, go to the least of them
-        low = with_least(large.where("u <> v"))
+        low = with_least(large.where("u <> v"), few)
         small = low.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         small = small.distinct()
         new = scratch.keep(small, f"{name}-{step}")

@@ -44,6 +44,8 @@ HOT_BIT = 40
 SIGNATURE = 128
 #: Up to so many pairs, only the sets that they name are shuffled to verify them.
 BROADCAST_PAIRS = 200_000
+#: Up to so many shingles in the sets of all pairs, both filters are one step (32 MB a side).
+ONE_STEP_SHINGLES = 1 << 22
 #: Rounds that join sets to typical members of large groups.
 STAR_ROUNDS = 3
 
@@ -340,10 +342,16 @@ def shared_shingles(
 
 
 def prefix_entries(sets: DataFrame) -> DataFrame:
-    """h, set_id, n, unshared and pos (place in rare-first order) of every prefix shingle."""
+    """h, set_id, n, unshared and pos (place in rare-first order) of every prefix shingle.
+
+    component is the set's own name and hub null until :func:`contested` knows them.
+    """
 
     each = sets.select("set_id", "n", "unshared", F.posexplode("prefix").alias("at", "h"))
-    return each.select("h", "set_id", "n", "unshared", (F.col("unshared") + F.col("at")).alias("pos"))
+    return each.select(
+        "h", "set_id", "n", "unshared", (F.col("unshared") + F.col("at")).alias("pos"),
+        F.col("set_id").alias("component"), F.lit(None).cast("long").alias("hub"),
+    )
 
 
 def may_link(n, n2, pos, pos2, percent: int):
@@ -382,7 +390,8 @@ def neighbour_pairs(entries: DataFrame, percent: int, most: int = 2) -> DataFram
             yield pairs.groupby(["x", "y"], sort=False).size().rename("times").reset_index()
 
     keys = ("h", "n", "set_id")
-    met = entries.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInPandas(run, "x long, y long, times long")
+    ranged = entries.select(*keys, "pos").repartitionByRange(*keys).sortWithinPartitions(*keys)
+    met = ranged.mapInPandas(run, "x long, y long, times long")
     return most_met(met, most)
 
 
@@ -393,12 +402,6 @@ def most_met(met: DataFrame, most: int) -> DataFrame:
     return best.where(F.col("place") <= most).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def with_components(entries: DataFrame, groups: DataFrame) -> DataFrame:
-    """``entries`` with the component of their set, its own name where it has no link."""
-    named = groups.select(F.col("node").alias("set_id"), "component")
-    return entries.join(named, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-
-
 def hubs_of(own: DataFrame) -> DataFrame:
     """h and hub, the component with most sets, of shingles that several components share."""
     sizes = own.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k"))
@@ -411,13 +414,14 @@ def hubs_of(own: DataFrame) -> DataFrame:
 
 
 def contested(entries: DataFrame, groups: DataFrame) -> DataFrame:
-    """``entries`` under shingles that several components hold.
+    """``entries`` under shingles that several components hold, with the set's component and the shingle's hub.
 
-    Components only grow, so the others can name no further pair, and later
-    rounds don't shuffle them.
+    A set without a link is its own component. Components only grow, so the
+    other shingles can name no further pair, and later rounds don't shuffle them.
     """
-    held = with_components(entries, groups)
-    return entries.join(hubs_of(held).select("h"), "h", "left_semi").select(entries.columns)
+    named = groups.select(F.col("node").alias("set_id"), "component")
+    held = entries.drop("component", "hub").join(named, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    return held.join(hubs_of(held), "h").select(entries.columns)
 
 
 def star_pairs(own: DataFrame, percent: int, most: int = 3) -> DataFrame:
@@ -426,18 +430,16 @@ def star_pairs(own: DataFrame, percent: int, most: int = 3) -> DataFrame:
     Copies of one text differ from it by shingles of their own, so the member
     with fewest unshared shingles is nearest to all others: a group whose
     members are too far from each other, though near to their origin, is
-    joined by it.
+    joined by it. ``own`` comes from :func:`contested`.
     """
-    hubs = hubs_of(own)
-    mixed = own.join(hubs, "h")
     typical = (
-        mixed.where("component = hub")
+        own.where("component = hub")
         .groupBy("h")
         .agg(F.min(F.struct("unshared", "set_id", "n", "pos")).alias("t"))
         .select("h", F.col("t.set_id").alias("x"), F.col("t.n").alias("nx"), F.col("t.pos").alias("px"))
     )
     met = (
-        mixed.where("component <> hub")
+        own.where("component <> hub")
         .join(typical, "h")
         .where(may_link(F.col("n"), F.col("nx"), F.col("pos"), F.col("px"), percent))
         .groupBy("x", F.col("set_id").alias("y"))
@@ -446,17 +448,17 @@ def star_pairs(own: DataFrame, percent: int, most: int = 3) -> DataFrame:
     return most_met(met, most)
 
 
-def cross_pairs(entries: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def cross_pairs(own: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a prefix shingle.
 
     Under a shingle, the component with most sets is the hub. Every pair of two
     components has a member outside the hub, so only those are held against
     all others: a large group of near copies, joined before, costs its size.
+    ``own`` comes from :func:`contested`.
     """
-    own = with_components(entries, groups)
     # sizes of linked sets differ by one band at most
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.001 * 100 / percent))).cast("int")
-    mixed = own.join(hubs_of(own), "h").drop("unshared").withColumn("band", band)
+    mixed = own.drop("unshared").withColumn("band", band)
     outer = mixed.where("component <> hub").select(
         "h", F.col("set_id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("pos").alias("px"),
         F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"),
@@ -472,30 +474,48 @@ def cross_pairs(entries: DataFrame, groups: DataFrame, percent: int) -> DataFram
 def verify(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) of a written table that link: suffix filter on signatures, then whole sets.
 
-    What the filter leaves is written, so no task runs both Python parts at once.
+    Up to BROADCAST_PAIRS pairs of sets that are not too long, both are done in
+    one step on the sets that they name. Else what the filter leaves is written,
+    so whole sets are fetched only for that, and no task runs both Python parts
+    at once.
     """
 
-    @F.pandas_udf("boolean")
-    def suffixes_allow(sa: pd.Series, sb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+    def allowed(sa: pd.Series, sb: pd.Series, na: pd.Series, nb: pd.Series) -> np.ndarray:
         if not len(sa):
-            return pd.Series([], dtype=bool)
+            return np.zeros(0, bool)
         x = np.frombuffer(b"".join(sa), np.uint8).reshape(-1, SIGNATURE)
         y = np.frombuffer(b"".join(sb), np.uint8).reshape(-1, SIGNATURE)
         most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
         full = ((x == 255) & (y == 255)).any(axis=1)  # counts end at 255
-        return pd.Series(full | (most >= least_overlap(na.to_numpy(), nb.to_numpy(), percent)))
+        return full | (most >= least_overlap(na.to_numpy(), nb.to_numpy(), percent))
+
+    def linked(a: bytes, b: bytes, n: int, m: int) -> bool:
+        both = np.sort(np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)]), kind="stable")
+        return int((both[1:] == both[:-1]).sum()) >= least_overlap(n, m, percent)
+
+    @F.pandas_udf("boolean")
+    def suffixes_allow(sa: pd.Series, sb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+        return pd.Series(allowed(sa, sb, na, nb))
 
     @F.pandas_udf("boolean")
     def links(xa: pd.Series, xb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        out = np.zeros(len(xa), bool)
-        for i, (a, b, n, m) in enumerate(zip(xa, xb, na, nb)):
-            both = np.sort(np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)]), kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            out[i] = common >= least_overlap(n, m, percent)
-        return pd.Series(out)
-
-    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b"))
-    if pairs.count() <= BROADCAST_PAIRS:  # a counted bound; spares the shuffle of all sets
+        return pd.Series([linked(*row) for row in zip(xa, xb, na, nb)], dtype=bool)
+
+    @F.pandas_udf("boolean")
+    def allow_and_link(xa: pd.Series, xb: pd.Series, na: pd.Series, nb: pd.Series, sa: pd.Series, sb: pd.Series) -> pd.Series:
+        rows = zip(allowed(sa, sb, na, nb), xa, xb, na, nb)
+        return pd.Series([bool(ok) and linked(*row) for ok, *row in rows], dtype=bool)
+
+    n_pairs = pairs.count()
+    if n_pairs <= BROADCAST_PAIRS:  # a counted bound; spares the shuffle of all sets
+        held = sets.agg(F.avg(F.col("n") - F.col("unshared")).alias("mean")).first()["mean"] or 0
+        if n_pairs * held <= ONE_STEP_SHINGLES:
+            named, whole = F.broadcast(pairs.select("a", "b")), sets.select("set_id", "shared", "n", "signature")
+            both = named.join(whole.toDF("a", "xa", "na", "sa"), "a").join(
+                named.join(whole.toDF("b", "xb", "nb", "sb"), "b"), ["a", "b"]
+            )
+            return both.where(allow_and_link("xa", "xb", "na", "nb", "sa", "sb")).select("a", "b")
+        ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b"))
         sets = sets.join(F.broadcast(ids), "set_id", "left_semi")
     small = sets.select("set_id", "n", "signature")
     near = pairs.join(small.toDF("a", "na", "sa"), "a").join(small.toDF("b", "nb", "sb"), "b")
@@ -542,8 +562,7 @@ def linked_rows(docs: DataFrame, percent: int, words: int) -> DataFrame:
     entries, held = scratch.keep(contested(entries, groups), "entries-0"), "entries-0"
     scratch.drop("entries")
     for k in range(1, STAR_ROUNDS + 1):
-        stars = star_pairs(with_components(entries, groups), percent).join(tried, ["a", "b"], "left_anti")
-        stars = scratch.keep(stars, f"pairs-{k}")
+        stars = scratch.keep(star_pairs(entries, percent).join(tried, ["a", "b"], "left_anti"), f"pairs-{k}")
         found = scratch.keep(verify(stars, sets, percent, scratch, str(k)), f"links-{k}")
         tried = tried.union(stars)
         if found.isEmpty():
@@ -552,7 +571,7 @@ def linked_rows(docs: DataFrame, percent: int, words: int) -> DataFrame:
         entries = scratch.keep(contested(entries, groups), f"entries-{k}")
         scratch.drop(held)
         held = f"entries-{k}"
-    rest = scratch.keep(cross_pairs(entries, groups, percent).join(tried, ["a", "b"], "left_anti"), "crossing")
+    rest = scratch.keep(cross_pairs(entries, percent).join(tried, ["a", "b"], "left_anti"), "crossing")
     more = scratch.keep(verify(rest, sets, percent, scratch, "rest"), "more")
     if not more.isEmpty():
         groups = merged(groups, more, scratch, "all")

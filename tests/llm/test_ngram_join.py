@@ -144,3 +144,21 @@ def test_rounds_read_contested_shingles_only(spark):
     left = N.contested(entries, groups)
     assert left.columns == entries.columns
     assert sorted((r["h"], r["set_id"]) for r in left.collect()) == [(8, 1), (8, 3)]
+
+
+def test_small_rounds_write_few_tables(spark, monkeypatch):
+    """Few pairs are verified in one step; all ways agree."""
+    from footfall.llm import components as C
+    from footfall.llm.scratch import Scratch
+
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(mutated(rng, base, rng.choice([0, 0.02, 0.04])))) for k in range(30)]
+    names, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: names.append(name) or keep(self, df, name))
+    assert run(spark, rows) == brute(rows)
+    assert not [x for x in names if x.startswith("near-")] and "links-0" in names
+    monkeypatch.setattr(N, "ONE_STEP_SHINGLES", 0)
+    monkeypatch.setattr(C, "BROADCAST_LINKS", 0)
+    assert run(spark, rows) == brute(rows)
+    assert "near-0" in names
