@@ -91,9 +91,9 @@ def term_document_counts(tokens: DataFrame, bits: int = TERM_BITS) -> np.ndarray
                 place[terms] = at  # of a repeated term one place is left
                 total[terms[place[terms] == at]] += 1
         del place
-        for k in range(SLICES):
-            part = total[k * width : (k + 1) * width].astype(np.int64)
-            yield pd.DataFrame({"slice": [k], "counts": [part.tobytes()]})
+        for k in range(0, SLICES, 16):  # 16 slices are 2 MB at most
+            parts = [total[i * width : (i + 1) * width].astype(np.int64).tobytes() for i in range(k, k + 16)]
+            yield pd.DataFrame({"slice": range(k, k + 16), "counts": parts})
 
     def add(key, group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(width, np.int64)

@@ -184,3 +184,14 @@ def test_document_counts_reach_the_driver_in_32_bits(spark):
     tokens = spark.createDataFrame([(bytearray(d.tobytes()),) for d in docs], "ids binary")
     got = packing.term_document_counts(tokens)
     assert got.dtype == np.float32 and (got == want).all()
+
+
+def test_white_space_runs_need_no_lookahead():
+    """Texts are cut in runs of white space, so the pattern is one that plain automata find."""
+    bpe = vocab.byte_bpe(vocab.public_path("byte_bpe_50k.json"), vocab.public_path("byte_bpe_50k.tiktoken"))
+    assert not any(x in bpe.ranks._pat_str for x in ("(?!", "++"))
+    rng = random.Random(4)
+    parts = [*" \n\t\r\x0b\x0c\x85\xa0\x1c\x1f", "  ", "\n\n", "a", "1", ".", "'s", "é", "the end"]
+    for _ in range(20_000):
+        t = "".join(rng.choices(parts, k=rng.randint(0, 12)))
+        assert np.frombuffer(bpe.encode(t), np.uint16).tolist() == reference_ids(t)[:-1].tolist(), repr(t)
