@@ -2,7 +2,7 @@
 
 Documents are tokenised once into a table. Document frequencies of hashed token
 pairs are counted over all of it, into an array that grows with the corpus up to
-a fixed size. Documents are then range-partitioned by their rarest pair, so that neighbours meet, and each
+a fixed size. Documents are then partitioned by their rarest pair, so that neighbours meet, and each
 partition is packed in shards of bounded size: a shard's BM25 inverted index
 returns unused neighbours of the document that began a window, and they fill it
 in order of score.
@@ -28,8 +28,13 @@ TERM_BITS, MAX_TERM_BITS = 18, 22
 TERMS = 1 << TERM_BITS
 SLICES = 256
 K1, B = 1.2, 0.75
-#: Terms in more than one document of this many of a shard are kept as full rows.
-DENSE = 8
+#: Terms in more than one document of this many of a shard are kept as full rows,
+#: in shards of at most so many entries: their product has a number for each two.
+DENSE, MOST_DENSE = 8, 8192
+#: Neighbours picked one at a time before the rest are sorted.
+PICKED = 8
+#: A posting, read at once: 8 bytes.
+POSTING = np.dtype([("doc", np.int32), ("weight", np.float32)])
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -118,23 +123,32 @@ def term_document_counts(tokens: DataFrame, bits: int = TERM_BITS) -> np.ndarray
     return out
 
 
-def with_route(tokens: DataFrame, shared_counts: Broadcast) -> DataFrame:
-    """``tokens`` with ``route``: the rarest term that another document has too."""
+def with_route(tokens: DataFrame, shared_counts: Broadcast, most: int, wanted: int) -> DataFrame:
+    """``tokens`` with ``route``: the rarest term that another document has too, and ``part``.
 
-    @F.pandas_udf("long")
-    def route(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    A route that more than ``most`` documents may have, as its count bounds them,
+    is dealt over so many parts that each gets about that many; documents
+    without terms over ``wanted``.
+    """
+
+    @F.pandas_udf("route long, parts long")
+    def route(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         counts = shared_counts.value
         bits = len(counts).bit_length() - 1
         for raws in batches:
-            out = []
+            routes, parts = [], []
             for raw in raws:
                 terms = term_ids(np.frombuffer(raw, np.uint16), bits)
                 rarity = counts[terms]
                 rarity[rarity < 2] = np.inf
-                out.append(int(terms[np.argmin(rarity)]) if len(terms) else -1)
-            yield pd.Series(out, dtype="int64")
+                k = int(np.argmin(rarity)) if len(terms) else -1
+                routes.append(int(terms[k]) if len(terms) else -1)
+                parts.append(1 + int(counts[terms[k]]) // most if len(terms) else wanted)
+            yield pd.DataFrame({"route": np.array(routes, np.int64), "parts": np.array(parts, np.int64)})
 
-    return tokens.withColumn("route", route("ids"))
+    routed = tokens.withColumn("found", route("ids"))
+    part = F.pmod(F.xxhash64("doc_id", "ids"), F.col("found.parts"))
+    return routed.select("doc_id", "ids", F.col("found.route").alias("route"), part.alias("part"))
 
 
 class ShardIndex:
@@ -169,41 +183,61 @@ class ShardIndex:
         lengths = np.array([len(d) for d in texts])
         norm = K1 * (1 - B + B * lengths / mean_length)
         weight = np.repeat(idf, sizes) * tf * (K1 + 1) / (tf + norm[owner])
-        self.posting_doc, self.posting_weight = owner, weight
+        postings = np.empty(len(owner), POSTING)
+        postings["doc"], postings["weight"] = owner, weight
+        self.postings = postings.view(np.int64)
         held = np.repeat(sizes, sizes)
-        self.own = np.bincount(owner, weight * (held == 1), self.m)
-        # terms in many entries: a row of weights for all entries
-        dense = np.flatnonzero(sizes > max(1, self.m // DENSE))
+        self.own = np.bincount(owner, weight * (held == 1), self.m) if self.m < self.n else np.zeros(self.m)
+        # terms in many entries: what each entry gets of another's, by one product of full rows
+        dense = np.flatnonzero(sizes > (max(1, self.m // DENSE) if self.m <= MOST_DENSE else self.m))
         row_of = np.full(len(sizes), -1)
         row_of[dense] = np.arange(len(dense))
         row = np.repeat(row_of, sizes)
         full = np.flatnonzero(row >= 0)
-        self.rows = np.zeros((len(dense), self.m))
-        self.rows[row[full], owner[full]] = weight[full]
-        # the terms of each entry that another one holds, by entry
-        small = owner.astype(np.uint16 if self.m <= 1 << 16 else np.int64)  # 16 bits are sorted by radix
-        full = full[np.argsort(small[full], kind="stable")]
-        self.full_row = row[full]
-        self.full_first = np.searchsorted(owner[full], np.arange(self.m + 1))
+        rows = np.zeros((len(dense), self.m), np.float32)
+        rows[row[full], owner[full]] = weight[full]
+        self.common = (rows > 0).astype(np.float32).T @ rows
+        # the other terms of each entry that another one holds, by entry
         few = np.flatnonzero((row < 0) & (held > 1))
-        few = few[np.argsort(small[few], kind="stable")]
+        small = owner[few].astype(np.uint16 if self.m <= 1 << 16 else np.int64)  # 16 bits are sorted by radix
+        few = few[np.argsort(small, kind="stable")]
         self.left, self.size = np.repeat(begins, sizes)[few], held[few]
-        self.first = np.searchsorted(owner[few], np.arange(self.m + 1))
+        self.first = np.r_[0, np.cumsum(np.bincount(small, minlength=self.m))]
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with ``seed``, best first."""
+    def scores(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """Scores of all documents, 0 for those in use or without a term of ``seed``."""
         e = self.entry[seed]
         left, sizes = (x[self.first[e] : self.first[e + 1]] for x in (self.left, self.size))
         at = np.repeat(left - np.cumsum(sizes) + sizes, sizes)
         at += np.arange(len(at))
-        score = np.bincount(self.posting_doc[at], self.posting_weight[at], self.m).astype(float)
+        found = self.postings.take(at).view(POSTING)
+        score = np.bincount(found["doc"], found["weight"], self.m).astype(float)
         score[e] += self.own[e]
-        # rows are added up without a matrix product, whose threads would cost more than they save
-        score += self.rows[self.full_row[self.full_first[e] : self.full_first[e + 1]]].sum(axis=0)
-        score = score[self.entry]
+        score += self.common[e]
+        if self.m < self.n:
+            score = score[self.entry]
         score[~unused] = 0
-        found = np.flatnonzero(score)
-        return found[np.lexsort((found, -score[found]))]
+        return score
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """Unused documents that share a term with ``seed``, best first."""
+        return best_first(self.scores(seed, unused))
+
+    def each_neighbour(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """The same one by one: a window mostly takes so few that sorting them all costs more."""
+        score = self.scores(seed, unused)
+        for _ in range(PICKED):
+            best = int(score.argmax())
+            if not score[best]:
+                return
+            yield best
+            score[best] = 0
+        yield from best_first(score).tolist()
+
+
+def best_first(score: np.ndarray) -> np.ndarray:
+    found = np.flatnonzero(score)
+    return found[np.lexsort((found, -score[found]))]
 
 
 def pack_shard(docs: list[np.ndarray], index: ShardIndex, window: int) -> list[tuple[int, int, int, int, int]]:
@@ -227,7 +261,7 @@ def pack_shard(docs: list[np.ndarray], index: ShardIndex, window: int) -> list[t
     for _ in range(len(docs)):
         doc = next((d for d in queue if unused[d]), None)
         if doc is None and seed is not None:
-            queue, seed = iter(index.neighbours(seed, unused)), None
+            queue, seed = index.each_neighbour(seed, unused), None
             doc = next(queue, None)
         if doc is None:
             while not unused[next_doc]:
@@ -276,9 +310,10 @@ def pack(
     shared_counts = docs.sparkSession.sparkContext.broadcast(term_document_counts(tokens, term_bits(facts["t"])))
     n_docs, mean_length = facts["n"], max(1.0, facts["t"] / max(1, facts["n"]))
     wanted = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-facts["t"] // partition_tokens))
+    # by hash, not by range: a range's bounds would have every route found twice
     dealt = (
-        with_route(tokens, shared_counts)
-        .repartitionByRange(wanted, "route", "doc_id", F.xxhash64("ids"))
+        with_route(tokens, shared_counts, max(1, n_docs // (4 * wanted)), wanted)
+        .repartition(wanted, "route", "part")
         .sortWithinPartitions("route", "doc_id", F.xxhash64("ids"))
         .select("doc_id", "ids")
     )

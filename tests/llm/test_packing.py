@@ -195,3 +195,35 @@ def test_white_space_runs_need_no_lookahead():
     for _ in range(20_000):
         t = "".join(rng.choices(parts, k=rng.randint(0, 12)))
         assert np.frombuffer(bpe.encode(t), np.uint16).tolist() == reference_ids(t)[:-1].tolist(), repr(t)
+
+
+def test_neighbours_one_by_one_are_those_sorted():
+    rng = np.random.default_rng(8)
+    docs = [np.append((40 * rng.random(60) ** 2).astype(np.uint16) + 1, 0).astype(np.uint16) for _ in range(50)]
+    docs[30:40] = docs[:10]
+    counts = np.zeros(packing.TERMS, np.int64)
+    for d in docs:
+        counts[np.unique(packing.term_ids(d))] += 1
+    for most in (packing.MOST_DENSE, 10):  # with and without full rows
+        packing.MOST_DENSE, kept = most, packing.MOST_DENSE
+        index = packing.ShardIndex(docs, counts, 50, 61.0)
+        packing.MOST_DENSE = kept
+        for seed in (0, 5, 35, 49):
+            unused = rng.random(50) < 0.8
+            unused[seed] = False
+            assert list(index.each_neighbour(seed, unused)) == index.neighbours(seed, unused).tolist()
+            score = full_bm25(docs, seed, counts, 50, 61.0)
+            assert np.allclose(index.scores(seed, unused), np.where(unused, score, 0), rtol=1e-5)
+
+
+def test_routes_are_found_once_and_large_groups_are_dealt(spark):
+    docs = spark.createDataFrame([(k, "the same text in many documents" if k < 90 else f"word {k} of {k * k}") for k in range(100)], "doc_id long, text string")
+    plan = packing.pack(docs)._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan.lower()
+    paths = [vocab.public_path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken")]
+    tokens = packing.tokenized(docs, *paths, 0)
+    counts = spark.sparkContext.broadcast(packing.term_document_counts(tokens))
+    routed = packing.with_route(tokens, counts, 10, 4).collect()
+    assert len({r["route"] for r in routed if r["doc_id"] < 90}) == 1
+    parts = [r["part"] for r in routed if r["doc_id"] < 90]
+    assert max(map(parts.count, parts)) < 30 and max(parts) < 10
