@@ -3,17 +3,23 @@
 Each word is encoded on its own by two public vocabularies. Their characters
 per token, the share of tokens that fall back to single bytes and the entropy
 of the tokens are held against bands of the text's language or script.
+
+The first vocabulary's pieces begin at spaces, so the words of a text are encoded
+in one call, with one space before each. The second falls back to bytes only for
+characters that it doesn't hold, so texts without any aren't encoded by it.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+import re
 from collections.abc import Iterator, Mapping
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +30,8 @@ from footfall.ship import ship
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
+#: White space of the first vocabulary inside words, where its pieces could cross from word to word.
+BLANK = re.compile(r"[^\S \t\n\x0b\x0c\r\x1c-\x1f]")
 
 #: Bands by language, else by script, else of "other": least and most characters
 #: per token, most byte-fallback share, least token entropy relative to what the
@@ -67,48 +75,61 @@ METRICS = T.StructType(
 )
 
 
+def known_characters(pieces: sentencepiece.SentencePieceProcessor) -> set[str]:
+    """Characters that never fall back to bytes: none for models that change texts first or don't merge characters."""
+    try:
+        from sentencepiece import sentencepiece_model_pb2
+    except ImportError:  # without protobuf all texts are encoded
+        return set()
+    model = sentencepiece_model_pb2.ModelProto.FromString(pieces.serialized_model_proto())
+    if model.normalizer_spec.precompiled_charsmap or model.trainer_spec.model_type != model.trainer_spec.BPE:
+        return set()
+    return {p.piece for p in model.pieces if len(p.piece) == 1 and p.type == p.NORMAL}
+
+
 class WordCosts:
-    """Tokens of every word met, in growing arrays; starts anew when large."""
+    """Tokens of a text's words; pieces of words met are remembered and forgotten when they are many."""
 
     def __init__(self, ranks_path: str, pieces_path: str):
         self.bpe = vocab.ranked_bpe(ranks_path)
+        self.cut_bpe = vocab.ranked_bpe(ranks_path, vocab.CUT_PIECES)
         self.pieces = vocab.piece_model(pieces_path)
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
+        self.known = known_characters(self.pieces)
+        self.known_ascii = "".join(c for c in self.known if c.isascii()).encode()
         self.clear()
 
     def clear(self) -> None:
+        #: Per word: its pieces, and from bit 32 on those that are bytes.
         self.index: dict[bytes, int] = {}
-        #: Per word: where its tokens start, how many they are, its pieces and those that are bytes.
-        self.facts = np.zeros((4, 1 << 14), np.int64)
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.used = 0
-
-    def _add(self, new: list[bytes]) -> None:
-        texts = [w.decode() for w in new]
-        at = len(self.index)
-        self.index.update(zip(new, range(at, at + len(new))))
-        tokens = [self.bpe.encode_ordinary(" " + t) for t in texts]
-        pieces = self.pieces.encode(texts, num_threads=1)
-        while at + len(new) > self.facts.shape[1]:
-            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)], axis=1)
-        sizes = np.fromiter(map(len, tokens), np.int64, len(new))
-        ends = self.used + np.cumsum(sizes)
-        while ends[-1] > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : ends[-1]] = np.fromiter(chain.from_iterable(tokens), np.int32, int(sizes.sum()))
-        self.used = int(ends[-1])
-        n_pieces = np.fromiter(map(len, pieces), np.int64, len(new))
-        bytes_up_to = np.r_[0, np.cumsum(self.is_byte[list(chain.from_iterable(pieces))])]
-        piece_ends = np.cumsum(n_pieces)
-        n_bytes = bytes_up_to[piece_ends] - bytes_up_to[piece_ends - n_pieces]
-        self.facts[:, at : at + len(new)] = ends - sizes, sizes, n_pieces, n_bytes
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
+
+    def tokens(self, words: list[bytes], joined: str) -> np.ndarray:
+        """Tokens of all words, each with a space before it, as ``joined`` holds them."""
+        if joined.isascii() or not BLANK.search(joined):
+            return self.cut_bpe.encode_to_numpy(joined, disallowed_special=())
+        texts = [" " + w.decode() for w in words]
+        plain = "".join(t for t in texts if not BLANK.search(t))
+        odd = [self.bpe.encode_ordinary(t) for t in texts if BLANK.search(t)]
+        odd = np.fromiter(chain.from_iterable(odd), np.uint32)
+        return np.concatenate([self.cut_bpe.encode_to_numpy(plain, disallowed_special=()), odd])
+
+    def byte_share(self, words: list[bytes], times: np.ndarray, rest: bytes) -> float:
+        """Share of bytes in the pieces of distinct words by how many ``times`` they occur; ``rest`` holds all unknown characters."""
+        if self.known.issuperset(rest.decode()):
+            return 0.0
         found = list(map(self.index.get, words))
         if None in found:
-            self._add(list({w for w, f in zip(words, found) if f is None}))
+            new = [w for w, f in zip(words, found) if f is None]
+            pieces = self.pieces.encode([w.decode() for w in new], num_threads=1)
+            sizes = np.fromiter(map(len, pieces), np.int64, len(new))
+            bytes_up_to = np.r_[0, np.cumsum(self.is_byte[list(chain.from_iterable(pieces))])]
+            ends = np.cumsum(sizes)
+            n_bytes = bytes_up_to[ends] - bytes_up_to[ends - sizes]
+            self.index.update(zip(new, (n_bytes << 32 | sizes).tolist()))
             found = map(self.index.__getitem__, words)
-        return np.fromiter(found, np.int64, len(words))
+        both = np.fromiter(found, np.int64, len(words))
+        n_pieces, n_bytes = both & 0xFFFFFFFF, both >> 32
+        return float((n_bytes * times).sum() / max(1, (n_pieces * times).sum()))
 
 
 @functools.lru_cache(maxsize=2)
@@ -129,6 +150,9 @@ def repeated_words(ids: np.ndarray) -> int:
     if u >= 1 << 21:
         pairs = np.unique(pairs, return_inverse=True)[1]
     keys = pairs[:-1] * u + ids[2:]
+    ranked = np.sort(keys)
+    if (ranked[1:] != ranked[:-1]).all():
+        return 0
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
     same = ranked[1:] == ranked[:-1]
@@ -154,14 +178,13 @@ def script_of(text: str) -> str:
     return best if seen[best] else "other"
 
 
-def entropy(tokens: np.ndarray, weights: np.ndarray) -> float:
-    """Bits per token of a weighted list of token ids."""
-    order = np.argsort(tokens, kind="stable")
-    tokens, weights = tokens[order], weights[order]
-    first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-    mass = np.add.reduceat(weights, first)
-    total = mass.sum()
-    return float(math.log2(total) - (mass * np.log2(mass)).sum() / total)
+def entropy(tokens: np.ndarray) -> float:
+    """Bits per token of a list of token ids."""
+    tokens = np.sort(tokens)
+    edge = np.ones(len(tokens) + 1, bool)
+    np.not_equal(tokens[1:], tokens[:-1], out=edge[1:-1])
+    mass = np.diff(np.flatnonzero(edge)).astype(float)
+    return float(math.log2(len(tokens)) - (mass * np.log2(mass)).sum() / len(tokens))
 
 
 def measure(text: str | None, lang: str | None, costs: WordCosts, bands: Mapping) -> tuple:
@@ -179,19 +202,19 @@ def measure(text: str | None, lang: str | None, costs: WordCosts, bands: Mapping
             seen.add(line)
     if not n:
         return (0, 0, n_symbols, n_dup, 0, True, False, 0.0, 0.0, 0.0, None)
-    word_chars = len(text) - sum(map(raw.count, (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")))
-    ids = costs.ids(words)
+    spaced = b" " + b" ".join(words)
+    joined = spaced.decode()
+    word_chars = len(joined) - n
+    first: dict[bytes, int] = {}
+    ids = np.fromiter(map(first.setdefault, words, range(n)), np.int64, n)
     n_repeat = repeated_words(ids)
     failed = n < 50 or 100 * n_repeat > 50 * n
-    distinct, times = np.unique(ids, return_counts=True)
-    starts, sizes, n_pieces, n_bytes = costs.facts[:, distinct]
-    within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    flat = costs.flat[np.repeat(starts, sizes) + within]
-    weights = np.repeat(times, sizes).astype(float)
-    n_tokens = weights.sum()
-    cpt = float(word_chars / n_tokens)
-    share = float((n_bytes * times).sum() / max(1, (n_pieces * times).sum()))
-    bits = entropy(flat, weights)
+    tokens = costs.tokens(words, joined)
+    n_tokens = len(tokens)
+    cpt = word_chars / n_tokens
+    rest = spaced.translate(None, b" " + costs.known_ascii)
+    share = costs.byte_share(list(first), np.unique(ids, return_counts=True)[1], rest) if rest else 0.0
+    bits = entropy(tokens)
     band = lang if lang in bands else script_of(text)
     lo, hi, most_bytes, least = bands.get(band) or bands["other"]
     room = min(7.0, math.log2(max(2.0, n_tokens)))

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -81,3 +82,29 @@ def test_script_is_counted_over_the_whole_text():
     assert fertility.script_of("ab " * 4000) == fertility.script_of("ab") != "other"
     assert fertility.script_of(" abcdefghi" * 400) == fertility.script_of("ab")
     assert fertility.script_of("1 2 " * 400) == "other"
+
+
+def test_texts_encoded_at_once_have_the_tokens_of_their_words():
+    costs = fertility.WordCosts(vocab.public_path("byte_bpe_50k.tiktoken"), vocab.public_path("piece_bpe_32k.model"))
+    rng = random.Random(7)
+    parts = [*" \n\t\x0b\x85\xa0\u3000\u2028\x1c\x1fé☃Ĉ▁", "  ", "word", "the ", "'s", "don't", "12", "#", "你好", "<s>", "<|endoftext|>", "e\u0301"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 30)))
+        words = re.findall("[^\x20\x09-\x0d]+", text)
+        if not words:
+            continue
+        m = dict(zip(fertility.METRICS.names, fertility.measure(text, "en", costs, fertility.BANDS)))
+        c = Counter(t for w in words for t in costs.bpe.encode_ordinary(" " + w))
+        pieces = [p for w in words for p in costs.pieces.encode(w)]
+        assert m["word_chars"] == sum(map(len, words))
+        assert m["chars_per_token"] == pytest.approx(m["word_chars"] / c.total()), repr(text)
+        assert m["token_entropy"] == pytest.approx(-sum(k / c.total() * math.log2(k / c.total()) for k in c.values()), abs=1e-9), repr(text)
+        assert m["byte_share"] == pytest.approx(sum(costs.pieces.is_byte(p) for p in pieces) / len(pieces)), repr(text)
+    assert not costs.pieces.is_byte(costs.pieces.encode("é")[-1]) and costs.pieces.is_byte(costs.pieces.encode("Ĉ")[-1])
+
+
+def test_texts_of_known_characters_are_not_encoded_in_pieces():
+    costs = fertility.WordCosts(vocab.public_path("byte_bpe_50k.tiktoken"), vocab.public_path("piece_bpe_32k.model"))
+    costs.pieces = None
+    m = dict(zip(fertility.METRICS.names, fertility.measure("Grüße aus Köln, привет " * 9, "de", costs, fertility.BANDS)))
+    assert m["byte_share"] == 0 and not costs.index
