@@ -60,6 +60,17 @@ def test_rounds_that_run_out_and_seeds_that_are_none(spark):
     assert network.distances_from(3, table.where("false"), nodes).collect()[0][:] == (3, 0.0)
 
 
+def test_components_of_a_long_way(spark):
+    """Nodes of a way of three hundred in no order, another way, a node apart and edges to unknown nodes."""
+    rng = random.Random(8)
+    order = rng.sample(range(10, 500), 400)
+    ways = order[:300], order[300:]
+    edges = [(min(p), max(p), 1.0) for way in ways for p in zip(way, way[1:])] + [(5000, ways[0][0], 1.0), (5000, ways[1][0], 1.0), (7, 7, 1.0), (7, None, 1.0)]
+    nodes = spark.createDataFrame([(i,) for i in [7, *order]], "node long")
+    got = {r["node"]: r["component"] for r in network.components(nodes, spark.createDataFrame(edges, "a long, b long, metres double"), max_rounds=20).collect()}
+    assert got == {7: 7} | {i: min(way) for way in ways for i in way}
+
+
 def test_blocks_are_small_and_whole(spark):
     at, _, nodes, _ = lattice(spark)
     same = spark.createDataFrame([(2000 + i, 42.5, -71.5) for i in range(40)], nodes.schema)
