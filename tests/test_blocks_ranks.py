@@ -115,6 +115,21 @@ def test_nearest_in_clusters(spark):
             assert found[i, place] == pytest.approx(m, abs=1e-6)
 
 
+def test_dense_places_meet_few_targets(spark):
+    """Places within one cube of the starting size meet the targets around them only; copies of targets go by id."""
+    rng = random.Random(6)
+    points = [(i, 42 + rng.uniform(0, 0.01), -71 + rng.uniform(0, 0.01)) for i in range(1500)]
+    spots = [(42 + rng.uniform(0, 0.01), -71 + rng.uniform(0, 0.01)) for _ in range(500)]
+    targets = [(3 * i + c, *spots[i]) for i in range(500) for c in (2, 0, 1)]
+    p, t = spark.createDataFrame(points, "point_id long, lat double, lon double"), spark.createDataFrame(targets, "target_id long, r_lat double, r_lon double")
+    axes = spatial.sphere_axes("lat", "lon"), spatial.sphere_axes("r_lat", "r_lon")
+    assert spatial.candidate_pairs(p, t, axes, 2, 2000.0 / 6371000, 2.0).count() < 1500 * 1500 / 4
+    got = {(r["point_id"], r["place"]): r["target_id"] for r in spatial.nearest_k(p.where("point_id < 60"), t, 4, 2000.0).collect()}
+    for i, lat, lon in points[:60]:
+        ranked = sorted((hav(lat, lon, y, x), k) for k, y, x in targets)
+        assert [got[i, n] for n in (1, 2, 3, 4)] == [k for _, k in ranked[:4]]
+
+
 def test_rank_of_a_whole_table(spark):
     rng = random.Random(6)
     rows = [(i, float(rng.randrange(20))) for i in range(500)]
