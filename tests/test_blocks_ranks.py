@@ -175,6 +175,19 @@ def test_walks_between_pairs(spark, most):
         network.shortest_walks(spark.createDataFrame(pairs, "name string, o_node long, d_node long"), nodes, table, max_rounds=1, block_nodes=most).collect()
 
 
+def test_walks_over_edges_that_do_not_follow_places(spark):
+    """A ring of nodes at places in no order, with shortcuts: two rounds are enough."""
+    rng = random.Random(12)
+    edges = {(min(p), max(p)): float(rng.randrange(1, 50)) for i in range(400) for p in ((i, (i + 1) % 400), (i, (i * 3 + 1) % 400)) if p[0] != p[1]}
+    edges = [(a, b, m) for (a, b), m in edges.items()] + [(900, 901, 1.5)]
+    nodes = [(i, 42 + rng.uniform(0, 0.1), -71 + rng.uniform(0, 0.1)) for i in [*range(400), 900, 901]]
+    pairs = [(i, *rng.sample(range(400), 2)) for i in range(200)] + [(200, 5, 5), (201, 900, 901), (202, 900, 3), (203, 7777, 7777)]
+    tables = spark.createDataFrame(pairs, "name long, o_node long, d_node long"), spark.createDataFrame(nodes, "node long, lat double, lon double"), spark.createDataFrame(edges, "a long, b long, metres double")
+    got = {r["name"]: r["metres"] for r in network.shortest_walks(*tables, max_rounds=2, block_nodes=20).collect()}
+    want = {name: d for name, o, g in pairs[:202] if (d := distances(edges, o, 0.0).get(g)) is not None}
+    assert got == pytest.approx(want | {203: 0.0})
+
+
 def test_street_report(spark):
     at, edges, nodes, table = lattice(spark)
     nodes = nodes.where("lat IS NOT NULL")
