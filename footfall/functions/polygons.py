@@ -61,7 +61,16 @@ def strips(polygons: list[Rings], inside: Callable[[np.ndarray], np.ndarray]) ->
     sides = [sides_of(p) for p in polygons]
     owner = np.repeat(np.arange(len(sides)), [len(s) for s in sides])
     s = np.concatenate(sides) if sides else np.zeros((0, 4))
+    low, high = -np.inf, np.inf
+    if inside is both and all(map(len, sides)):
+        # what all share lies between these heights, and no side to the right of it matters
+        low, high = max(x[:, 1].min() for x in sides), min(x[:, 3].max() for x in sides)
+        kept = (s[:, 3] > low) & (s[:, 1] < high) & (np.minimum(s[:, 0], s[:, 2]) <= min(x[:, ::2].max() for x in sides))
+        s, owner = s[kept], owner[kept]
     heights = np.unique(np.r_[s[:, 1], s[:, 3], _crossing_heights(s)])
+    heights = heights[(heights >= low) & (heights <= high)]
+    if np.isfinite(low) and low < high:
+        heights = np.unique(np.r_[low, heights, high])
     order = np.argsort(s[:, 1], kind="stable")
     s, owner = s[order], owner[order]
     for y0, y1 in zip(heights, heights[1:]):

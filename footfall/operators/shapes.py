@@ -18,6 +18,8 @@ from footfall.sources.shared import checkpointed, release
 
 #: Polygons of a tile that one task merges at a time.
 FAN = 32
+#: Tiles along a tile's side in which towns that another one hides are left out.
+PARTS = 16
 #: How far from a town's boundary a centroid still counts as inside, in degrees (fixed value).
 TOLERANCE = 0.0001
 
@@ -103,6 +105,26 @@ def clip(shapes: DataFrame, pieces: DataFrame, size: float) -> DataFrame:
     return sums.join(own, "id").select("id", "inside_area", "area", ratio.alias("clip_ratio"), F.col("f.x").alias("lon"), F.col("f.y").alias("lat"))
 
 
+def first_towns(towns: DataFrame, size: float, grow: float = 0.0) -> DataFrame:
+    """``towns`` (ord, name, rings as r_rings) by small tile (_gx, _gy, of side ``size`` / PARTS), but for those that can't be first at any of its places.
+
+    Where a town covers a whole tile, those of a larger ord are left out there;
+    of a place in the tile, the first town and whether there is one stay.
+    """
+    own = towns.select("ord", "name", "rings")
+    side = size / PARTS
+    x, y, rim = F.col("_gx") * side, F.col("_gy") * side, side * 1e-6
+    apart = lambda s: (
+        (F.greatest(s["p"]["x"], s["q"]["x"]) < x - rim) | (F.least(s["p"]["x"], s["q"]["x"]) > x + side + rim)
+        | (F.greatest(s["p"]["y"], s["q"]["y"]) < y - rim) | (F.least(s["p"]["y"], s["q"]["y"]) > y + side + rim)
+    )
+    covers = F.forall(polygons.polygon_sides(F.col("rings")), apart) & polygons.in_polygon(x + side / 2, y + side / 2, F.col("rings"))
+    listed = checkpointed(_tiles(own, side, grow).select("ord", "_gx", "_gy", covers.alias("_whole")))
+    hiding = listed.where("_whole").groupBy("_gx", "_gy").agg(F.min("ord").alias("_first"))
+    seen = listed.join(hiding, ["_gx", "_gy"], "left").where("_first IS NULL OR ord <= _first").select("ord", "_gx", "_gy")
+    return checkpointed(seen.join(own.withColumnRenamed("rings", "r_rings"), "ord"))
+
+
 def assign_towns(shapes: DataFrame, towns: DataFrame, size: float) -> DataFrame:
     """id and town of shapes (id, rings): the first town (ord, name, rings) that holds the centroid, else the one that shares most.
 
@@ -112,11 +134,12 @@ def assign_towns(shapes: DataFrame, towns: DataFrame, size: float) -> DataFrame:
     ship(shapes.sparkSession)
     x, y = polygons.polygon_centroid(F.col("rings"))
     centred = shapes.where("size(flatten(rings)) > 0").select("id", "rings", x.alias("_x"), y.alias("_y"))
-    listed = _tiles(towns.select("ord", "name", "rings"), size, TOLERANCE).withColumnRenamed("rings", "r_rings")
     close = F.array_min(F.transform("r_rings", lambda r: geo.distance_to_ring(F.col("_x"), F.col("_y"), r))) < TOLERANCE
-    placed = centred.select("id", "_x", "_y", bucket(F.col("_x"), size).alias("_gx"), bucket(F.col("_y"), size).alias("_gy")).join(listed, ["_gx", "_gy"])
+    side = size / PARTS
+    at = centred.select("id", "_x", "_y", bucket(F.col("_x"), side).alias("_gx"), bucket(F.col("_y"), side).alias("_gy"))
+    placed = at.join(first_towns(towns, size, TOLERANCE), ["_gx", "_gy"])
     placed = placed.where(polygons.in_polygon(F.col("_x"), F.col("_y"), F.col("r_rings")) | close)
-    first = placed.groupBy("id").agg(F.min(F.struct("ord", "name")).alias("t")).select("id", F.col("t.name").alias("town"))
+    first = checkpointed(placed.groupBy("id").agg(F.min(F.struct("ord", "name")).alias("t")).select("id", F.col("t.name").alias("town")))
     rest = centred.join(first, "id", "left_anti").select("id", "rings")
     pairs = meeting_pairs(rest, towns.select("ord", "name", "rings"), size)
     shares = pairs.select("id", "r_ord", "r_name", polygons.overlay_area(F.col("rings"), F.col("r_rings")).alias("a")).where("a > 0")

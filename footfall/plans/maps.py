@@ -11,6 +11,7 @@ from footfall.operators import access, closure, clusters, demand, reports, shape
 from footfall.plans import tables as T
 from footfall.plans.queries import CLOSURE, FAC, PTS, RANK, hav, query
 from footfall.ship import ship
+from footfall.sources.shared import checkpointed
 
 
 @query()
@@ -84,8 +85,12 @@ def clipped_block_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = _boxes(spark, sf_dir)
     towns = every.where("label = 0").select("ord", "name", "rings")
     groups = every.where("label <> 0").select(F.col("ord").alias("geoid"), "rings")
-    found = shapes.study_block_groups(groups, towns, 0.1).join(groups, "geoid")
-    in_town = spatial.points_in_polygons(found.select("geoid", "lon", "lat"), towns.select("rings"), size=0.1).select("geoid").distinct()
+    found = checkpointed(shapes.study_block_groups(groups, towns, 0.1).join(groups, "geoid"))
+    # a town that another one hides says nothing about being inside one
+    hiding = shapes.first_towns(towns, 0.1).select(F.col("r_rings").alias("rings"), "_gx", "_gy")
+    side = 0.1 / shapes.PARTS
+    placed = found.select("geoid", "lon", "lat", spatial.bucket(F.col("lon"), side).alias("_gx"), spatial.bucket(F.col("lat"), side).alias("_gy"))
+    in_town = placed.join(hiding, ["_gx", "_gy"]).where(polygons.in_polygon(F.col("lon"), F.col("lat"), F.col("rings"))).select("geoid").distinct()
     labelled = F.col("_in").isNotNull() & polygons.in_polygon(F.col("lon"), F.col("lat"), F.col("rings"))
     found = found.join(in_town.withColumn("_in", F.lit(1)), "geoid", "left")
     return found.select("geoid", "city", half_up(F.col("clip_ratio"), 6).alias("clip_ratio"), labelled.alias("labelled"))

@@ -134,3 +134,21 @@ def test_town_of_the_centroid_then_of_the_largest_share(spark):
     assert {r["id"]: r["town"] for r in shapes.assign_towns(gap, apart, 0.5).collect()} == {"g": "Brookline", "even": "Boston"}
     groups = shapes.study_block_groups(gap.withColumnRenamed("id", "geoid"), apart, 0.5).collect()
     assert {r["geoid"]: (r["city"], round(r["clip_ratio"], 9)) for r in groups} == {"g": ("Brookline", round(0.8 / 1.8, 9)), "even": ("Boston", 0.5)}
+
+
+def test_towns_that_others_hide(spark):
+    """Of many towns over each other a place meets few, and still the first that holds it; an outline far away makes no strips."""
+    rng = np.random.default_rng(9)
+    rows = [(i, f"t{i}", [box(x, y, x + w, y + h)]) for i, (x, y, w, h) in enumerate(np.c_[rng.uniform(0, 2, (200, 2)), rng.uniform(0.3, 1.5, (200, 2))])]
+    towns = frame(spark, rows, "ord int, name string")
+    places = rng.uniform(-0.2, 3.5, (60, 2))
+    small = frame(spark, [(i, [box(x - 0.01, y - 0.01, x + 0.01, y + 0.01)]) for i, (x, y) in enumerate(places)], "id int")
+    met = small.select("id", F.col("rings")[0][2].alias("p")).select("id", spatial.bucket(F.col("p.x") - 0.01, 1.0 / 16).alias("_gx"), spatial.bucket(F.col("p.y") - 0.01, 1.0 / 16).alias("_gy"))
+    assert met.join(shapes.first_towns(towns, 1.0), ["_gx", "_gy"]).count() < 60 * 20
+    got = {r["id"]: r["town"] for r in shapes.assign_towns(small, towns, 1.0).collect()}
+    for i, (x, y) in enumerate(places):
+        holds = [n for _, n, [[(x0, y0), _, (x1, y1), _]] in rows if x0 <= x <= x1 and y0 <= y <= y1]
+        assert not holds or got[i] == holds[0]
+    ragged = [np.array([*((k * 0.01, (k % 7) * 0.01) for k in range(400)), (4.0, 3.0), (0.0, 3.0)])]
+    layers_ = P.overlay([[np.array(box(1, 1, 2, 2), float)], ragged])
+    assert len(layers_) == 1 and sum(map(P.area_of, layers_)) == pytest.approx(1.0)
